@@ -47,10 +47,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
         with v as (
-            select vec_id, list_transform(embedding, x -> floor(x::double * 256)::bigint) as v from embeddings
-            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+            select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), pairs as (
-            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
             from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
         ), ranked as (
             select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from pairs
