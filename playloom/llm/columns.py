@@ -28,23 +28,31 @@ def whole_text(text: str = "text") -> Column:
 
 
 def span_list(text: Column, pattern: str, keep) -> Column:
-    """Spans of all leftmost non-overlapping matches that pass ``keep(match)``, as array<struct<start,end>>.
+    """Spans of all leftmost non-overlapping matches that pass ``keep(match)``: array<struct<start,end,match>>.
 
     Code points, end exclusive. The pieces between the matches come from
     ``split``, the matches from ``regexp_extract_all``; their lengths add up to
     the positions. Rejected matches still use up their text. The pattern must
     not match the empty string.
     """
-    pieces = F.split(text, pattern, -1)
+    pieces = F.split(text, pattern, -1)  # one more than there are matches
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_LIST).alias("out"))
 
     def step(acc, pair):
         begin = acc["at"] + F.char_length(pair["p"])
         end = begin + F.char_length(pair["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), F.coalesce(keep(pair["m"]), F.lit(False)).alias("ok"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("match"))
+        kept = F.when(pair["m"].isNotNull() & F.coalesce(keep(pair["m"]), F.lit(False)), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), kept.alias("out"))
 
-    paired = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    spans = F.aggregate(paired, start, step, lambda acc: acc["out"])
-    return F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    paired = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    return F.aggregate(paired, start, step, lambda acc: acc["out"])
+
+
+SPAN_LIST = "array<struct<start:int,end:int,match:string>>"
+
+
+def joined_spans(spans: Column) -> Column:
+    """``kind:start:end`` of the structs in their order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
