@@ -101,7 +101,7 @@ def allot(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, m
     plan = materialize(sample_ends(sizes, goals, seed), "mix-plan")
     ranked = _ranked(docs, plan, seed)
     edge = F.coalesce(F.col("bucket") == F.col("end_bucket"), F.lit(False))
-    inside = F.coalesce(F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")), F.lit(False))
+    inside = F.col("bucket").isNotNull() & (F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")))
     plain = ranked.filter(~edge).withColumn("extra", inside.cast("int"))
     before = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = ranked.filter(edge).withColumn("upto", F.sum("size").over(before)).withColumn("fits", F.col("upto") <= F.col("missing"))
