@@ -2,11 +2,13 @@
 
 A text is split by the tokenizer's pattern. A pre-token that is not in the
 vocabulary is merged pair by pair, lowest rank first, leftmost first on ties.
-Its bytes form a linked list; each rank has a bucket with the positions where a
+The bytes form a linked list; each rank has a bucket with the positions where a
 pair of that rank began, and a two-level bitmap of wide words tells by
 find-first-set which non-empty bucket comes next. Positions whose pair has
 changed meanwhile are stale and skipped. Finding the next merge costs the same
-for a pre-token of five bytes as for one of a million.
+for a pre-token of five bytes as for one of a million. Many pre-tokens share
+one list and one queue, so a rank's bucket is found once for all of them; a
+merge that makes a pair of lower rank puts the rest of its bucket back.
 
 Scale: a scan without a shuffle, on Arrow batches; each worker loads the
 vocabulary once (fixed size) and remembers the ids of pre-tokens and of the
@@ -23,13 +25,12 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_BYTES = 90_000_000
+CACHE_BYTES = 150_000_000
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -48,45 +49,36 @@ def production_pattern() -> str:
 class RankQueue:
     """Buckets of positions by merge rank; find-first-set over a hierarchy of two bitmap levels.
 
-    A word has ``WORD`` bits, so two levels cover WORD * WORD ranks; a level of
-    wide words takes one step where narrow ones take two.
+    A word has 256 bits, so the vocabularies in use take some two hundred words
+    and one word above them.
     """
 
-    WORD_BITS = 10
-    MASKS = [1 << k for k in range(1 << WORD_BITS)]
+    MASKS = [1 << k for k in range(256)]
 
     def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> self.WORD_BITS) + 1)
+        self.low = [0] * ((ranks >> 8) + 1)
         self.high = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank >> 10
-            self.low[word] |= self.MASKS[rank & 1023]
-            self.high |= 1 << word
-        else:
-            heappush(bucket, position)
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A new bucket for a rank that has none; further positions are appended to it."""
+        self.buckets[rank] = positions
+        word = rank >> 8
+        self.low[word] |= self.MASKS[rank & 255]
+        self.high |= 1 << word
 
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position): lowest rank, then leftmost."""
-        if not self.high:
-            return None
+    def pop(self) -> tuple[int, list[int]]:
+        """(rank, positions) of the lowest rank, leftmost first. The queue must not be empty."""
         word = (self.high & -self.high).bit_length() - 1
         low = self.low[word]
-        bit = low & -low
-        rank = word << 10 | bit.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        low ^= bit
-        self.low[word] = low
-        if not low:
+        rest = low & (low - 1)
+        rank = (word << 8) + (low ^ rest).bit_length() - 1
+        self.low[word] = rest
+        if not rest:
             self.high &= self.high - 1
-        return rank, bucket[0]
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        return rank, positions
 
 
 #: Unicode white space, as the pattern's \\s means it.
@@ -96,21 +88,43 @@ _SEGMENTS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
 class Memo(dict):
-    """Results by key, forgotten all at once when they would take more than ``room`` bytes."""
+    """Values by key in two generations of half the ``room`` in bytes: what only the older one holds is forgotten with it.
+
+    A key without a value is noted in ``asked`` and gives None until it is told.
+    """
 
-    def __init__(self, make, room: int):
-        self.make, self.room, self.left = make, room, room
+    def __init__(self, room: int):
+        self.room, self.left, self.older, self.asked = room // 2, room // 2, {}, set()
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) < 1000:
-            self.left -= 210 + len(key) + len(value)
-            if self.left < 0:
-                self.clear()
-                self.left = self.room
+        value = self.older.get(key)
+        if value is None:
+            self.asked.add(key)
+        else:
             self[key] = value
+            self.left -= 210 + len(key) + len(value)
         return value
 
+    def tell(self, values: dict) -> None:
+        self.left -= sum(210 + len(k) + len(v) for k, v in values.items())
+        self.update(values)
+        self.asked.clear()
+
+    def rest(self) -> None:
+        """Between batches: start a new generation if this one is full."""
+        if self.left < 0:
+            self.older = self.copy()
+            self.clear()
+            self.left = self.room
+
+    def all(self, keys: list[list], tell) -> list[list]:
+        """The values of lists of keys; ``tell`` gets the set of those that have none yet and must tell them."""
+        found = [list(map(self.__getitem__, own)) for own in keys]
+        if self.asked:
+            tell(set(self.asked))
+            found = [[self[k] if v is None else v for k, v in zip(own, got)] if None in got else got for own, got in zip(keys, found)]
+        return found
+
 
 class Codec:
     """Ranks of one vocabulary; ids are kept as decimal text, as the digests want them."""
@@ -121,59 +135,99 @@ class Codec:
         self.bytes_of = {str(rank): token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.pieces = Memo(lambda piece: ",".join(map(str, self.merge(piece.encode()))), CACHE_BYTES)
-        self.segments = Memo(lambda s: ",".join([self.pieces[piece] for piece in self.find(s)]), CACHE_BYTES)
-        self.decoded = Memo(lambda ids: b"".join([self.bytes_of[x] for x in ids.split(",")]), CACHE_BYTES)
+        self.pieces, self.segments, self.decoded = Memo(CACHE_BYTES), Memo(CACHE_BYTES), Memo(CACHE_BYTES)
         self.split = _SEGMENTS.findall if pattern == production_pattern() else self.find
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        get = self.ranks.get
-        whole = get(piece)
-        if whole is not None:
-            return [whole]
-        n, push, pop = len(piece), self.queue.push, self.queue.pop
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token. All of them lie in one linked list, without pairs across their borders, and share the queue."""
+        text, get, queue = b"".join(pieces), self.ranks.get, self.queue
+        n, buckets = len(text), queue.buckets
+        first = bytearray(n + 1)  # 1 where a pre-token starts
+        first[n] = 1
+        at = 0
+        for piece in pieces:
+            first[at] = 1
+            at += len(piece)
         after = list(range(1, n + 2))  # where the part that starts here ends
         before = list(range(-1, n))  # where the part to the left starts
-        pair = [get(piece[k : k + 2]) for k in range(n - 1)]  # rank of the pair that starts here now
-        pair.append(None)
+        pair = [None if first[k + 1] else get(text[k : k + 2]) for k in range(n)]  # rank of the pair that starts here now
         for k, rank in enumerate(pair):
             if rank is not None:
-                push(rank, k)
-        while (found := pop()) is not None:
-            rank, k = found
-            if pair[k] != rank:
-                continue  # stale
-            gone = after[k]
-            end = after[k] = after[gone]
-            pair[gone] = None
-            if end < n:
-                before[end] = k
-                rank = pair[k] = get(piece[k : after[end]])
-                if rank is not None:
-                    push(rank, k)
-            else:
-                pair[k] = None
-            if k:
-                left = before[k]
-                rank = get(piece[left:end])
-                if rank != pair[left]:
-                    pair[left] = rank
+                if rank in buckets:
+                    buckets[rank].append(k)
+                else:
+                    queue.open(rank, [k])
+        while queue.high:
+            now, positions = queue.pop()
+            for done, k in enumerate(positions, 1):
+                if pair[k] != now:
+                    continue  # stale
+                gone = after[k]
+                end = after[k] = after[gone]
+                pair[gone] = None
+                lowest = now
+                rank = None
+                if not first[end]:
+                    before[end] = k
+                    rank = get(text[k : after[end]])
                     if rank is not None:
-                        push(rank, left)
-        out, k = [], 0
-        while k < n:
-            end = after[k]
-            out.append(self.ranks[piece[k:end]])
-            k = end
+                        if rank in buckets:
+                            buckets[rank].append(k)
+                        else:
+                            queue.open(rank, [k])
+                        lowest = min(lowest, rank)
+                pair[k] = rank
+                if not first[k]:
+                    left = before[k]
+                    rank = pair[left] = get(text[left:end])
+                    if rank is not None:
+                        if rank in buckets:
+                            buckets[rank].append(left)
+                        else:
+                            queue.open(rank, [left])
+                        lowest = min(lowest, rank)
+                if lowest < now:  # that pair comes first
+                    if done < len(positions):
+                        queue.open(now, positions[done:])
+                    break
+        out, at = [], 0
+        for piece in pieces:
+            ids, k, at = [], at, at + len(piece)
+            while k < at:
+                end = after[k]
+                ids.append(self.ranks[text[k:end]])
+                k = end
+            out.append(ids)
         return out
 
-    def encode(self, text: str) -> list[str]:
-        """The text's ids, decimal and joined by commas within each segment."""
-        return list(map(self.segments.__getitem__, self.split(text)))
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        pieces = list(pieces)
+        for begin in range(0, len(pieces), 2000):
+            part = pieces[begin : begin + 2000]
+            coded = [piece.encode() for piece in part]
+            ids = {k: [self.ranks[piece]] for k, piece in enumerate(coded) if piece in self.ranks}
+            open_ = [k for k in range(len(part)) if k not in ids]
+            ids |= zip(open_, self.merge([coded[k] for k in open_]))
+            self.pieces.tell({piece: ",".join(map(str, ids[k])) for k, piece in enumerate(part)})
+
+    def _learn_segments(self, segments: set[str]) -> None:
+        segments = list(segments)
+        ids = self.pieces.all([self.find(s) for s in segments], self._learn_pieces)
+        self.segments.tell({s: ",".join(x) for s, x in zip(segments, ids)})
+
+    def _learn_bytes(self, segments: set[str]) -> None:
+        self.decoded.tell({ids: b"".join([self.bytes_of[x] for x in ids.split(",")]) for ids in segments})
+
+    def encode(self, texts: list[str]) -> list[list[str]]:
+        """Each text's ids, decimal and joined by commas within each segment."""
+        self.pieces.rest()
+        self.segments.rest()
+        return self.segments.all([self.split(text) for text in texts], self._learn_segments)
 
-    def decode(self, segments: list[str]) -> bytes:
-        return b"".join(map(self.decoded.__getitem__, segments))
+    def decode(self, encoded: list[list[str]]) -> list[bytes]:
+        """The bytes of each text's ids; a segment of ids that was met before is remembered with its bytes."""
+        self.decoded.rest()
+        return [b"".join(x) for x in self.decoded.all(encoded, self._learn_bytes)]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -186,6 +240,16 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts are encoded together."""
+    for begin in range(0, batch.num_rows, rows):
+        yield batch.slice(begin, rows)
+
+
+def _texts(part: pa.RecordBatch) -> list[str]:
+    return [text or "" for text in part.column(1).to_pylist()]
+
+
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per document: doc_id and ids (array<int>), for training data."""
     path, pattern = path or production_path(), pattern or production_pattern()
@@ -193,10 +257,9 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids = ",".join(own.encode(batch.column(1)[row].as_py() or ""))
-                out = pa.array([[int(x) for x in ids.split(",")] if ids else []], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), out], names=["doc_id", "ids"])
+            for part in _parts(batch):
+                ids = [[int(x) for x in ",".join(segments).split(",") if x] for segments in own.encode(_texts(part))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -208,17 +271,16 @@ def annotate(docs: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for text in batch.column(1):
-                segments = own.encode(text.as_py() or "")
-                ids = ",".join(segments)
-                counts.append(ids.count(",") + 1 if ids else 0)
-                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(own.decode(segments)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in _parts(batch):
+                encoded = own.encode(_texts(part))
+                ids = [",".join(segments) for segments in encoded]
+                counts = [x.count(",") + 1 if x else 0 for x in ids]
+                of_ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
+                of_bytes = [hashlib.sha256(x).hexdigest() for x in own.decode(encoded)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
