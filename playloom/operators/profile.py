@@ -77,12 +77,12 @@ def identities(accounts: DataFrame) -> DataFrame:
 def account_rows(text: DataFrame) -> DataFrame:
     """Accounts of the four JSON layouts, one file per row (launcher, json)."""
     json = F.col("json")
-    name_id = "name string, id string, uuid string"
-    by_key = text.select("launcher", F.get_json_object(json, "$.activeAccountLocalId").alias("now"), F.explode(F.from_json(F.get_json_object(json, "$.accounts"), f"map<string,struct<minecraftProfile:struct<{name_id.replace(' ', ':')}>>>")).alias("k", "a"))
+    person = "struct<name:string,id:string,uuid:string>"
+    by_key = text.select("launcher", F.get_json_object(json, "$.activeAccountLocalId").alias("now"), F.explode(F.from_json(F.get_json_object(json, "$.accounts"), f"map<string,struct<minecraftProfile:{person}>>")).alias("k", "a"))
     parts = [by_key.select("launcher", F.col("a.minecraftProfile.name").alias("name"), F.col("a.minecraftProfile.id").alias("uuid"), F.coalesce(F.col("k") == F.col("now"), F.lit(False)).alias("active"))]
-    listed = text.select("launcher", F.explode(F.from_json(F.get_json_object(json, "$.accounts"), f"array<struct<active:boolean,profile:struct<{name_id.replace(' ', ':')}>>>")).alias("a"))
+    listed = text.select("launcher", F.explode(F.from_json(F.get_json_object(json, "$.accounts"), f"array<struct<active:boolean,profile:{person}>>")).alias("a"))
     parts.append(listed.select("launcher", F.col("a.profile.name").alias("name"), F.col("a.profile.id").alias("uuid"), F.coalesce("a.active", F.lit(False)).alias("active")))
-    cache = text.filter(F.ltrim(json).startswith("[")).select("launcher", F.explode(F.from_json(json, f"array<struct<{name_id.replace(' ', ':')}>>")).alias("a"))
+    cache = text.filter(F.ltrim(json).startswith("[")).select("launcher", F.explode(F.from_json(json, f"array<{person}>")).alias("a"))
     parts.append(cache.select("launcher", F.col("a.name").alias("name"), F.col("a.uuid").alias("uuid"), F.lit(False).alias("active")))
     flat = text.filter(F.ltrim(json).startswith("{") & F.get_json_object(json, "$.accounts").isNull()).select("launcher", F.explode(F.from_json(json, "map<string,string>")).alias("uuid", "name"))
     parts.append(flat.filter(uuid(F.col("uuid")).isNotNull()).select("launcher", "name", "uuid", F.lit(False).alias("active")))
