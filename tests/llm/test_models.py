@@ -46,8 +46,8 @@ PAGE = (
 
 
 def test_leaves():
-    got = [(b.text, b.path[-1]) for b in html_leaves.leaves("<div id='x'>a&nbsp;b<p class=\"c d\">fo<i>o</i>\n bar<!-- no --><p>q<li>x<li>y</div>z<")]
-    assert got == [("a b", ".x"), ("foo bar", ".d"), ("q", "<p"), ("x", "<li"), ("y", "<li"), ("z<", got[-1][1])]
+    got = [(b.text, b.path[-1:]) for b in html_leaves.leaves("<div id='x'>a&nbsp;b<p class=\"c d\">fo<i>o</i>\n bar<!-- no --><p>q<li>x<li>y</div>z<")]
+    assert got == [("a b", (".x",)), ("foo bar", (".d",)), ("q", ("<p",)), ("x", ("<li",)), ("y", ("<li",)), ("z<", ())]
 
 
 def test_article_is_found_and_the_rest_is_left():
