@@ -15,7 +15,8 @@ their k + 1 smallest ids, so a very common vector makes no long read. The final
 rank limits rows before the shuffle.
 
 Defined results: vectors that are null, empty or hold null or non-finite
-components take no part; vectors meet only vectors of their own length; ties go
+components take no part; scores that 64 bits cannot hold are ranked exactly and
+given as the nearest number that fits; vectors meet only vectors of their own length; ties go
 to the smaller id; a query never finds its own id; repeated rows of one id
 count once per block; empty tables give empty results.
 """
@@ -63,7 +64,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         if len(members[g]) <= k and vec_id not in members[g]:
             members[g].append(vec_id)
     # Floats hold these integer sums exactly up to 2**53; larger components are multiplied as integers.
-    largest = max(int(abs(x).max(initial=0)) for x in (exact, queries))
+    largest = max(int(np.abs(x.astype(np.float64)).max(initial=0)) for x in (exact, queries))
     exact_floats = largest * largest * max(1, exact.shape[1]) < 1 << 53
     file = ApproximationFile(exact)
     out: tuple[list, list, list] = ([], [], [])
@@ -86,7 +87,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
                 step *= 2
             out[0].extend([own] * len(best))
             out[1].extend(vec_id for _, vec_id in best)
-            out[2].extend(-score for score, _ in best)
+            out[2].extend(max(-(1 << 63), min((1 << 63) - 1, -score)) for score, _ in best)
     return out
 
 

@@ -4,16 +4,19 @@ from test_jaccard import brute
 import __spark_entry__
 import corpus_pipeline
 from playloom.llm import quality
+from playloom.shared import materialize
 
 
 def test_stages_against_brute_force(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     steps, docs = [], documents
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        docs = stage(spark, docs, sf)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialize(stage(spark, docs, sf), f"test-{name}")
         assert docs.columns == documents.columns
         steps.append([r["doc_id"] for r in docs.select("doc_id").collect()])
+    coded = corpus_pipeline.STAGES[4][1](spark, docs, sf)
+    assert coded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and coded.count() == len(steps[3])
     good = {r["doc_id"] for r in quality.annotate(documents, spark.read.parquet(f"{sf}/labels.parquet")).filter("predicted = 1").collect()}
     assert sorted(steps[0]) == sorted(good)
     texts = {i: texts[i] for i in good}
@@ -23,7 +26,6 @@ def test_stages_against_brute_force(spark, sf):
     assert set(steps[3]) <= set(steps[2]) and max(map(steps[3].count, set(steps[3]))) <= 3
 
 
-def test_registered_queries(spark, sf):
+def test_registered_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
-    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -36,6 +36,9 @@ def test_large_components_stay_exact():
     ids, v = np.arange(4), np.array([[1 << 40, 1], [1 << 40, 2], [-(1 << 40), 3], [5, 5]], np.int64)
     q, i, s = topk.search_block(ids[:1], v[:1] // (1 << 20), ids, v, 3)
     assert i == [1, 3, 2] and s[0] == (1 << 60)
+    v[:, 0] = [-(1 << 63), -(1 << 63), (1 << 63) - 1, 0]
+    q, i, s = topk.search_block(ids[:1], v[:1], ids, v, 3)
+    assert i == [1, 3, 2] and s == [(1 << 63) - 1, v[0, 1] * 5, -(1 << 63)]
 
 
 def test_approximation_bounds_hold():
