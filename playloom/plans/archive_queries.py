@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from playloom.operators import dashboard, explorers, filters
+from playloom.operators import dashboard, explorers, filters, habits
 from playloom.sources.archive import ARCHIVE_SQL, Archive
 
 
@@ -49,6 +49,12 @@ QUERIES = {
     "library_search": _on(filters.library_search, "2"),
     "instance_search": _on(filters.instance_search, "auto"),
     "mask_servers": _on(filters.mask_servers),
+    "breaks": _on(habits.breaks),
+    "streaks": _on(habits.streaks),
+    "weekdays": _on(habits.weekdays),
+    "start_hours": _on(habits.start_hours),
+    "medians": _on(habits.medians),
+    "crash_frequency": _on(habits.crash_frequency),
 }
 
 _LABEL = "case when {0} >= 80 then 'verified' when {0} >= 55 then 'high' when {0} >= 30 then 'partial' else 'unknown' end"
@@ -116,6 +122,9 @@ contexts as (
     from segments left join servers using (server_id) where kind in ('server', 'world'))"""
 
 
+_ACTIVE = ", active as (select day from slices group by day having sum(day_seconds) >= 60)"
+
+
 def _sql(select: str, *parts: str) -> str:
     return f"with {ARCHIVE_SQL}{''.join(parts)}\n{select}"
 
@@ -176,5 +185,11 @@ ORACLE_SQL = {
         union all select 'version', version, sessions from version_sums) where contains(lower(name), '2')""", _JUDGED),
     "instance_search": _sql("""select instance_id, instance_name, launcher, sessions from instance_sums
         where contains(lower(instance_name), 'auto') or contains(lower(launcher), 'auto') or coalesce(contains(lower(version), 'auto'), false) or coalesce(contains(lower(loader), 'auto'), false)""", _JUDGED),
+    "breaks": _sql("select b::varchar as last_day, day::varchar as next_day, (day - b - 1)::integer as days_off from (select day, lag(day) over (order by day) as b from active) where day - b > 1", _SLICES, _ACTIVE),
+    "streaks": _sql("select min(day)::varchar as first_day, count(*) as days from (select day, day - row_number() over (order by day)::integer as g from active) group by g", _SLICES, _ACTIVE),
+    "weekdays": _sql("select isodow(day)::integer as weekday, sum(day_seconds)::bigint // 60 as minutes from slices group by 1", _SLICES),
+    "start_hours": _sql("select ((start_ms + coalesce(offset_min, 0) * 60000) % 86400000) // 3600000 as hour, count(*) as sessions from runs group by 1"),
+    "medians": _sql("select instance_id, median(run_s) as median_seconds, min(run_s) as shortest_seconds from runs where run_s is not null group by 1"),
+    "crash_frequency": _sql("select version, round(100.0 * count(*) filter (where exit_kind = 'crash') / count(*), 6)::double as crashes_per_100 from runs group by 1"),
     "mask_servers": _sql("select server_id, 'Server ' || server_id as name, minutes, sessions from server_sums", _JUDGED),
 }
