@@ -6,13 +6,14 @@ only link if they share one of the first n - ceil(0.75 n) + 1 shingles of each,
 so those postings, with set size and position, make the index lists.
 
 Set relations replace most comparisons. Each list has a leader (its smallest
-class): every member is compared with it, once per pair over all lists. Members
-that link to their leader are connected already. For the others the leader's
-computed answers give the rest: with the overlaps o(u), o(m) to the leader,
+class), and each class meets the leaders of its lists one after the other,
+until it is connected with them; connected pairs need no answer. Where a list
+still has open members, not connected with its leader, the leader is compared
+with all members and its computed answers give the rest: with the overlaps o(u), o(m) to the leader,
 the overlap of u and m is at most
 min(o(u), o(m)) + min(n(u) - o(u), n(m) - o(m)); pairs below what a link needs,
 by this, by size or by position in the list, are skipped without reading a set.
-The members without a link form a new list with a new leader, and so on; after
+The open members form a new list with a new leader, and so on; after
 ``rounds`` leaders, what is left of a list is compared within, block by block.
 
 Scale: no list is gathered in one task and no list emits all its pairs: leaders
@@ -48,7 +49,9 @@ WORDS = 5
 #: Shingles in so many classes or more are put behind the others.
 FREQUENT = 8
 MAX_FREQUENT = 1 << 18
-ROUNDS = 4
+ROUNDS = 3
+#: Passes over a set of pairs in which a class is compared with one partner only.
+PASSES = 1
 #: Parts into which a list is cut for the cross test.
 CUTS = 16
 
@@ -207,52 +210,93 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return materialize(found, "jaccard-compared")
 
 
+class Connections:
+    """What is known so far: compared pairs, and the star edges (node, root) of the components of linked classes."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes = docs, classes
+        spark = docs.sparkSession
+        self.known = spark.createDataFrame([], "a long, b long, n_a long, n_b long, overlap long")
+        self.stars = spark.createDataFrame([], "node long, root long")
+
+    def with_root(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        """Adds the root of a class; a class without links is its own."""
+        stars = self.stars.select(F.col("node").alias(column), F.col("root").alias(name))
+        return rows.join(stars, column, "left").withColumn(name, F.coalesce(name, column))
+
+    def ordered(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) with a < b, once each, that were not compared yet."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return materialize(pairs.join(self.known, ["a", "b"], "left_anti"), "jaccard-pairs")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compares the pairs and joins the components of those that link."""
+        new = compared(pairs, self.docs, self.classes)
+        self.known = self.known.unionByName(new)
+        linked = new.filter(F.col("overlap") >= needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
+        if not linked.isEmpty():
+            self.stars = components(self.stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked))
+
+    def connect(self, pairs: DataFrame, passes: int = PASSES) -> None:
+        """Settles whether the ends of each pair belong together. A class is compared with one partner per pass, its
+        smallest; pairs that are connected by then need no answer. After the last pass, or where a pass would be half of
+        the pairs anyway, all that are left are compared."""
+        pairs = self.ordered(pairs)
+        for turn in range(passes + 1):
+            left = pairs.count()
+            if not left:
+                return
+            now = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-now")
+            if turn == passes or left <= 2 * now.count():
+                self.compare(pairs)
+                return
+            self.compare(now)
+            rooted = self.with_root(self.with_root(pairs, "a", "root_a"), "b", "root_b").filter("root_a <> root_b").select("a", "b")
+            pairs = self.ordered(rooted)
+
+    def overlaps(self) -> DataFrame:
+        """leader, class, overlap of every compared pair, both ways."""
+        one = self.known.select(F.col("a").alias("leader"), F.col("b").alias("class"), "overlap")
+        return one.unionByName(self.known.select(F.col("b").alias("leader"), F.col("a").alias("class"), "overlap"))
+
+
 def links(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS, cuts: int = CUTS) -> DataFrame:
-    """Linked class pairs (a, b) that connect whatever is connected."""
+    """Pairs (a, b) of classes, star-shaped, that connect exactly what links connect."""
     lists = index_lists(docs, frequent_shingles(docs))
     heads = lists.groupBy("token").agg(F.min(F.struct("class", "place")).alias("head"), F.max("class").alias("last"))
     heads = heads.filter(F.col("head.class") < F.col("last")).select("token", F.col("head.class").alias("leader"), F.col("head.place").alias("leader_place"))
-    members = materialize(lists.join(materialize(heads, "jaccard-heads"), "token"), "jaccard-lists")
-    known = None
-
-    def learn(pairs: DataFrame) -> None:
-        nonlocal known
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = compared(pairs, docs, classes)
-        known = new if known is None else known.unionByName(new)
-
+    members = materialize(lists.join(materialize(heads, "jaccard-heads"), "token").filter("class <> leader"), "jaccard-lists")
+    found = Connections(docs, classes)
     for turn in range(rounds + 1):
-        others = members.filter(F.col("class") != F.col("leader"))
-        learn(others.filter(_comparable("place", "leader_place")).select(F.col("leader").alias("a"), F.col("class").alias("b")))
-        answers = known.select(F.col("a").alias("leader"), F.col("b").alias("class"), "overlap").unionByName(
-            known.select(F.col("b").alias("leader"), F.col("a").alias("class"), "overlap")
-        )
-        told = others.join(answers, ["leader", "class"], "left")
-        linked = F.coalesce(F.col("overlap") >= needed(_size("place"), _size("leader_place")), F.lit(False))
-        told = materialize(told.select("token", "class", "place", "overlap", linked.alias("linked")).distinct(), "jaccard-told")
-        open_ = told.filter("not linked")
-        if open_.isEmpty():
+        found.connect(members.filter(_comparable("place", "leader_place")).select(F.col("leader").alias("a"), F.col("class").alias("b")))
+        rooted = found.with_root(found.with_root(members, "class", "root"), "leader", "leader_root")
+        told = materialize(rooted.withColumn("settled", F.col("root") == F.col("leader_root")).drop("leader_root"), "jaccard-told")
+        unsettled = materialize(told.filter("not settled").select("token").distinct(), "jaccard-unsettled")
+        if unsettled.isEmpty():
             break
+        # Lists with open members: the leader's answers for all their members, then the cross test.
+        told = materialize(told.join(unsettled, "token", "left_semi"), "jaccard-told")
+        found.compare(found.ordered(told.filter("settled").filter(_comparable("place", "leader_place")).select(F.col("leader").alias("a"), F.col("class").alias("b"))))
+        told = materialize(told.join(found.overlaps(), ["leader", "class"], "left").select("token", "class", "place", "root", "settled", "overlap").distinct(), "jaccard-told")
+        open_ = told.filter("not settled")
         last = turn == rounds
-        # Cross test: open members against the linked ones; after the last leader also against each other.
         cut = F.pmod(F.xxhash64("class"), F.lit(cuts))
-        parts = materialize(open_.groupBy("token", cut.alias("cut")).agg(F.collect_list(F.struct("class", "place", "overlap")).alias("open")), "jaccard-open")
-        met = (told if last else told.filter("linked")).withColumnRenamed("class", "m").withColumnRenamed("place", "m_place").withColumnRenamed("overlap", "m_overlap")
-        pairs = met.join(parts.select("token", "open"), "token").select(
-            "m", F.explode(F.filter("open", lambda u: _may_link(u, last))).alias("u")
-        )
-        learn(pairs.select(F.col("m").alias("a"), F.col("u.class").alias("b")))
+        parts = materialize(open_.groupBy("token", cut.alias("cut")).agg(F.collect_list(F.struct("class", "place", "root", "overlap")).alias("open")), "jaccard-open")
+        met = (told if last else told.filter("settled")).select("token", F.col("class").alias("m"), F.col("place").alias("m_place"), F.col("root").alias("m_root"), F.col("overlap").alias("m_overlap"), "settled")
+        pairs = met.join(parts.select("token", "open"), "token").select("m", F.explode(F.filter("open", _may_link)).alias("u"))
+        found.connect(pairs.select(F.col("m").alias("a"), F.col("u.class").alias("b")))
         if last:
             break
         next_heads = open_.groupBy("token").agg(F.min(F.struct("class", "place")).alias("head"), F.max("class").alias("top"))
         next_heads = next_heads.filter(F.col("head.class") < F.col("top")).select("token", F.col("head.class").alias("leader"), F.col("head.place").alias("leader_place"))
-        members = materialize(open_.select("token", "class", "place").join(materialize(next_heads, "jaccard-heads"), "token"), "jaccard-lists")
-    return known.filter(F.col("overlap") >= needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
+        members = open_.select("token", "class", "place").join(materialize(next_heads, "jaccard-heads"), "token").filter("class <> leader")
+        members = materialize(members, "jaccard-lists")
+        if members.isEmpty():
+            break
+    return found.stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _may_link(u: Column, both_open: bool) -> Column:
+def _may_link(u: Column) -> Column:
     """Whether the open member u and the row's member m can still link, by size, position and the leader's answers."""
     n_u, n_m = F.shiftright(u["place"], 32), _size("m_place")
     rest_u = n_u - u["place"].bitwiseAND(0xFFFFFFFF)
@@ -260,24 +304,23 @@ def _may_link(u: Column, both_open: bool) -> Column:
     bound = F.least(u["overlap"], F.col("m_overlap")) + F.least(n_u - u["overlap"], n_m - F.col("m_overlap"))
     either = u["overlap"].isNull() | F.col("m_overlap").isNull()  # never compared with the leader: no bound
     room = (4 * F.least(n_u, n_m) >= 3 * F.greatest(n_u, n_m)) & (F.least(rest_u, _rest("m_place")) >= need) & (either | (bound >= need))
-    return room & ((u["class"] < F.col("m")) | F.lit(not both_open) | F.col("linked")) & (u["class"] != F.col("m"))
+    return room & (u["root"] != F.col("m_root")) & (F.col("settled") | (u["class"] < F.col("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's smallest reachable node, by alternating large and small stars; nodes without an edge are absent."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    before = None
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # Done when every node has one smaller neighbour and no node is both a centre and a ray.
+        sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if sides.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars-min")
         large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars-large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "stars-min")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "stars")
+        edges = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
 
 
 def annotate(docs: DataFrame) -> DataFrame:
@@ -285,8 +328,8 @@ def annotate(docs: DataFrame) -> DataFrame:
     sets = materialize(sized_classes(docs), "jaccard-sets")
     classes = sets.filter("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min("doc_id").alias("first_id"))
     classes = materialize(classes.filter("first_id is not null"), "jaccard-classes")
-    roots = components(links(docs.filter("doc_id is not null"), classes))
-    rooted = materialize(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-rooted")
+    roots = links(docs.filter("doc_id is not null"), classes).select(F.col("a").alias("class"), F.col("b").alias("root"))
+    rooted = materialize(classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "jaccard-least")
     named = materialize(rooted.join(least, "root").select("class", "component_id"), "jaccard-named")
     out = sets.join(named, "class", "left")
