@@ -21,7 +21,7 @@ come from partial aggregates, members meet them in equi-joins whose skew AQE can
 split, and lists are cut by hash for the cross test. Shingles held by many
 classes come last in the order, so common passages seldom make long lists; at
 most ``max_frequent`` of them are told apart, which bounds what is broadcast.
-Texts move only for classes that take part in a comparison.
+Texts are picked once, for the classes that are in a list with another.
 
 Shingles are 64-bit hashes of the words' bytes; a class is a 64-bit digest of
 its sorted set together with the set's size.
@@ -180,11 +180,14 @@ def _comparable(p: str, q: str) -> Column:
     return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (F.least(_rest(p), _rest(q)) >= needed(a, b))
 
 
-def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Overlap and sizes of the class pairs (a, b), read from one text of each class."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    rows = wanted.join(classes.select("class", "first_id"), "class").select("class", "first_id")
-    texts = materialize(docs.select(F.col("doc_id").alias("first_id"), "text").join(rows, "first_id").select("class", "text"), "jaccard-texts")
+def texts_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, text): one text of each wanted class, read from the documents once for all comparisons."""
+    rows = classes.join(wanted.distinct(), "class", "left_semi").select("class", "first_id")
+    return materialize(docs.select(F.col("doc_id").alias("first_id"), "text").join(rows, "first_id").select("class", "text"), "jaccard-texts")
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Overlap and sizes of the class pairs (a, b)."""
     joined = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -213,9 +216,9 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 class Connections:
     """What is known so far: compared pairs, and the star edges (node, root) of the components of linked classes."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
-        spark = docs.sparkSession
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
+        spark = texts.sparkSession
         self.known = spark.createDataFrame([], "a long, b long, n_a long, n_b long, overlap long")
         self.stars = spark.createDataFrame([], "node long, root long")
 
@@ -231,7 +234,7 @@ class Connections:
 
     def compare(self, pairs: DataFrame) -> None:
         """Compares the pairs and joins the components of those that link."""
-        new = compared(pairs, self.docs, self.classes)
+        new = compared(pairs, self.texts)
         self.known = self.known.unionByName(new)
         linked = new.filter(F.col("overlap") >= needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
         if not linked.isEmpty():
@@ -266,7 +269,8 @@ def links(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS, cuts: int =
     heads = lists.groupBy("token").agg(F.min(F.struct("class", "place")).alias("head"), F.max("class").alias("last"))
     heads = heads.filter(F.col("head.class") < F.col("last")).select("token", F.col("head.class").alias("leader"), F.col("head.place").alias("leader_place"))
     members = materialize(lists.join(materialize(heads, "jaccard-heads"), "token").filter("class <> leader"), "jaccard-lists")
-    found = Connections(docs, classes)
+    wanted = members.select("class").unionByName(members.select(F.col("leader").alias("class")))
+    found = Connections(texts_of(wanted, docs, classes))
     for turn in range(rounds + 1):
         found.connect(members.filter(_comparable("place", "leader_place")).select(F.col("leader").alias("a"), F.col("class").alias("b")))
         rooted = found.with_root(found.with_root(members, "class", "root"), "leader", "leader_root")
