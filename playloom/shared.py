@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if configured is None and current.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="playloom-"))
         current = context._jsc.sc().getCheckpointDir()
     elif current.isEmpty():
@@ -33,6 +35,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one run of an operator, in one folder; what is not needed any more can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once as Parquet and read it back, as :func:`materialize` does."""
+        path = f"{self.folder}/{len(self.paths)}-{name}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_last(self) -> None:
+        """Delete all tables of this run but the last one."""
+        context = self.spark.sparkContext
+        for path in self.paths[:-1]:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = self.paths[-1:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
