@@ -1,30 +1,33 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and their connected components.
 
 Exact for 100 * intersection >= 75 * union. Equal sets form one class and are
-compared once. Shingles are ordered by (frequency class, hash); two classes can
+compared once. Shingles are ordered with the frequent ones last; two classes can
 only link if they share one of the first n - ceil(0.75 n) + 1 shingles of each,
 so those postings, with set size and position, make the index lists.
 
-Set relations replace most comparisons. Each list has a leader (its smallest
-class), and each class meets the leaders of its lists one after the other,
-until it is connected with them; connected pairs need no answer. Where a list
-still has open members, not connected with its leader, the leader is compared
-with all members and its computed answers give the rest: with the overlaps o(u), o(m) to the leader,
-the overlap of u and m is at most
-min(o(u), o(m)) + min(n(u) - o(u), n(m) - o(m)); pairs below what a link needs,
-by this, by size or by position in the list, are skipped without reading a set.
-The open members form a new list with a new leader, and so on; after
-``rounds`` leaders, what is left of a list is compared within, block by block.
-
-Scale: no list is gathered in one task and no list emits all its pairs: leaders
-come from partial aggregates, members meet them in equi-joins whose skew AQE can
-split, and lists are cut by hash for the cross test. Shingles held by many
-classes come last in the order, so common passages seldom make long lists; at
-most ``max_frequent`` of them are told apart, which bounds what is broadcast.
-Texts are picked once, for the classes that are in a list with another.
+Skipping in the index: a list holds for each class its size and position. A
+posting whose size and position leave no room for a link with any other posting
+of its list is dropped where the list is made, and blocks of postings are
+skipped whole by the ranges of their sizes and rests. Lists of the same classes
+are one list.
+
+Skipping by answers: each list has a leader (its smallest class), which is
+compared with the other members. These computed answers give the rest: with the
+overlaps o(u), o(m) to the leader, the overlap of u and m is at most
+min(o(u), o(m)) + min(n(u) - o(u), n(m) - o(m)). Members connected with their
+leader are settled; open ones are tested against the settled ones as far as
+this bound and the connections made so far leave it open. The open members make
+a new list with a new leader; after ``rounds`` leaders what is left of a list is
+tested within.
+
+Scale: the postings are the one large exchange. They travel packed, in buckets
+of about ``BUCKET_POSTINGS``; those of a shingle that only one class has are
+dropped there. Postings of frequent shingles are dealt by class, so a long list
+is never gathered. Sets travel once for each leader they meet, cut into parts
+of about ``PART`` shingles; no task holds more than two parts.
 
 Shingles are 64-bit hashes of the words' bytes; a class is a 64-bit digest of
-its sorted set together with the set's size.
+its sorted set.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; rows with null doc_id are returned with their n_shingles and a null
@@ -34,135 +37,231 @@ component; repeated rows fall into one class; empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playloom.llm.bloom import passing
 from playloom.llm.columns import fresh
 from playloom.llm.words import chunks, hashed_words, mix64
-from playloom.shared import materialize
+from playloom.shared import Tables
 
 WORDS = 5
-#: Shingles in so many classes or more are put behind the others.
+#: A shingle that so many sets of one Arrow batch have is counted as frequent.
 FREQUENT = 8
+#: Frequent shingles that are told apart, at most; they are broadcast (9 bytes each).
 MAX_FREQUENT = 1 << 18
-ROUNDS = 3
-#: Passes over a set of pairs in which a class is compared with one partner only.
-PASSES = 1
-#: Parts into which a list is cut for the cross test.
-CUTS = 16
+#: Leaders that a list has, one after the other.
+ROUNDS = 2
+BUCKET_POSTINGS = 400_000
+#: Shingles of the sets that meet in one task, about.
+PART = 1 << 20
+#: Postings of a block that is skipped whole.
+BLOCK = 128
+#: Lists up to this length are searched for postings without a partner.
+SHORT = 48
 
 _FACTORS = mix64(np.arange(1000, 1000 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
+def sets_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a chunk."""
+    words, first = hashed_words(data, offsets)
+    full = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
+    for k in range(WORDS if len(full) else 0):
+        full += words[k : len(words) - WORDS + 1 + k] * _FACTORS[k]
+    full = mix64(full)
+    for begin, end in zip(first[:-1].tolist(), first[1:].tolist()):
+        if end - begin >= WORDS:
+            yield np.unique(full[begin : end - WORDS + 1])
+        elif end > begin:
+            short = np.add.reduce(words[begin:end] * _FACTORS[: end - begin]) + np.uint64(end - begin)
+            yield mix64(np.array([short], np.uint64))
+        else:
+            yield np.empty(0, np.uint64)
+
+
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    out: list[np.ndarray] = []
-    for _, data, offsets in chunks(texts):
-        words, first = hashed_words(data, offsets)
-        full = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
-        for k in range(WORDS):
-            full += words[k : len(words) - WORDS + 1 + k] * _FACTORS[k] if len(full) else np.uint64(0)
-        full = mix64(full)
-        for begin, end in zip(first[:-1].tolist(), first[1:].tolist()):
-            if end - begin >= WORDS:
-                out.append(np.unique(full[begin : end - WORDS + 1]))
-            elif end > begin:
-                short = np.add.reduce(words[begin:end] * _FACTORS[: end - begin]) + np.uint64(end - begin)
-                out.append(mix64(np.array([short], np.uint64)))
-            else:
-                out.append(np.empty(0, np.uint64))
-    return out
+    return [s for _, data, offsets in chunks(texts) for s in sets_of(data, offsets)]
 
 
 def _class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(tokens.tobytes()).digest()[:8], "little", signed=True)
 
 
-def _prefix(n: int) -> int:
+def _prefix(n):
     return n - -(-3 * n // 4) + 1
 
 
-def needed(a: Column, b: Column) -> Column:
+def _need(a, b):
     """Smallest overlap of a link between sets of these sizes: 7 * overlap >= 3 * (a + b)."""
-    return F.ceil((a + b) * 3 / 7).cast("long")
+    return -(-3 * (a + b) // 7)
 
 
-def sized_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and class of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "class"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long")
-
-
-def _new_sets(batch: pa.RecordBatch, seen: set[int]) -> list[tuple[int, np.ndarray]]:
-    """(class, set) of the classes that this task has not met yet."""
-    out = []
-    for s in shingle_sets(batch.column(0)):
-        key = _class_of(s)
-        if len(s) and key not in seen:
-            seen.add(key)
-            out.append((key, s))
-    return out
+def _room(n_a, rest_a, n_b, rest_b):
+    """Size and position leave room for a link (at the first shared shingle nothing was shared before)."""
+    return (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (np.minimum(rest_a, rest_b) >= _need(n_a, n_b))
 
 
-def frequent_shingles(docs: DataFrame, least: int = FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in many prefixes, sorted, with the log2 of their counts; at most ``most`` of them, the most frequent."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """One scan gives two kinds of rows: doc_id, n_shingles and class of every document; token and n of what is frequent
+    in an Arrow batch."""
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        names = ["doc_id", "n_shingles", "class", "token", "n"]
         for batch in batches:
-            heads = [s[: _prefix(len(s))] for _, s in _new_sets(batch, seen)]
-            if heads:
-                token, n = np.unique(np.concatenate(heads), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = materialize(counts.filter(F.col("n") >= least).select("token", F.floor(F.log2("n")).cast("int").alias("level")), "jaccard-frequent")
-    levels = sorted(((r["level"], r["count"]) for r in often.groupBy("level").count().collect()), reverse=True)
+            sizes, keys, new = [], [], []
+            slots = np.zeros(1 << 20, np.uint32)
+            for _, data, offsets in chunks(batch.column(1)):
+                for s in sets_of(data, offsets):
+                    key = _class_of(s)
+                    sizes.append(len(s))
+                    keys.append(key)
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        new.append(s)
+                        np.add.at(slots, (s >> np.uint64(44)).astype(np.int64), 1)
+            ids, none = batch.column(0), pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none], names=names)
+            # A slot counts all shingles that fall into it, so no frequent one is missed.
+            often = [s[slots[(s >> np.uint64(44)).astype(np.int64)] >= FREQUENT] for s in new]
+            token, n = np.unique(np.concatenate(often) if often else np.empty(0, np.uint64), return_counts=True)
+            token, n = token[n >= FREQUENT], n[n >= FREQUENT]
+            none = pa.nulls(len(token), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), ids.type), none, none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, class long, token long, n long")
+
+
+def frequent_shingles(counts: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, with the log2 of their counts; at most ``most`` of them."""
+    levels = counts.groupBy("token").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level"))
     floor, total = 64, 0
-    for level, n in levels:
+    for level, n in sorted(((r["level"], r["count"]) for r in levels.groupBy("level").count().collect()), reverse=True):
         if total + n > most:
             break
         floor, total = level, total + n
-    rows = often.filter(F.col("level") >= floor).toArrow()
+    rows = levels.filter(F.col("level") >= floor).toArrow()
     token, level = rows.column("token").to_numpy().view(np.uint64), rows.column("level").to_numpy()
     order = np.argsort(token)
     return token[order], level[order].astype(np.uint8)
 
 
-def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Postings (token, class, size, position): the first shingles of each set, rare ones first."""
+def _known(sorted_tokens: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``s`` is in the sorted array, and whether it is there."""
+    if not len(sorted_tokens):
+        return np.zeros(len(s), np.int64), np.zeros(len(s), bool)
+    at = np.minimum(np.searchsorted(sorted_tokens, s), len(sorted_tokens) - 1)
+    return at, sorted_tokens[at] == s
+
+
+def packed_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """(bucket, payload): tokens, classes and places (size << 32 + position) of the first shingles of each set, frequent ones
+    last. A token has one bucket; a frequent one has a bucket for each class."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, levels = shared.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, keys, places = [], [], []
-            for key, s in _new_sets(batch, seen):
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    level = np.where(often[at] == s, levels[at], 0)
-                    s = s[np.argsort(level, kind="stable")]
-                head = s[: _prefix(len(s))]
-                tokens.append(head.view(np.int64))
-                keys.append(np.full(len(head), key, np.int64))
-                places.append((len(s) << 32) + np.arange(len(head), dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, places)], names=["token", "class", "place"])
-
-    return docs.select("text").mapInArrow(run, "token long, class long, place long")
+            for _, data, offsets in chunks(batch.column(0)):
+                heads, keys, sizes, hot = [], [], [], []
+                for s in sets_of(data, offsets):
+                    key = _class_of(s)
+                    if not len(s) or key in seen:
+                        continue
+                    seen.add(key)
+                    at, known = _known(often, s)
+                    order = np.argsort(np.where(known, levels[at], 0) if len(often) else known, kind="stable")[: _prefix(len(s))]
+                    heads.append(s[order])
+                    hot.append(known[order])
+                    keys.append(key)
+                    sizes.append(len(s))
+                if not heads:
+                    continue
+                length = np.array([len(h) for h in heads])
+                token, key = np.concatenate(heads), np.repeat(np.array(keys, np.int64), length)
+                place = (np.repeat(np.array(sizes, np.int64), length) << 32) + np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+                bucket = mix64(np.where(np.concatenate(hot), token ^ mix64(key.view(np.uint64)), token)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                columns = [x[order] for x in (token.view(np.int64), key, place)]
+                payload = [b"".join(x[b:e].tobytes() for x in columns) for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, payload binary")
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted run of equal rows begins."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def _with_partner(begin: np.ndarray, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which postings have room for a link with another of their list; those of long lists count as having it."""
+    owner = np.repeat(np.arange(len(begin)), length)
+    good = np.repeat(length > SHORT, length)
+    size, rest = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
+    for step in range(1, min(SHORT, int(length.max(initial=1)))):
+        low = np.flatnonzero((owner[step:] == owner[:-step]) & (length[owner[step:]] <= SHORT))
+        high = low + step
+        room = _room(size[low], rest[low], size[high], rest[high])
+        good[low[room]] = True
+        good[high[room]] = True
+    return good
+
+
+def lists_of_bucket(frequent: np.ndarray, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, class, place) of a bucket's postings: each class once in a list, lists of two classes or more."""
+    parts = [np.frombuffer(p, np.int64).reshape(3, -1) for p in payloads]
+    token, key, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((key, token))
+    token, key, place = token[order], key[order], place[order]
+    at = _firsts(token, key)
+    token, key, place = token[at], key[at], place[at]
+    hot = _known(frequent, token.view(np.uint64))[1]
+    begin = _firsts(token)
+    length = np.diff(np.r_[begin, len(token)])
+    keep = np.repeat(length > 1, length) & ~hot
+    out = [(token[hot], key[hot], place[hot])]
+    token, key, place = token[keep], key[keep], place[keep]
+    if len(token):
+        begin = _firsts(token)
+        keep = _with_partner(begin, np.diff(np.r_[begin, len(token)]), place)
+        token, key, place = token[keep], key[keep], place[keep]
+    if len(token):
+        # Lists of the same classes get the same name; of a class's places the first counts, which leaves the most room.
+        begin = _firsts(token)
+        mixed = np.add.reduceat(mix64(key.view(np.uint64)), begin)
+        name = np.repeat(mix64(mixed).view(np.int64), np.diff(np.r_[begin, len(token)]))
+        order = np.lexsort((place, key, name))
+        name, key, place = name[order], key[order], place[order]
+        at = _firsts(name, key)
+        out.append((name[at], key[at], place[at]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """(list, class, place) of all lists in which classes may meet."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent[0])
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = lists_of_bucket(shared.value, [v.as_buffer() for v in table.column("payload")])
+        return pa.table([pa.array(c) for c in columns], names=["list", "class", "place"])
+
+    found = packed_postings(docs, frequent, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "list long, class long, place long")
+    return found.groupBy("list", "class").agg(F.min("place").alias("place"))
 
 
 def _size(place: str) -> Column:
@@ -174,171 +273,255 @@ def _rest(place: str) -> Column:
     return _size(place) - F.col(place).bitwiseAND(0xFFFFFFFF)
 
 
-def _comparable(p: str, q: str) -> Column:
-    """Size and position leave room for a link (at the first shared shingle nothing was shared before)."""
+def _has_room(p: str, q: str) -> Column:
     a, b = _size(p), _size(q)
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (F.least(_rest(p), _rest(q)) >= needed(a, b))
-
-
-def texts_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, text): one text of each wanted class, read from the documents once for all comparisons."""
-    rows = classes.join(wanted.distinct(), "class", "left_semi").select("class", "first_id")
-    return materialize(docs.select(F.col("doc_id").alias("first_id"), "text").join(rows, "first_id").select("class", "text"), "jaccard-texts")
-
-
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Overlap and sizes of the class pairs (a, b)."""
-    joined = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 512):
-                batch = whole.slice(begin, 512)
-                sides = []
-                for column in (2, 3):
-                    once = batch.column(column).dictionary_encode()
-                    sets = shingle_sets(once.dictionary)
-                    keys = [_class_of(s) for s in sets]
-                    sides.append([(keys[k], sets[k]) for k in once.indices.to_pylist()])
-                out: list[tuple] = []
-                for a, b, (key_a, x), (key_b, y) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *sides):
-                    if (a, b) == (key_a, key_b):  # else another text under a repeated doc_id
-                        small, large = (x, y) if len(x) < len(y) else (y, x)
-                        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        out.append((a, b, len(x), len(y), int((large[at] == small).sum())))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["a", "b", "n_a", "n_b", "overlap"])
-
-    found = joined.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long").dropDuplicates(["a", "b"])
-    return materialize(found, "jaccard-compared")
-
-
-class Connections:
-    """What is known so far: compared pairs, and the star edges (node, root) of the components of linked classes."""
-
-    def __init__(self, texts: DataFrame):
-        self.texts = texts
-        spark = texts.sparkSession
-        self.known = spark.createDataFrame([], "a long, b long, n_a long, n_b long, overlap long")
-        self.stars = spark.createDataFrame([], "node long, root long")
-
-    def with_root(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        """Adds the root of a class; a class without links is its own."""
-        stars = self.stars.select(F.col("node").alias(column), F.col("root").alias(name))
-        return rows.join(stars, column, "left").withColumn(name, F.coalesce(name, column))
-
-    def ordered(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with a < b, once each, that were not compared yet."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return materialize(pairs.join(self.known, ["a", "b"], "left_anti"), "jaccard-pairs")
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Compares the pairs and joins the components of those that link."""
-        new = compared(pairs, self.texts)
-        self.known = self.known.unionByName(new)
-        linked = new.filter(F.col("overlap") >= needed(F.col("n_a"), F.col("n_b"))).select("a", "b")
-        if not linked.isEmpty():
-            self.stars = components(self.stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked))
-
-    def connect(self, pairs: DataFrame, passes: int = PASSES) -> None:
-        """Settles whether the ends of each pair belong together. A class is compared with one partner per pass, its
-        smallest; pairs that are connected by then need no answer. After the last pass, or where a pass would be half of
-        the pairs anyway, all that are left are compared."""
-        pairs = self.ordered(pairs)
-        for turn in range(passes + 1):
-            left = pairs.count()
-            if not left:
-                return
-            now = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-now")
-            if turn == passes or left <= 2 * now.count():
-                self.compare(pairs)
-                return
-            self.compare(now)
-            rooted = self.with_root(self.with_root(pairs, "a", "root_a"), "b", "root_b").filter("root_a <> root_b").select("a", "b")
-            pairs = self.ordered(rooted)
-
-    def overlaps(self) -> DataFrame:
-        """leader, class, overlap of every compared pair, both ways."""
-        one = self.known.select(F.col("a").alias("leader"), F.col("b").alias("class"), "overlap")
-        return one.unionByName(self.known.select(F.col("b").alias("leader"), F.col("a").alias("class"), "overlap"))
-
-
-def links(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS, cuts: int = CUTS) -> DataFrame:
-    """Pairs (a, b) of classes, star-shaped, that connect exactly what links connect."""
-    lists = index_lists(docs, frequent_shingles(docs))
-    heads = lists.groupBy("token").agg(F.min(F.struct("class", "place")).alias("head"), F.max("class").alias("last"))
-    heads = heads.filter(F.col("head.class") < F.col("last")).select("token", F.col("head.class").alias("leader"), F.col("head.place").alias("leader_place"))
-    members = materialize(lists.join(materialize(heads, "jaccard-heads"), "token").filter("class <> leader"), "jaccard-lists")
-    wanted = members.select("class").unionByName(members.select(F.col("leader").alias("class")))
-    found = Connections(texts_of(wanted, docs, classes))
-    for turn in range(rounds + 1):
-        found.connect(members.filter(_comparable("place", "leader_place")).select(F.col("leader").alias("a"), F.col("class").alias("b")))
-        rooted = found.with_root(found.with_root(members, "class", "root"), "leader", "leader_root")
-        told = materialize(rooted.withColumn("settled", F.col("root") == F.col("leader_root")).drop("leader_root"), "jaccard-told")
-        unsettled = materialize(told.filter("not settled").select("token").distinct(), "jaccard-unsettled")
+    return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (7 * F.least(_rest(p), _rest(q)) >= 3 * (a + b))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each key of a sorted stream, together; a key is its first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        begin = _firsts(*columns).tolist()
+        for b, e in zip(begin, [*begin[1:], batch.num_rows]):
+            key = tuple(int(c[b]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(b, e - b))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Crowd:
+    """Sets side by side, to be met by others one at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        token = np.concatenate(sets)
+        order = np.argsort(token, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.token, begin = np.unique(token[order], return_index=True)
+        self.begin = np.append(begin, len(token))
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        """Overlap of ``s`` with each set."""
+        at, known = _known(self.token, s)
+        at = at[known]
+        low, n = self.begin[at], self.begin[at + 1] - self.begin[at]
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[places], minlength=len(self.sizes))
+
+
+def _text_sets(table: pa.Table, classes: str = "class") -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """Classes, sets and row numbers of a table's rows; rows whose text is of another class (a doc_id that comes again) drop out."""
+    keys, sets, at = [], [], []
+    for row, (key, s) in enumerate(zip(table.column(classes).to_pylist(), shingle_sets(table.column("text")))):
+        if key == _class_of(s):
+            keys.append(key)
+            sets.append(s)
+            at.append(row)
+    return keys, sets, np.array(at, np.int64)
+
+
+def _in_parts(rows: DataFrame, by: str, side: str, part: int) -> DataFrame:
+    """Adds ``cuts_0`` and ``cuts_1``: into how many parts the rows of each key and side are cut, by the sizes of their sets."""
+    sums = rows.groupBy(by).agg(*[F.ceil((F.coalesce(F.sum(F.when(F.col(side) == k, F.col("size"))), F.lit(0)) + 1) / part).alias(f"cuts_{k}") for k in (0, 1)])
+    return rows.join(sums, by)
+
+
+def met(rows: DataFrame, texts: DataFrame | None, run: Callable[[pa.Table], pa.Table], schema: str, part: int = PART) -> DataFrame:
+    """Rows (leader, class, side, size, ...): each part of side 0 meets each part of side 1 of its leader in ``run``."""
+    cut = _in_parts(rows, "leader", "side", part)
+    own, other = F.col("side"), F.lit(1) - F.col("side")
+    mine = F.pmod(F.xxhash64("class"), F.when(own == 0, F.col("cuts_0")).otherwise(F.col("cuts_1")))
+    theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.when(other == 0, F.col("cuts_0")).otherwise(F.col("cuts_1")) - 1))
+    cells = cut.withColumn("mine", mine).withColumn("theirs", theirs)
+    first, second = F.when(own == 0, F.col("mine")).otherwise(F.col("theirs")), F.when(own == 0, F.col("theirs")).otherwise(F.col("mine"))
+    names = [c for c in rows.columns if c not in ("leader", "text")]
+    cells = cells.select("leader", first.alias("part_0"), second.alias("part_1"), *names)
+    if texts is not None:
+        cells = cells.join(texts, "class").select("leader", "part_0", "part_1", *names, "text")
+    keys = ("leader", "part_0", "part_1")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, len(keys)):
+            sides = set(table.column("side").unique().to_pylist())
+            if sides == {0, 1}:
+                yield from run(table).to_batches(max_chunksize=65_536)
+
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def answers_of(table: pa.Table) -> pa.Table:
+    """Overlap of the leader (side 0) with each other class (side 1)."""
+    keys, sets, at = _text_sets(table)
+    side = table.column("side").to_numpy()[at]
+    leader = [k for k in range(len(at)) if side[k] == 0]
+    out: list[tuple] = []
+    if leader:
+        crowd = Crowd([sets[leader[0]]])
+        out = [(keys[leader[0]], keys[k], int(crowd.sizes[0]), len(sets[k]), int(crowd.overlaps(sets[k])[0])) for k in range(len(at)) if side[k] == 1]
+    return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["leader", "class", "n_leader", "n_class", "overlap"])
+
+
+def _still_open(o: dict[str, np.ndarray], m: dict[str, np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which open rows and which others have a partner on the other side that may still link: by size, position, root and the
+    leader's answers. Both come sorted by size, so blocks are skipped by their ranges first."""
+    keep_o, keep_m = np.zeros(len(o["size"]), bool), np.zeros(len(m["size"]), bool)
+    for a in range(0, len(keep_o), BLOCK):
+        x = {k: v[a : a + BLOCK] for k, v in o.items()}
+        for b in range(0, len(keep_m), BLOCK):
+            y = {k: v[b : b + BLOCK] for k, v in m.items()}
+            if 4 * min(x["size"][-1], y["size"][-1]) < 3 * max(x["size"][0], y["size"][0]) or min(x["rest"].max(), y["rest"].max()) < _need(x["size"][0], y["size"][0]):
+                continue
+            u, v = {k: c[:, None] for k, c in x.items()}, {k: c[None, :] for k, c in y.items()}
+            may = _room(u["size"], u["rest"], v["size"], v["rest"]) & (u["root"] != v["root"])
+            bound = np.minimum(u["most"], v["most"]) + np.minimum(u["size"] - u["least"], v["size"] - v["least"])
+            may &= bound >= _need(u["size"], v["size"])
+            if within:
+                may &= u["class"] != v["class"]
+            keep_o[a : a + BLOCK] |= may.any(1)
+            keep_m[b : b + BLOCK] |= may.any(0)
+    return keep_o, keep_m
+
+
+def open_cells(table: pa.Table) -> pa.Table:
+    """(leader, class, side) of the rows that have a partner to be tested."""
+    side = table.column("side").to_numpy()
+    size, place = table.column("size").to_numpy(), table.column("place").to_numpy()
+    overlap = table.column("overlap").fill_null(-1).to_numpy()
+    columns = {
+        "class": table.column("class").to_numpy(), "root": table.column("root").to_numpy(), "size": size, "rest": size - (place & 0xFFFFFFFF),
+        "most": np.where(overlap < 0, size, overlap), "least": np.maximum(overlap, 0),
+    }
+    order = np.argsort(size, kind="stable")
+    rows = [order[side[order] == k] for k in (0, 1)]
+    kept = _still_open(*[{k: v[at] for k, v in columns.items()} for at in rows], within=True)
+    at = np.concatenate([r[k] for r, k in zip(rows, kept)])
+    return pa.table({"leader": table.column("leader").take(at), "class": table.column("class").take(at), "side": table.column("side").take(at)})
+
+
+def links_between(table: pa.Table) -> pa.Table:
+    """Links (a, b) of open rows (side 0) and others (side 1), as many as connect what their links connect."""
+    keys, sets, at = _text_sets(table)
+    side, roots = table.column("side").to_numpy()[at], table.column("root").to_numpy()[at].tolist()
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    out: list[tuple[int, int]] = []
+    first = [k for k in range(len(at)) if side[k] == 0]
+    if first:
+        crowd = Crowd([sets[k] for k in first])
+        for k in np.flatnonzero(side == 1).tolist():
+            own = root(roots[k])
+            if all(root(roots[f]) == own for f in first):
+                continue
+            overlap = crowd.overlaps(sets[k])
+            for f in np.flatnonzero(7 * overlap >= 3 * (crowd.sizes + len(sets[k]))).tolist():
+                a, b = root(roots[first[f]]), root(roots[k])
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((keys[first[f]], keys[k]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _rooted(rows: DataFrame, stars: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the root of a class; a class without links is its own."""
+    named = stars.select(F.col("node").alias(column), F.col("root").alias(name))
+    return rows.join(named, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def links(docs: DataFrame, sets: DataFrame, counts: DataFrame, tables: Tables, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
+    """(node, root) of the classes that links connect; ``sets`` has first_id, class and n_shingles of each class."""
+    spark = docs.sparkSession
+    postings = sets.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * 3 / 4) + 1)).first()[0] or 0
+    lists = tables.write(index_lists(docs, frequent_shingles(counts), max(1, -(-postings // BUCKET_POSTINGS))), "lists")
+    wanted = tables.write(lists.select("class").distinct().join(sets, "class").select("class", "first_id"), "wanted")
+    texts = tables.write(passing(docs.select(F.col("doc_id").alias("first_id"), "text"), wanted, "first_id").join(wanted, "first_id").select("class", "text"), "texts")
+    stars = spark.createDataFrame([], "node long, root long")
+    known = spark.createDataFrame([], "leader long, class long, overlap long")
+    for turn in range(rounds):
+        last = turn == rounds - 1
+        heads = lists.groupBy("list").agg(F.min(F.struct("class", "place")).alias("head"), F.count(F.lit(1)).alias("length")).filter("length > 1")
+        heads = tables.write(heads.select("list", F.col("head.class").alias("leader"), F.col("head.place").alias("leader_place"), "length"), "heads")
+        rows = lists.join(heads, "list").filter("class <> leader")
+        near = rows.filter(_has_room("place", "leader_place")).groupBy("leader", "class").agg(F.max(_size("place")).alias("size"), F.max(_size("leader_place")).alias("leader_size"))
+        near = _rooted(_rooted(near, stars, "class", "root"), stars, "leader", "leader_root").filter("root <> leader_root").drop("root", "leader_root")
+        near = tables.write(near.join(known, ["leader", "class"], "left_anti"), "near")
+        both = near.select("leader", "class", F.lit(1).alias("side"), "size").unionByName(
+            near.select("leader", F.col("leader").alias("class"), F.lit(0).alias("side"), F.col("leader_size").alias("size")).distinct()
+        )
+        told = tables.write(met(both, texts, answers_of, "leader long, class long, n_leader long, n_class long, overlap long", part).distinct(), "told")
+        known = known.unionByName(told.select("leader", "class", "overlap"))
+        linked = told.filter("7 * overlap >= 3 * (n_leader + n_class)").select(F.col("leader").alias("a"), F.col("class").alias("b"))
+        stars = joined(stars, linked, tables)
+        # Open members of lists of three or more, against the settled ones; in the last round against all.
+        rows = _rooted(_rooted(rows.filter("length > 2"), stars, "class", "root"), stars, "leader", "leader_root")
+        rows = tables.write(rows.withColumn("open", F.col("root") != F.col("leader_root")), "rows")
+        unsettled = tables.write(rows.filter("open").select("list").distinct(), "unsettled")
         if unsettled.isEmpty():
             break
-        # Lists with open members: the leader's answers for all their members, then the cross test.
-        told = materialize(told.join(unsettled, "token", "left_semi"), "jaccard-told")
-        found.compare(found.ordered(told.filter("settled").filter(_comparable("place", "leader_place")).select(F.col("leader").alias("a"), F.col("class").alias("b"))))
-        told = materialize(told.join(found.overlaps(), ["leader", "class"], "left").select("token", "class", "place", "root", "settled", "overlap").distinct(), "jaccard-told")
-        open_ = told.filter("not settled")
-        last = turn == rounds
-        cut = F.pmod(F.xxhash64("class"), F.lit(cuts))
-        parts = materialize(open_.groupBy("token", cut.alias("cut")).agg(F.collect_list(F.struct("class", "place", "root", "overlap")).alias("open")), "jaccard-open")
-        met = (told if last else told.filter("settled")).select("token", F.col("class").alias("m"), F.col("place").alias("m_place"), F.col("root").alias("m_root"), F.col("overlap").alias("m_overlap"), "settled")
-        pairs = met.join(parts.select("token", "open"), "token").select("m", F.explode(F.filter("open", _may_link)).alias("u"))
-        found.connect(pairs.select(F.col("m").alias("a"), F.col("u.class").alias("b")))
-        if last:
-            break
-        next_heads = open_.groupBy("token").agg(F.min(F.struct("class", "place")).alias("head"), F.max("class").alias("top"))
-        next_heads = next_heads.filter(F.col("head.class") < F.col("top")).select("token", F.col("head.class").alias("leader"), F.col("head.place").alias("leader_place"))
-        members = open_.select("token", "class", "place").join(materialize(next_heads, "jaccard-heads"), "token").filter("class <> leader")
-        members = materialize(members, "jaccard-lists")
-        if members.isEmpty():
-            break
-    return found.stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        block = rows.join(unsettled, "list", "left_semi").groupBy("leader", "class").agg(F.min("place").alias("place"), F.max("root").alias("root"), F.max("open").alias("open"))
+        block = tables.write(block.join(known, ["leader", "class"], "left").withColumn("size", _size("place")), "block")
+        sides = F.when(F.col("open"), F.array(F.lit(0), F.lit(1)) if last else F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
+        block = block.withColumn("side", F.explode(sides))
+        cells = met(block.select("leader", "class", "side", "size", "place", "root", "overlap"), None, open_cells, "leader long, class long, side int", part)
+        cells = tables.write(cells.distinct().join(block.select("leader", "class", "side", "size", "root"), ["leader", "class", "side"]), "cells")
+        stars = joined(stars, tables.write(met(cells, texts, links_between, "a long, b long", part), "links"), tables)
+        lists = rows.filter("open").select("list", "class", "place")
+    return stars
 
 
-def _may_link(u: Column) -> Column:
-    """Whether the open member u and the row's member m can still link, by size, position and the leader's answers."""
-    n_u, n_m = F.shiftright(u["place"], 32), _size("m_place")
-    rest_u = n_u - u["place"].bitwiseAND(0xFFFFFFFF)
-    need = needed(n_u, n_m)
-    bound = F.least(u["overlap"], F.col("m_overlap")) + F.least(n_u - u["overlap"], n_m - F.col("m_overlap"))
-    either = u["overlap"].isNull() | F.col("m_overlap").isNull()  # never compared with the leader: no bound
-    room = (4 * F.least(n_u, n_m) >= 3 * F.greatest(n_u, n_m)) & (F.least(rest_u, _rest("m_place")) >= need) & (either | (bound >= need))
-    return room & (u["root"] != F.col("m_root")) & (F.col("settled") | (u["class"] < F.col("m")))
+def joined(stars: DataFrame, linked: DataFrame, tables: Tables) -> DataFrame:
+    """The star edges (node, root) after further links."""
+    if linked.isEmpty():
+        return stars
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), tables)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root): each node's smallest reachable node, by alternating large and small stars; nodes without an edge are absent."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
+    edges = tables.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     while True:
         # Done when every node has one smaller neighbour and no node is both a centre and a ray.
-        sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if sides.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
+        if ends.filter("up > 1 or (up = 1 and n > 1)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars-min")
-        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars-large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "stars-min")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = tables.write(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
+        edges = tables.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
 
 
-def annotate(docs: DataFrame) -> DataFrame:
+def annotate(docs: DataFrame, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    sets = materialize(sized_classes(docs), "jaccard-sets")
-    classes = sets.filter("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min("doc_id").alias("first_id"))
-    classes = materialize(classes.filter("first_id is not null"), "jaccard-classes")
-    roots = links(docs.filter("doc_id is not null"), classes).select(F.col("a").alias("class"), F.col("b").alias("root"))
-    rooted = materialize(classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "jaccard-rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "jaccard-least")
-    named = materialize(rooted.join(least, "root").select("class", "component_id"), "jaccard-named")
-    out = sets.join(named, "class", "left")
+    tables = Tables(docs.sparkSession, "jaccard")
+    scan = tables.write(scanned(docs), "scan")
+    sets = scan.filter("class is not null").select("doc_id", "n_shingles", "class")
+    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"))
+    classes = tables.write(classes, "classes")
+    counts = scan.filter("token is not null").select("token", "n")
+    roots = links(docs.filter("doc_id is not null"), classes, counts, tables, rounds, part)
+    rooted = tables.write(_rooted(classes.select("class", "first_id"), roots, "class", "root"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = tables.write(rooted.join(least, "root").select("class", "component_id"), "named")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    out = tables.write(sets.join(named, "class", "left").select("doc_id", "n_shingles", own.alias("component_id")), "components")
+    tables.keep_last()
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Texts are taken together up to so many bytes; a longer text stands alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -59,8 +59,31 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         begin = end
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of a text that end at white space, of about CHUNK_BYTES; a longer word is in one piece."""
+    begin = 0
+    while begin < len(data):
+        end = begin + CHUNK_BYTES
+        while end < len(data):
+            blank = np.flatnonzero(_SPACE[data[end : end + CHUNK_BYTES]])
+            if len(blank):
+                end += int(blank[0])
+                break
+            end += CHUNK_BYTES
+        end = min(end, len(data))
+        yield begin, end
+        begin = end
+
+
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, for each text the index of its first word; one more entry at the end)."""
+    if len(offsets) == 2 and len(data) > 2 * CHUNK_BYTES:  # one long text: piece by piece, so that memory follows the words
+        hashes = np.concatenate([_hashed(data[a:b], np.array([0, b - a], np.int64))[0] for a, b in _pieces(data)])
+        return hashes, np.array([0, len(hashes)], np.int64)
+    return _hashed(data, offsets)
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     word = ~space
     starts_here = word.copy()

@@ -57,26 +57,43 @@ def test_many_open_members_and_few_rounds(spark):
             near[rng.randrange(len(near))] = rng.choice(pool)
         texts[i] = " ".join((shared if i % 3 else []) + near)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    sets = jaccard.sized_classes(rows)
-    classes = sets.groupBy("class", "n_shingles").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "first_id")
-    links = [(r["a"], r["b"]) for r in jaccard.links(rows, classes, rounds=1, cuts=2).collect()]
-    ids = {r["class"]: r["first_id"] for r in classes.collect()}
-    want, up = brute(texts), {c: c for c in ids}
-
-    def root(c):
-        while up[c] != c:
-            c = up[c]
-        return c
-
-    for a, b in links:
-        up[root(a)] = root(b)
-    groups = defaultdict(set)
-    for c, i in ids.items():
-        groups[root(c)].add(i)
-    expected = defaultdict(set)
-    for i in ids.values():
-        expected[want[i][1]].add(i)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    want = brute(texts)
+    for rounds, part in ((1, 400), (2, 1 << 20)):  # parts of a few sets, and all sets of a leader together
+        assert found(jaccard.annotate(rows, rounds, part).collect()) == want
+
+
+def test_a_list_of_thousands_of_open_members(spark):
+    """All share 16 of 20 shingles, which is no link but puts them into one list; a few have a near copy."""
+    common = " ".join(f"w{k}" for k in range(20))
+    texts = {i: f"{common} a{i} b{i} c{i} d{i}" for i in range(5000)}
+    want = {i: (20, i) for i in texts}
+    for i in range(0, 5000, 400):
+        texts[5000 + i] = f"{common} a{i} b{i} c{i} e{i}"
+        want[5000 + i] = (20, i)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert found(jaccard.annotate(rows, part=30_000).collect()) == want
+
+
+def test_a_very_long_text_and_a_very_long_word(spark):
+    rng = random.Random(5)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(500_000))
+    texts = {1: long, 2: long + " one more", 3: "x" * 3_000_000, 4: None}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = found(jaccard.annotate(rows).collect())
+    assert {i: c for i, (_, c) in out.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert out[2][0] == out[1][0] + 2 and out[3][0] == 1 and out[4][0] == 0
+
+
+def test_postings_without_a_partner_are_dropped():
+    """Two lists of the same classes are one; a list of one class, or of classes of too different sizes, is none."""
+    def place(n, at):
+        return (n << 32) + at
+
+    postings = [(5, 1, place(20, 2)), (5, 2, place(20, 0)), (6, 1, place(20, 0)), (6, 2, place(20, 1)), (7, 1, place(20, 3)), (8, 1, place(20, 4)), (8, 3, place(90, 4))]
+    payload = np.array(postings, np.int64).T.copy().tobytes()
+    name, key, at = jaccard.lists_of_bucket(np.empty(0, np.uint64), [payload, payload])
+    assert len(set(name.tolist())) == 1
+    assert sorted(zip(key.tolist(), at.tolist())) == [(1, place(20, 0)), (2, place(20, 0))]
 
 
 def test_keep_one_leaves_one_of_each_component(docs, texts, repeated):
@@ -93,8 +110,19 @@ def test_empty_table(no_docs):
 
 
 def test_word_hashes_depend_on_the_word_alone():
-    (_, data, offsets), = chunks(pa.array(["Ab cd\tAB é", None, "cd ab", ""]))
+    ((_, data, offsets),) = chunks(pa.array(["Ab cd\tAB é", None, "cd ab", ""]))
     words, first = hashed_words(data, offsets)
     assert first.tolist() == [0, 4, 4, 6, 6]
     assert words[0] == words[2] == words[5] and words[1] == words[4]
     assert len(np.unique(words)) == 3
+
+
+def test_a_long_text_in_pieces_has_the_same_hashes(monkeypatch):
+    from playloom.llm import words
+
+    text = " ".join(["alpha", "be" * 40, "\t\n", "c"] * 50) + " " * 90
+    ((_, data, offsets),) = chunks(pa.array([text]))
+    whole = hashed_words(data, offsets)
+    monkeypatch.setattr(words, "CHUNK_BYTES", 32)
+    pieces = hashed_words(data, offsets)
+    assert whole[0].tolist() == pieces[0].tolist() and whole[1].tolist() == pieces[1].tolist()
