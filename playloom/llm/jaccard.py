@@ -14,8 +14,9 @@ are one list.
 Skipping by answers: each list has a leader (its smallest class), which is
 compared with the other members. These computed answers give the rest: with the
 overlaps o(u), o(m) to the leader, the overlap of u and m is at most
-min(o(u), o(m)) + min(n(u) - o(u), n(m) - o(m)). Members connected with their
-leader are settled; open ones are tested against the settled ones as far as
+min(o(u), o(m)) + min(n(u) - o(u), n(m) - o(m)). A second bound comes from a bit
+signature of each set: bits of u that m lacks are so many shingles at least that
+m lacks. Members connected with their leader are settled; open ones are tested against the settled ones as far as
 this bound and the connections made so far leave it open. The open members make
 a new list with a new leader; after ``rounds`` leaders what is left of a list is
 tested within.
@@ -61,6 +62,10 @@ BUCKET_POSTINGS = 400_000
 PART = 1 << 20
 #: Postings of a block that is skipped whole.
 BLOCK = 128
+#: Bits of a signature, at most.
+MAX_SIGNATURE = 1 << 16
+#: Pairs of a list that are told apart, at most, for each of its rows; where more are open, sets meet side by side.
+FEW = 2
 #: Lists up to this length are searched for postings without a partner.
 SHORT = 48
 
@@ -107,36 +112,57 @@ def _room(n_a, rest_a, n_b, rest_b):
     return (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (np.minimum(rest_a, rest_b) >= _need(n_a, n_b))
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bits of a set's hashes, two to four for each shingle (fewer for very large sets)."""
+    bits = min(MAX_SIGNATURE, 1 << max(6, int(2 * len(s) - 1).bit_length()))
+    flags = np.zeros(bits, np.uint8)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of equal length, that of the shortest: a longer one's parts are laid over each other."""
+    words = min(map(len, signatures), default=8) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), axis=0) for b in signatures])
+
+
+def _may_share(n_a, bits_a: np.ndarray, n_b, bits_b: np.ndarray):
+    """Whether signatures leave room for a link; the last axis holds the words."""
+    lacks_a, lacks_b = (np.bitwise_count(x & ~y).sum(-1, dtype=np.int64) for x, y in ((bits_a, bits_b), (bits_b, bits_a)))
+    return np.minimum(n_a - lacks_a, n_b - lacks_b) >= _need(n_a, n_b)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """One scan gives two kinds of rows: doc_id, n_shingles and class of every document; token and n of what is frequent
-    in an Arrow batch."""
+    """One scan gives two kinds of rows: doc_id, n_shingles, class and signature of every document; token and n of what is
+    frequent in an Arrow batch."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["doc_id", "n_shingles", "class", "token", "n"]
+        names = ["doc_id", "n_shingles", "class", "bits", "token", "n"]
         for batch in batches:
-            sizes, keys, new = [], [], []
+            sizes, keys, bits, new = [], [], [], []
             slots = np.zeros(1 << 20, np.uint32)
             for _, data, offsets in chunks(batch.column(1)):
                 for s in sets_of(data, offsets):
                     key = _class_of(s)
                     sizes.append(len(s))
                     keys.append(key)
+                    bits.append(signature(s) if len(s) else None)
                     if len(s) and key not in seen:
                         seen.add(key)
                         new.append(s)
                         np.add.at(slots, (s >> np.uint64(44)).astype(np.int64), 1)
             ids, none = batch.column(0), pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none, none], names=names)
             # A slot counts all shingles that fall into it, so no frequent one is missed.
             often = [s[slots[(s >> np.uint64(44)).astype(np.int64)] >= FREQUENT] for s in new]
             token, n = np.unique(np.concatenate(often) if often else np.empty(0, np.uint64), return_counts=True)
             token, n = token[n >= FREQUENT], n[n >= FREQUENT]
             none = pa.nulls(len(token), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), ids.type), none, none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), ids.type), none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, class long, token long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, class long, bits binary, token long, n long")
 
 
 def frequent_shingles(counts: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +372,7 @@ def met(rows: DataFrame, texts: DataFrame | None, run: Callable[[pa.Table], pa.T
     names = [c for c in rows.columns if c not in ("leader", "text")]
     cells = cells.select("leader", first.alias("part_0"), second.alias("part_1"), *names)
     if texts is not None:
-        cells = cells.join(texts, "class").select("leader", "part_0", "part_1", *names, "text")
+        cells = cells.join(passing(texts, rows.select("class").distinct(), "class"), "class").select("leader", "part_0", "part_1", *names, "text")
     keys = ("leader", "part_0", "part_1")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,41 +396,54 @@ def answers_of(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["leader", "class", "n_leader", "n_class", "overlap"])
 
 
-def _still_open(o: dict[str, np.ndarray], m: dict[str, np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which open rows and which others have a partner on the other side that may still link: by size, position, root and the
-    leader's answers. Both come sorted by size, so blocks are skipped by their ranges first."""
+def _still_open(o: dict[str, np.ndarray], m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], int]:
+    """Which open rows and which others have a partner on the other side that may still link, by size, position, root and the
+    leader's answers and signatures; the pairs, while they are few for the rows, and their number. Both sides come sorted by size, so
+    blocks are skipped by their ranges first."""
     keep_o, keep_m = np.zeros(len(o["size"]), bool), np.zeros(len(m["size"]), bool)
+    pairs, total = [], 0
     for a in range(0, len(keep_o), BLOCK):
         x = {k: v[a : a + BLOCK] for k, v in o.items()}
         for b in range(0, len(keep_m), BLOCK):
             y = {k: v[b : b + BLOCK] for k, v in m.items()}
             if 4 * min(x["size"][-1], y["size"][-1]) < 3 * max(x["size"][0], y["size"][0]) or min(x["rest"].max(), y["rest"].max()) < _need(x["size"][0], y["size"][0]):
                 continue
-            u, v = {k: c[:, None] for k, c in x.items()}, {k: c[None, :] for k, c in y.items()}
+            u, v = {k: c[:, None] for k, c in x.items() if k != "bits"}, {k: c[None, :] for k, c in y.items() if k != "bits"}
             may = _room(u["size"], u["rest"], v["size"], v["rest"]) & (u["root"] != v["root"])
             bound = np.minimum(u["most"], v["most"]) + np.minimum(u["size"] - u["least"], v["size"] - v["least"])
             may &= bound >= _need(u["size"], v["size"])
-            if within:
-                may &= u["class"] != v["class"]
+            near_o, near_m = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            if len(near_o):
+                folded = _folded([*x["bits"][near_o], *y["bits"][near_m]])
+                left, right = folded[: len(near_o), None], folded[None, len(near_o) :]
+                may[np.ix_(near_o, near_m)] &= _may_share(x["size"][near_o][:, None], left, y["size"][near_m][None, :], right)
             keep_o[a : a + BLOCK] |= may.any(1)
             keep_m[b : b + BLOCK] |= may.any(0)
-    return keep_o, keep_m
+            total += int(may.sum())
+            if total <= FEW * (len(keep_o) + len(keep_m)):
+                at = np.nonzero(may)
+                pairs.append((at[0] + a, at[1] + b))
+    return keep_o, keep_m, pairs, total
 
 
 def open_cells(table: pa.Table) -> pa.Table:
-    """(leader, class, side) of the rows that have a partner to be tested."""
+    """What is to be tested in a list. Few pairs are given as they are: (smaller, larger, 2). Else the rows that have a partner:
+    (leader, class, side), with the list's leader from ``of``."""
     side = table.column("side").to_numpy()
-    size, place = table.column("size").to_numpy(), table.column("place").to_numpy()
+    size, place, key = (table.column(c).to_numpy() for c in ("size", "place", "class"))
     overlap = table.column("overlap").fill_null(-1).to_numpy()
-    columns = {
-        "class": table.column("class").to_numpy(), "root": table.column("root").to_numpy(), "size": size, "rest": size - (place & 0xFFFFFFFF),
-        "most": np.where(overlap < 0, size, overlap), "least": np.maximum(overlap, 0),
-    }
+    columns = {"root": table.column("root").to_numpy(), "size": size, "rest": size - (place & 0xFFFFFFFF), "most": np.where(overlap < 0, size, overlap), "least": np.maximum(overlap, 0)}
+    columns["bits"] = np.array([b.as_buffer() for b in table.column("bits")] + [None], object)[:-1]
     order = np.argsort(size, kind="stable")
     rows = [order[side[order] == k] for k in (0, 1)]
-    kept = _still_open(*[{k: v[at] for k, v in columns.items()} for at in rows], within=True)
-    at = np.concatenate([r[k] for r, k in zip(rows, kept)])
-    return pa.table({"leader": table.column("leader").take(at), "class": table.column("class").take(at), "side": table.column("side").take(at)})
+    keep_o, keep_m, pairs, total = _still_open(*[{k: v[at] for k, v in columns.items()} for at in rows])
+    kept = [rows[0][keep_o], rows[1][keep_m]]
+    if total <= FEW * (len(kept[0]) + len(kept[1])):
+        u, v = (np.concatenate([key[rows[k][p[k]]] for p in pairs] or [np.empty(0, np.int64)]) for k in (0, 1))
+        first, second = np.minimum(u, v), np.maximum(u, v)
+        return pa.table({"leader": pa.array(first), "class": pa.array(second), "side": pa.array(np.full(len(first), 2, np.int32))})
+    at = np.concatenate(kept)
+    return pa.table({"leader": table.column("of").take(at), "class": pa.array(key[at]), "side": pa.array(side[at])})
 
 
 def links_between(table: pa.Table) -> pa.Table:
@@ -435,19 +474,35 @@ def links_between(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
+def may_link(near: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (leader, class, size, leader_size) that their signatures do not rule out."""
+    both = near.join(bits, "class").join(bits.select(F.col("class").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
+    names = ["leader", "class", "size", "leader_size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            pairs = [_folded([a.as_buffer(), b.as_buffer()]) for a, b in zip(batch.column(4), batch.column(5))]
+            keep = [bool(_may_share(n_a[k], x[0], n_b[k], x[1])) for k, x in enumerate(pairs)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(*names, "bits", "leader_bits").mapInArrow(run, "leader long, class long, size long, leader_size long")
+
+
 def _rooted(rows: DataFrame, stars: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the root of a class; a class without links is its own."""
     named = stars.select(F.col("node").alias(column), F.col("root").alias(name))
     return rows.join(named, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def links(docs: DataFrame, sets: DataFrame, counts: DataFrame, tables: Tables, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
-    """(node, root) of the classes that links connect; ``sets`` has first_id, class and n_shingles of each class."""
+def links(docs: DataFrame, classes: DataFrame, counts: DataFrame, tables: Tables, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
+    """(node, root) of the classes that links connect; ``classes`` has first_id, class, n_shingles and bits of each."""
     spark = docs.sparkSession
-    postings = sets.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * 3 / 4) + 1)).first()[0] or 0
+    postings = classes.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * 3 / 4) + 1)).first()[0] or 0
     lists = tables.write(index_lists(docs, frequent_shingles(counts), max(1, -(-postings // BUCKET_POSTINGS))), "lists")
-    wanted = tables.write(lists.select("class").distinct().join(sets, "class").select("class", "first_id"), "wanted")
-    texts = tables.write(passing(docs.select(F.col("doc_id").alias("first_id"), "text"), wanted, "first_id").join(wanted, "first_id").select("class", "text"), "texts")
+    wanted = tables.write(lists.select("class").distinct().join(classes, "class").select("class", "first_id", "bits", F.col("n_shingles").alias("size")), "wanted")
+    sizes, bits = wanted.select("class", "size"), wanted.select("class", "bits")
+    texts = tables.write(passing(docs.select(F.col("doc_id").alias("first_id"), "text"), wanted, "first_id").join(wanted.select("class", "first_id"), "first_id").select("class", "text"), "texts")
     stars = spark.createDataFrame([], "node long, root long")
     known = spark.createDataFrame([], "leader long, class long, overlap long")
     for turn in range(rounds):
@@ -457,31 +512,46 @@ def links(docs: DataFrame, sets: DataFrame, counts: DataFrame, tables: Tables, r
         rows = lists.join(heads, "list").filter("class <> leader")
         near = rows.filter(_has_room("place", "leader_place")).groupBy("leader", "class").agg(F.max(_size("place")).alias("size"), F.max(_size("leader_place")).alias("leader_size"))
         near = _rooted(_rooted(near, stars, "class", "root"), stars, "leader", "leader_root").filter("root <> leader_root").drop("root", "leader_root")
-        near = tables.write(near.join(known, ["leader", "class"], "left_anti"), "near")
-        both = near.select("leader", "class", F.lit(1).alias("side"), "size").unionByName(
-            near.select("leader", F.col("leader").alias("class"), F.lit(0).alias("side"), F.col("leader_size").alias("size")).distinct()
-        )
-        told = tables.write(met(both, texts, answers_of, "leader long, class long, n_leader long, n_class long, overlap long", part).distinct(), "told")
+        near = tables.write(may_link(near.join(known, ["leader", "class"], "left_anti"), bits), "near")
+        told = compared(near, texts, tables, part)
         known = known.unionByName(told.select("leader", "class", "overlap"))
-        linked = told.filter("7 * overlap >= 3 * (n_leader + n_class)").select(F.col("leader").alias("a"), F.col("class").alias("b"))
-        stars = joined(stars, linked, tables)
+        stars = joined(stars, linked(told), tables)
         # Open members of lists of three or more, against the settled ones; in the last round against all.
         rows = _rooted(_rooted(rows.filter("length > 2"), stars, "class", "root"), stars, "leader", "leader_root")
         rows = tables.write(rows.withColumn("open", F.col("root") != F.col("leader_root")), "rows")
         unsettled = tables.write(rows.filter("open").select("list").distinct(), "unsettled")
         if unsettled.isEmpty():
             break
-        block = rows.join(unsettled, "list", "left_semi").groupBy("leader", "class").agg(F.min("place").alias("place"), F.max("root").alias("root"), F.max("open").alias("open"))
+        block = rows.join(unsettled, "list", "left_semi").select("list", "leader", "class", "place", "root", "open")
         block = tables.write(block.join(known, ["leader", "class"], "left").withColumn("size", _size("place")), "block")
         sides = F.when(F.col("open"), F.array(F.lit(0), F.lit(1)) if last else F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
         block = block.withColumn("side", F.explode(sides))
-        cells = met(block.select("leader", "class", "side", "size", "place", "root", "overlap"), None, open_cells, "leader long, class long, side int", part)
-        cells = tables.write(cells.distinct().join(block.select("leader", "class", "side", "size", "root"), ["leader", "class", "side"]), "cells")
-        stars = joined(stars, tables.write(met(cells, texts, links_between, "a long, b long", part), "links"), tables)
+        # Which members of a list have a partner there is told list by list; then each set meets those of its leader once.
+        asked = block.join(bits, "class").select(F.col("list").alias("leader"), F.col("leader").alias("of"), "class", "side", "size", "place", "root", "overlap", "bits")
+        asked = tables.write(met(asked, None, open_cells, "leader long, class long, side int", part).distinct(), "asked")
+        pairs = asked.filter("side = 2").select("leader", "class").join(known, ["leader", "class"], "left_anti")
+        pairs = pairs.join(sizes, "class").join(sizes.select(F.col("class").alias("leader"), F.col("size").alias("leader_size")), "leader")
+        told = compared(tables.write(pairs, "pairs"), texts, tables, part)
+        known = known.unionByName(told.select("leader", "class", "overlap"))
+        cells = asked.filter("side < 2").join(block.select("leader", "class", "side", "size", "root").distinct(), ["leader", "class", "side"])
+        found = tables.write(met(tables.write(cells, "cells"), texts, links_between, "a long, b long", part), "links")
+        stars = joined(stars, linked(told).unionByName(found), tables)
         lists = rows.filter("open").select("list", "class", "place")
     return stars
 
 
+def compared(near: DataFrame, texts: DataFrame, tables: Tables, part: int = PART) -> DataFrame:
+    """Sizes and overlap of each pair (leader, class), from rows with ``leader_size`` and ``size``."""
+    heads = near.select("leader", F.col("leader").alias("class"), F.lit(0).alias("side"), F.col("leader_size").alias("size")).distinct()
+    both = heads.unionByName(near.select("leader", "class", F.lit(1).alias("side"), "size"))
+    return tables.write(met(both, texts, answers_of, "leader long, class long, n_leader long, n_class long, overlap long", part).distinct(), "told")
+
+
+def linked(told: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
+    return told.filter("7 * overlap >= 3 * (n_leader + n_class)").select(F.col("leader").alias("a"), F.col("class").alias("b"))
+
+
 def joined(stars: DataFrame, linked: DataFrame, tables: Tables) -> DataFrame:
     """The star edges (node, root) after further links."""
     if linked.isEmpty():
@@ -511,8 +581,8 @@ def annotate(docs: DataFrame, rounds: int = ROUNDS, part: int = PART) -> DataFra
     tables = Tables(docs.sparkSession, "jaccard")
     scan = tables.write(scanned(docs), "scan")
     sets = scan.filter("class is not null").select("doc_id", "n_shingles", "class")
-    classes = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"))
-    classes = tables.write(classes, "classes")
+    named = scan.filter("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "bits")).alias("one"))
+    classes = tables.write(named.select("class", F.col("one.doc_id").alias("first_id"), "one.n_shingles", "one.bits"), "classes")
     counts = scan.filter("token is not null").select("token", "n")
     roots = links(docs.filter("doc_id is not null"), classes, counts, tables, rounds, part)
     rooted = tables.write(_rooted(classes.select("class", "first_id"), roots, "class", "root"), "rooted")
