@@ -412,11 +412,15 @@ def _still_open(o: dict[str, np.ndarray], m: dict[str, np.ndarray]) -> tuple[np.
             may = _room(u["size"], u["rest"], v["size"], v["rest"]) & (u["root"] != v["root"])
             bound = np.minimum(u["most"], v["most"]) + np.minimum(u["size"] - u["least"], v["size"] - v["least"])
             may &= bound >= _need(u["size"], v["size"])
-            near_o, near_m = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
-            if len(near_o):
-                folded = _folded([*x["bits"][near_o], *y["bits"][near_m]])
-                left, right = folded[: len(near_o), None], folded[None, len(near_o) :]
-                may[np.ix_(near_o, near_m)] &= _may_share(x["size"][near_o][:, None], left, y["size"][near_m][None, :], right)
+            long_o, long_m = (np.array([len(bits) for bits in side["bits"]]) for side in (x, y))
+            for n_o in np.unique(long_o[may.any(1)]):  # signatures of one length each, so that none is folded more than its pair asks for
+                for n_m in np.unique(long_m[may.any(0)]):
+                    at_o, at_m = np.flatnonzero(long_o == n_o), np.flatnonzero(long_m == n_m)
+                    cell = np.ix_(at_o, at_m)
+                    if may[cell].any():
+                        folded = _folded([*x["bits"][at_o], *y["bits"][at_m]])
+                        left, right = folded[: len(at_o), None], folded[None, len(at_o) :]
+                        may[cell] &= _may_share(x["size"][at_o][:, None], left, y["size"][at_m][None, :], right)
             keep_o[a : a + BLOCK] |= may.any(1)
             keep_m[b : b + BLOCK] |= may.any(0)
             total += int(may.sum())
