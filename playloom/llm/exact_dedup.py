@@ -23,11 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playloom.llm.bloom import MAX_BLOCKS, bit_rows, blocks_for, filter_of, marked
 from playloom.llm.columns import SPACE, fresh, whole_text
 from playloom.shared import materialize
 
-BLOCK_BITS = 32768
-
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(whole_text(text), SPACE, "")
@@ -38,47 +37,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2(normalised(), 256).alias("text_sha256"), F.char_length(whole_text()).alias("n_points"))
 
 
-def _block(sha: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(sha), F.lit(blocks))
-
-
-def _bits(sha: str) -> list[Column]:
-    second = F.xxhash64(F.col(sha), F.lit(1))
-    return [F.shiftrightunsigned(second, k).bitwiseAND(BLOCK_BITS - 1).cast("int") for k in (0, 24)]
-
-
 def repeated_filter(keys: DataFrame, sha: str, blocks: int) -> DataFrame:
     """The filter as rows (block, bits): bits hit by two rows or more."""
-    hits = keys.select(_block(sha, blocks).alias("block"), F.explode(F.array_distinct(F.array(*_bits(sha)))).alias("bit"))
-    twice = hits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def blocks_for(rows: int, max_blocks: int) -> int:
-    """Sixteen bits a row, up to the bound."""
-    return max(1, min(max_blocks, -(-rows * 16 // BLOCK_BITS)))
-
-
-def mark_repeated(rows: DataFrame, sha: str, bloom: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """Adds ``flag``: false only for rows whose text occurs once. The filter is bounded, so it is broadcast."""
-    block, bits = fresh(rows, "bloom_block", "bloom_bits")
-    probe = F.broadcast(bloom.select(F.col("block").alias(block), F.col("bits").alias(bits)))
-
-    def is_set(bit: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))) != 0
-
-    first, second = _bits(sha)
-    joined = rows.withColumn(block, _block(sha, blocks)).join(probe, block, "left")
-    return joined.withColumn(flag, F.col(bits).isNotNull() & is_set(first) & is_set(second)).drop(block, bits)
+    twice = bit_rows(keys, sha, blocks).groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return filter_of(twice.select("block", "bit"))
 
 
-def annotate(docs: DataFrame, max_blocks: int = 4096) -> DataFrame:
+def annotate(docs: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = materialize(digests(docs), "exact-keys")
     blocks = blocks_for(keys.count(), max_blocks)
-    marked = mark_repeated(keys, "text_sha256", repeated_filter(keys, "text_sha256", blocks), blocks, "again")
-    maybe = marked.filter("again")
+    rows = marked(keys, "text_sha256", repeated_filter(keys, "text_sha256", blocks), blocks, "again")
+    maybe = rows.filter("again")
     groups = maybe.groupBy("text_sha256").agg(
         F.max(F.struct("n_points", (-F.col("doc_id")).alias("id"))).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
@@ -91,17 +61,17 @@ def annotate(docs: DataFrame, max_blocks: int = 4096) -> DataFrame:
         .withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     )
-    once = marked.filter("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    once = rows.filter("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return once.unionByName(settled.select(out)).select(out)
 
 
-def dedup(docs: DataFrame, max_blocks: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows that stay, with all their columns; possibly repeated rows are ranked per text, one row at most leaves each map task."""
     keys = materialize(digests(docs).select("text_sha256"), "exact-keys")
     blocks = blocks_for(keys.count(), max_blocks)
     bloom = materialize(repeated_filter(keys, "text_sha256", blocks), "exact-bloom")
     sha, flag, rank = fresh(docs, "exact_sha", "exact_again", "exact_rank")
-    marked = mark_repeated(docs.withColumn(sha, F.sha2(normalised(), 256)), sha, bloom, blocks, flag)
+    rows = marked(docs.withColumn(sha, F.sha2(normalised(), 256)), sha, bloom, blocks, flag)
     order = Window.partitionBy(sha).orderBy(F.char_length(whole_text()).desc(), F.col("doc_id").asc_nulls_last())
-    best = marked.filter(F.col(flag)).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
-    return marked.filter(~F.col(flag)).unionByName(best).select(docs.columns)
+    best = rows.filter(F.col(flag)).withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+    return rows.filter(~F.col(flag)).unionByName(best).select(docs.columns)

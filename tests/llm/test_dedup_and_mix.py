@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from playloom.llm import exact_dedup, mixing
+from playloom.llm import bloom, exact_dedup, mixing
 
 SPACE = "[\x20\x09-\x0d]"
 
@@ -20,6 +20,15 @@ def brute_groups(texts):
     return out
 
 
+def test_repeated_rows_and_null_ids(repeated, texts):
+    rows = exact_dedup.annotate(repeated).collect()
+    groups = brute_groups({i: t for i, t in texts.items() if i < 60})
+    assert len(rows) == repeated.count()
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert (r["keep_id"], r["group_size"]) == (groups[r["doc_id"]][0], 2 * groups[r["doc_id"]][1])
+
+
 @pytest.mark.parametrize("blocks", [1, 4096])
 def test_annotate_equals_brute_force(docs, texts, blocks):
     rows = exact_dedup.annotate(docs, max_blocks=blocks).collect()
@@ -37,7 +46,7 @@ def test_dedup_keeps_one_row_of_each_text_with_all_columns(docs, repeated, texts
 
 def test_a_full_filter_only_sends_more_rows_the_exact_way(docs):
     keys = exact_dedup.digests(docs)
-    marked = exact_dedup.mark_repeated(keys, "text_sha256", exact_dedup.repeated_filter(keys, "text_sha256", 8), 8, "again")
+    marked = bloom.marked(keys, "text_sha256", exact_dedup.repeated_filter(keys, "text_sha256", 8), 8, "again")
     groups = defaultdict(list)
     for r in marked.collect():
         groups[r["text_sha256"]].append(r["again"])
@@ -96,3 +105,28 @@ def test_mix_repeats_documents_as_taken(docs):
     counts = {r["doc_id"]: r["count"] for r in mixing.mix(docs).groupBy("doc_id").count().collect()}
     sizes = {r["doc_id"]: r["size"] for r in mixing.annotate(docs).collect()}
     assert all(counts.get(i, 0) * sizes[i] == t for i, t in taken.items())
+
+
+def test_inclusion_frequencies_follow_the_probabilities(spark):
+    """60 sources of the same 240 sizes: how often a size is taken beyond its whole copies comes near its p."""
+    sizes = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64] * 20
+    rows = [(s * 1000 + k, f"s{s:03}", n) for s in range(60) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.allot(docs, weights=(4, 7)).groupBy("source", "size").sum("copies").collect()
+    total = sum(sizes)
+    for parity, ratio in ((0, 8 / 11), (1, 14 / 11)):
+        whole, rest = int(ratio), (ratio - int(ratio)) * total
+        scale = next(c for c in (x / 10_000 for x in range(1, 20_000)) if sum(min(1, c * n**0.5) * n for n in sizes) >= rest)
+        for n in set(sizes):
+            mean = sum(r["sum(copies)"] for r in out if r["size"] == n and int(r["source"][1:]) % 2 == parity) / 600
+            assert mean - whole == pytest.approx(min(1, scale * n**0.5), abs=0.06), (parity, n)
+
+
+def test_ties_and_null_ids_in_the_mix(spark):
+    """Equal rows: as many copies in each run; words near the target."""
+    rows = [(None if k % 2 else 7, "a" if k % 5 else "b", 3) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    runs = [sorted((r["source"], r["copies"]) for r in mixing.allot(docs.repartition(n)).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 200
+    taken = {source: sum(3 * c for s, c in runs[0] if s == source) for source in "ab"}
+    assert taken == {"a": 240, "b": 360}  # of 600 words b would get 400, but three times its 120 is the limit
