@@ -42,21 +42,28 @@ class Tables:
         self.spark = spark
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.frames: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once as Parquet and read it back, as :func:`materialize` does."""
         path = f"{self.folder}/{len(self.paths)}-{name}"
         self.paths.append(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.frames.append((out, path))
+        return out
 
-    def keep_last(self) -> None:
-        """Delete all tables of this run but the last one."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, which nothing reads any more."""
         context = self.spark.sparkContext
-        for path in self.paths[:-1]:
+        for path in [p for df, p in self.frames if any(df is t for t in tables)]:
             target = context._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        self.paths = self.paths[-1:]
+        self.frames = [(df, p) for df, p in self.frames if not any(df is t for t in tables)]
+
+    def keep_last(self) -> None:
+        """Delete all tables of this run but the last one."""
+        self.drop(*[df for df, _ in self.frames[:-1]])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
