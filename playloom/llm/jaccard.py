@@ -42,6 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ from playloom.shared import Tables
 
 WORDS = 5
 #: A shingle that so many sets of one Arrow batch have is counted as frequent.
-FREQUENT = 8
+FREQUENT = 4
 #: Frequent shingles that are told apart, at most; they are broadcast (9 bytes each).
 MAX_FREQUENT = 1 << 18
 #: Leaders that a list has, one after the other.
@@ -355,30 +356,35 @@ def _text_sets(table: pa.Table, classes: str = "class") -> tuple[list[int], list
     return keys, sets, np.array(at, np.int64)
 
 
-def _in_parts(rows: DataFrame, by: str, side: str, part: int) -> DataFrame:
-    """Adds ``cuts_0`` and ``cuts_1``: into how many parts the rows of each key and side are cut, by the sizes of their sets."""
-    sums = rows.groupBy(by).agg(*[F.ceil((F.coalesce(F.sum(F.when(F.col(side) == k, F.col("size"))), F.lit(0)) + 1) / part).alias(f"cuts_{k}") for k in (0, 1)])
-    return rows.join(sums, by)
+def met(rows: DataFrame, texts: DataFrame | None, run: Callable[[pa.Table], pa.Table], schema: str, part: int = PART, within: bool = False) -> DataFrame:
+    """Rows (leader, class, side, size, ...): each part of side 0 meets each part of side 1 of its leader in ``run``. With
+    ``within`` the rows of side 0 belong to side 1 too; where both of a row's parts meet, it comes once, with ``both`` set."""
+    is_0, is_1 = F.col("side") == 0, (F.col("side") == 1) | F.lit(within)
+    cuts = [F.ceil((F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)) + 1) / part).alias(f"cuts_{k}") for k, side in enumerate((is_0, is_1))]
+    cut = rows.join(rows.groupBy("leader").agg(*cuts), "leader")
+    mine = [F.pmod(F.xxhash64("class"), F.col(f"cuts_{k}")) for k in (0, 1)]
 
+    def cell(first: Column, second: Column) -> Column:
+        return F.struct(first.cast("long").alias("part_0"), second.cast("long").alias("part_1"))
 
-def met(rows: DataFrame, texts: DataFrame | None, run: Callable[[pa.Table], pa.Table], schema: str, part: int = PART) -> DataFrame:
-    """Rows (leader, class, side, size, ...): each part of side 0 meets each part of side 1 of its leader in ``run``."""
-    cut = _in_parts(rows, "leader", "side", part)
-    own, other = F.col("side"), F.lit(1) - F.col("side")
-    mine = F.pmod(F.xxhash64("class"), F.when(own == 0, F.col("cuts_0")).otherwise(F.col("cuts_1")))
-    theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.when(other == 0, F.col("cuts_0")).otherwise(F.col("cuts_1")) - 1))
-    cells = cut.withColumn("mine", mine).withColumn("theirs", theirs)
-    first, second = F.when(own == 0, F.col("mine")).otherwise(F.col("theirs")), F.when(own == 0, F.col("theirs")).otherwise(F.col("mine"))
-    names = [c for c in rows.columns if c not in ("leader", "text")]
-    cells = cells.select("leader", first.alias("part_0"), second.alias("part_1"), *names)
+    def places(k: int) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(f"cuts_{k}") - 1)
+
+    none = F.array().cast("array<struct<part_0:bigint,part_1:bigint>>")
+    as_0 = F.when(is_0, F.transform(places(1), lambda j: cell(mine[0], j))).otherwise(none)
+    as_1 = F.when(is_1, F.transform(places(0), lambda i: cell(i, mine[1]))).otherwise(none)
+    own_0, own_1 = is_0 & (F.col("cell.part_0") == mine[0]), is_1 & (F.col("cell.part_1") == mine[1])
+    names = [c for c in rows.columns if c not in ("leader", "side")]
+    cells = cut.withColumn("cell", F.explode(F.array_union(as_0, as_1)))
+    cells = cells.select("leader", "cell.part_0", "cell.part_1", F.when(own_0, 0).otherwise(1).alias("side"), (own_0 & own_1).alias("both"), *names)
     if texts is not None:
-        cells = cells.join(passing(texts, rows.select("class").distinct(), "class"), "class").select("leader", "part_0", "part_1", *names, "text")
+        cells = cells.join(passing(texts, rows.select("class").distinct(), "class"), "class").select(*cells.columns, "text")
     keys = ("leader", "part_0", "part_1")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, len(keys)):
             sides = set(table.column("side").unique().to_pylist())
-            if sides == {0, 1}:
+            if sides == {0, 1} or table.num_rows > 1 and pc.any(table.column("both")).as_py():
                 yield from run(table).to_batches(max_chunksize=65_536)
 
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
@@ -412,8 +418,8 @@ def _still_open(o: dict[str, np.ndarray], m: dict[str, np.ndarray]) -> tuple[np.
             may = _room(u["size"], u["rest"], v["size"], v["rest"]) & (u["root"] != v["root"])
             bound = np.minimum(u["most"], v["most"]) + np.minimum(u["size"] - u["least"], v["size"] - v["least"])
             may &= bound >= _need(u["size"], v["size"])
-            long_o, long_m = (np.array([len(bits) for bits in side["bits"]]) for side in (x, y))
-            for n_o in np.unique(long_o[may.any(1)]):  # signatures of one length each, so that none is folded more than its pair asks for
+            long_o, long_m = (np.array([len(bits) for bits in side.get("bits", ())]) for side in (x, y))
+            for n_o in np.unique(long_o[may.any(1)]) if len(long_o) else ():  # signatures of one length each, so that none is folded more than its pair asks for
                 for n_m in np.unique(long_m[may.any(0)]):
                     at_o, at_m = np.flatnonzero(long_o == n_o), np.flatnonzero(long_m == n_m)
                     cell = np.ix_(at_o, at_m)
@@ -437,9 +443,10 @@ def open_cells(table: pa.Table) -> pa.Table:
     size, place, key = (table.column(c).to_numpy() for c in ("size", "place", "class"))
     overlap = table.column("overlap").fill_null(-1).to_numpy()
     columns = {"root": table.column("root").to_numpy(), "size": size, "rest": size - (place & 0xFFFFFFFF), "most": np.where(overlap < 0, size, overlap), "least": np.maximum(overlap, 0)}
-    columns["bits"] = np.array([b.as_buffer() for b in table.column("bits")] + [None], object)[:-1]
+    if "bits" in table.column_names:
+        columns["bits"] = np.array([b.as_buffer() for b in table.column("bits")] + [None], object)[:-1]
     order = np.argsort(size, kind="stable")
-    rows = [order[side[order] == k] for k in (0, 1)]
+    rows = [order[side[order] == 0], order[(side[order] == 1) | table.column("both").to_numpy()[order]]]
     keep_o, keep_m, pairs, total = _still_open(*[{k: v[at] for k, v in columns.items()} for at in rows])
     kept = [rows[0][keep_o], rows[1][keep_m]]
     if total <= FEW * (len(kept[0]) + len(kept[1])):
@@ -447,7 +454,8 @@ def open_cells(table: pa.Table) -> pa.Table:
         first, second = np.minimum(u, v), np.maximum(u, v)
         return pa.table({"leader": pa.array(first), "class": pa.array(second), "side": pa.array(np.full(len(first), 2, np.int32))})
     at = np.concatenate(kept)
-    return pa.table({"leader": table.column("of").take(at), "class": pa.array(key[at]), "side": pa.array(side[at])})
+    role = np.repeat(np.arange(2, dtype=np.int32), [len(k) for k in kept])
+    return pa.table({"leader": table.column("of").take(at), "class": pa.array(key[at]), "side": pa.array(role)})
 
 
 def links_between(table: pa.Table) -> pa.Table:
@@ -528,18 +536,23 @@ def links(docs: DataFrame, classes: DataFrame, counts: DataFrame, tables: Tables
             break
         block = rows.join(unsettled, "list", "left_semi").select("list", "leader", "class", "place", "root", "open")
         block = tables.write(block.join(known, ["leader", "class"], "left").withColumn("size", _size("place")), "block")
-        sides = F.when(F.col("open"), F.array(F.lit(0), F.lit(1)) if last else F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-        block = block.withColumn("side", F.explode(sides))
         # Which members of a list have a partner there is told list by list; then each set meets those of its leader once.
-        asked = block.join(bits, "class").select(F.col("list").alias("leader"), F.col("leader").alias("of"), "class", "side", "size", "place", "root", "overlap", "bits")
-        asked = tables.write(met(asked, None, open_cells, "leader long, class long, side int", part).distinct(), "asked")
+        asked = block.select(F.col("list").alias("leader"), F.col("leader").alias("of"), "class", F.when(F.col("open"), 0).otherwise(1).alias("side"), "size", "place", "root", "overlap")
+        if last:  # the open ones also meet each other; signatures bound what the leader's answers do not
+            asked = asked.join(bits, "class").select(*asked.columns, "bits")
+        asked = tables.write(met(asked, None, open_cells, "leader long, class long, side int", part, last).distinct(), "asked")
         pairs = asked.filter("side = 2").select("leader", "class").join(known, ["leader", "class"], "left_anti")
         pairs = pairs.join(sizes, "class").join(sizes.select(F.col("class").alias("leader"), F.col("size").alias("leader_size")), "leader")
-        told = compared(tables.write(pairs, "pairs"), texts, tables, part)
+        pairs = pairs if last else may_link(pairs, bits)
+        pairs = tables.write(pairs, "pairs")
+        told = compared(pairs, texts, tables, part)
         known = known.unionByName(told.select("leader", "class", "overlap"))
-        cells = asked.filter("side < 2").join(block.select("leader", "class", "side", "size", "root").distinct(), ["leader", "class", "side"])
-        found = tables.write(met(tables.write(cells, "cells"), texts, links_between, "a long, b long", part), "links")
+        cells = asked.filter("side < 2").join(block.select("leader", "class", "size", "root").distinct(), ["leader", "class"])
+        cells = tables.write(cells, "cells")
+        found = tables.write(met(cells, texts, links_between, "a long, b long", part), "links")
+        passed = (heads, near, unsettled, block, asked, pairs, cells)
         stars = joined(stars, linked(told).unionByName(found), tables)
+        tables.drop(*passed, found)
         lists = rows.filter("open").select("list", "class", "place")
     return stars
 
@@ -574,10 +587,12 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        before = edges
         large = tables.write(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = tables.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
+        tables.drop(before, large)
 
 
 def annotate(docs: DataFrame, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
