@@ -1,19 +1,21 @@
-"""Secret scans behind a trigram index, with DataFrame functions only.
+"""Secret scans behind a trigram inverted index, with DataFrame functions only.
 
 Each rule's regular expression gives a Boolean trigram query: an OR of ANDs of
-trigrams that every match must hold. The index is cut by documents: each scan
-task makes the postings of its own rows, one bit per trigram of any query, and
-intersects them there, so neither postings nor texts are shuffled. Rows that
-pass a rule's query are candidates and verified by the regex; a rule without a
-mandatory trigram (a run of hex digits) scans every row.
+trigrams that every match must hold. The index has a posting list for each
+trigram of any query and each split of up to 32,768 rows: a bitmap of the rows
+that hold it. ANDs intersect bitmaps, ORs join them; the rows left are a rule's
+candidates, which alone are read again and verified by the regex. A rule without
+a mandatory trigram (a run of hex digits) scans every row.
 
-Scale: one narrow pass over the texts, no shuffle; the number of trigrams
-depends on the rules alone. :func:`postings` gives the same index as rows
-(trigram, doc_id) for keeping.
+Scale: the first scan writes what each row holds (a few numbers); splits lie
+within its partitions, so posting lists are made before the shuffle and are at
+most 4 KB each. Texts of candidates alone are shuffled, picked by a Bloom filter
+of bounded size. The number of trigrams depends on the rules alone.
 
 Defined results: null text counts as empty and holds nothing; spans are code
 points of the whole text, end exclusive, overlapping kinds all count; repeated
-rows agree; empty tables give empty results; other columns are ignored.
+rows agree; rows with null doc_id are scanned like others; empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playloom.llm.columns import SPAN_LIST, joined_spans, span_list, whole_text
+from playloom.llm.bloom import is_set, passing
+from playloom.llm.columns import joined_spans, span_list, whole_text
+from playloom.shared import materialize
 
 #: Most trigrams of one conjunction that are looked up; fewer still hold for every match.
 GRAMS = 4
@@ -59,9 +63,9 @@ BASE_RULES = (
 #: What the method finds beside them.
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,200}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
 )
 
 
@@ -114,62 +118,79 @@ def trigram_query(pattern: str, any_case: bool = False) -> list[frozenset[str]]
     return sorted((q for q in query if not any(other < q for other in query)), key=sorted)
 
 
+PLACES = "array<struct<start:int,end:int>>"
+#: Rows of a split, the length of a posting list's bitmap.
+SPLIT_BITS = 15
+
+
 class TrigramIndex:
-    """The trigrams that some rule asks for, each with its bit in the postings."""
+    """The trigrams that some rule asks for, numbered, and the rules' queries over those numbers."""
 
     def __init__(self, rules: tuple[Rule, ...]):
-        self.queries = {r.kind: trigram_query(r.pattern, r.any_case) for r in rules}
-        self.grams = sorted({(r.any_case, g) for r in rules for conj in self.queries[r.kind] or () for g in conj})
-        self.bit = {gram: k for k, gram in enumerate(self.grams)}
-
-    def postings(self, text: Column) -> Column:
-        """Bit words of one row: which trigrams its text holds."""
-        low, words = F.lower(text), []
-        for begin in range(0, len(self.grams), 63):
-            bits = [
-                F.when(F.contains(low if any_case else text, F.lit(gram)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-                for k, (any_case, gram) in enumerate(self.grams[begin : begin + 63])
-            ]
-            word = bits[0]
-            for b in bits[1:]:
-                word = word.bitwiseOR(b)
-            words.append(word)
-        return F.array(*words) if words else F.array().cast("array<bigint>")
-
-    def candidate(self, rule: Rule, postings: Column) -> Column:
-        """Intersects the postings of each conjunction; true for every row if the rule has no query."""
-        query = self.queries[rule.kind]
-        if query is None:
-            return F.lit(True)
-        out = F.lit(False)
-        for conj in query:
-            hit = F.lit(True)
-            for k in range(-(-len(self.grams) // 63)):
-                mask = sum(1 << self.bit[rule.any_case, g] % 63 for g in conj if self.bit[rule.any_case, g] // 63 == k)
-                if mask:
-                    hit = hit & (F.element_at(postings, k + 1).bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-            out = out | hit
-        return out
-
-
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """The index as rows: trigram, doc_id."""
-    index = TrigramIndex(rules)
-    held = [F.when(F.contains(F.lower(whole_text()) if c else whole_text(), F.lit(g)), F.lit(g)) for c, g in index.grams]
-    return docs.select(F.explode(F.array_compact(F.array(*held))).alias("trigram"), "doc_id")
+        self.rules = rules
+        self.queries = [trigram_query(r.pattern, r.any_case) for r in rules]
+        self.grams = sorted({(r.any_case, g) for r, query in zip(rules, self.queries) for conj in query or () for g in conj})
+
+    def held(self, text: Column) -> Column:
+        """Numbers of the trigrams that a text holds."""
+        low = F.lower(text)
+        found = [F.when(F.contains(low if any_case else text, F.lit(gram)), F.lit(k)) for k, (any_case, gram) in enumerate(self.grams)]
+        return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+
+    def terms(self) -> list[tuple[int, int, int, int]]:
+        """(gram, rule, AND of the rule, number of grams of the AND)."""
+        number = {gram: k for k, gram in enumerate(self.grams)}
+        return [
+            (number[rule.any_case, g], k, c, len(conj))
+            for k, (rule, query) in enumerate(zip(self.rules, self.queries)) for c, conj in enumerate(query or ()) for g in sorted(conj)
+        ]
+
+    def postings(self, rows: DataFrame) -> DataFrame:
+        """Posting lists (split, gram, bits) of rows (split, bit, grams)."""
+        return rows.select("split", "bit", F.explode("grams").alias("gram")).groupBy("split", "gram").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """For each split a bitmap ``rule_k`` of the candidates of each rule with a query; null where it has none."""
+        terms = postings.sparkSession.createDataFrame(self.terms(), "gram int, rule int, conj int, n int")
+        # One row for each trigram of the rules, so it is broadcast.
+        ands = postings.join(F.broadcast(terms), "gram").groupBy("split", "rule", "conj", "n").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("met"))
+        ors = ands.filter("met = n").groupBy("split", "rule").agg(F.bitmap_or_agg("bits").alias("bits"))
+        return ors.groupBy("split").agg(*[F.max(F.when(F.col("rule") == k, F.col("bits"))).alias(f"rule_{k}") for k in range(len(self.rules))])
+
+
+def spans_of(rule: Rule) -> Column:
+    """All spans of a rule in ``text``."""
+    # A shortest match that the regex alone can ask for: a full scan then rejects most rows in one search.
+    again = F.col("text").rlike(rule.java[:-1] + f"{{{rule.least},}}") if rule.java.startswith("[") and rule.java.endswith("]+") else F.lit(True)
+    spans = F.transform(span_list(F.col("text"), rule.java, rule.keep), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(again, spans).otherwise(F.array().cast(PLACES))
 
 
 def found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id and, for each rule, the array of its spans under the rule's kind."""
     index = TrigramIndex(rules)
-    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("postings", index.postings(F.col("text")))
-    none = F.array().cast(SPAN_LIST)
-    spans = []
-    for r in rules:
-        # A shortest match that the regex alone can ask for: a full scan then rejects most rows in one search.
-        again = F.col("text").rlike(r.java[:-1] + f"{{{r.least},}}") if index.queries[r.kind] is None and r.java.endswith("]+") else F.lit(True)
-        spans.append(F.when(index.candidate(r, F.col("postings")) & again, span_list(F.col("text"), r.java, r.keep)).otherwise(none).alias(r.kind))
-    return rows.select("doc_id", *spans)
+    asked = [k for k, query in enumerate(index.queries) if query is not None]
+    full = [r for r, query in zip(rules, index.queries) if query is None]
+    none = F.array().cast(PLACES)
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("key", F.xxhash64("text"))
+    scan = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", index.held(F.col("text")).alias("grams"), *[spans_of(r).alias(r.kind) for r in full])
+    scan = materialize(scan.withColumn("split", F.shiftright("row", SPLIT_BITS)).withColumn("bit", F.col("row").bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")), "secret-rows")
+    lists = materialize(index.candidates(index.postings(scan)), "secret-candidates")
+    flags = [F.coalesce(is_set(F.col(f"rule_{k}"), F.col("bit")), F.lit(False)).alias(f"is_{k}") for k in asked]
+    some = F.lit(False)
+    for k in asked:
+        some = some | F.col(f"is_{k}")
+    marked = scan.drop("grams").join(lists, "split", "left").select("doc_id", "key", *[r.kind for r in full], *flags).withColumn("candidate", some)
+    marked = materialize(marked, "secret-marked")
+    chosen = marked.filter("candidate").select("doc_id", "key", *[f"is_{k}" for k in asked]).dropDuplicates(["doc_id", "key"])
+    wanted = chosen.withColumnRenamed("doc_id", "chosen_id").withColumnRenamed("key", "chosen_key")
+    read = passing(texts, chosen, "key").join(wanted, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("key") == F.col("chosen_key")))
+    verified = read.select("chosen_id", "chosen_key", *[F.when(F.col(f"is_{k}"), spans_of(rules[k])).otherwise(none).alias(rules[k].kind) for k in asked])
+    verified = materialize(verified.dropDuplicates(["chosen_id", "chosen_key"]), "secret-verified")
+    kinds = [r.kind for r in rules]
+    with_spans = marked.filter("candidate").join(verified, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("key") == F.col("chosen_key")))
+    without = marked.filter("not candidate").select("doc_id", *[F.col(r.kind) if r in full else none.alias(r.kind) for r in rules])
+    return with_spans.select("doc_id", *kinds).unionByName(without)
 
 
 def annotate(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:
