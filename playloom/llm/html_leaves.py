@@ -1,4 +1,9 @@
-"""From HTML source to the sequence of leaf blocks of a page, for use inside tasks."""
+"""From HTML source to the sequence of leaf blocks of a page, for use inside tasks.
+
+Defined results: an unknown or unclosed tag loses no text; a script or style
+without an end tag and a comment without an end hold the rest of the page; a tag
+that the source ends in is dropped, as browsers do.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,22 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>|[^<]+|<",
-    re.S | re.I,
-)
-_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag's name; ``<`` before anything else is text.
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute, as browsers read it: quotes count after an equals sign only. Possessive, so that no input is read twice.
+_ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]++)?+(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+_MARKS = frozenset(("class", "id", "role"))
 _PARTS = re.compile(r"[a-z]+")
+#: Their content is no markup and no text of the page; it ends at the end tag alone.
+RAW = frozenset("script style iframe noembed noframes title".split())
+#: Their content is markup but no text of the page.
+HIDDEN = frozenset("noscript template svg math".split())
+#: What ends a drawing or formula that was left open.
+BREAKOUT = frozenset(
+    "article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table ul".split()
+)
+#: Ancestors that a block's path names, at most: features of the labeller, text is never cut by it.
+PATH = 64
 #: Tags that run inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags without content.
@@ -28,59 +42,151 @@ class Leaf:
     linked: int
 
 
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
+class _Reader:
+    """One pass over a page's source; what was not found once is not looked for again, so the time is linear."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.missing: dict[str, int] = {}
+
+    def find(self, what: str, begin: int) -> int:
+        """Position of ``what`` from ``begin`` on, -1 if there is none."""
+        if begin >= self.missing.get(what, len(self.source) + 1):
+            return -1
+        at = self.source.find(what, begin)
+        if at < 0:
+            self.missing[what] = begin
+        return at
+
+    def end_tag(self, tag: str, begin: int) -> int:
+        """Where the end tag of ``tag`` begins, -1 if there is none."""
+        if begin >= self.missing.get(f"</{tag}", len(self.source) + 1):
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.source, begin)
+        if m is None:
+            self.missing[f"</{tag}"] = begin
+            return -1
+        return m.start()
+
+    def attributes(self, at: int) -> tuple[int, bool, list[str]]:
+        """From behind a tag's name: the position behind the tag (-1 if it never ends), whether it closes itself, and the
+        values of class, id and role."""
+        source, marks = self.source, []
+        while True:
+            m = _ATTRIBUTE.match(source, at)
+            if m[1] and m[1].lower() in _MARKS:
+                marks.append(m[2] or m[3] or m[4] or "")
+            end = m.end()
+            if end >= len(source):
+                return -1, False, marks
+            if source[end] == ">":
+                return end + 1, source[end - 1] == "/" and m[4] is None, marks
+            at = max(end, at + 1) if end > at else at + 1
+
+
+def _names(tag: str, marks: list[str]) -> tuple[str, ...]:
     """What a tag adds to the path: its name, and the words of its class, id and role."""
-    if not attributes or "=" not in attributes:
-        return (f"<{tag}",)
-    out = [f"<{tag}"]
-    for m in _MARKS.finditer(attributes):
-        value = html.unescape(m[2] or m[3] or m[4] or "").lower()
-        out.extend(f".{part}" for part in _PARTS.findall(value))
-    return tuple(out)
+    return (f"<{tag}", *[f".{part}" for value in marks for part in _PARTS.findall(html.unescape(value).lower())[:PATH]])
 
 
 def leaves(source: str) -> list[Leaf]:
     """Blocks of visible text in page order, white space joined, with the path of open tags above each."""
-    out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    reader, out = _Reader(source), []
+    # tag, names, place of the nearest open block at or below this entry
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    opened: dict[str, int] = {}
     pieces: list[str] = []
-    linked = links = 0
+    linked = hidden = 0
+
+    def text_of(piece: str) -> None:
+        nonlocal linked
+        if piece and not hidden:
+            pieces.append(piece)
+            if opened.get("a"):
+                linked += len(piece)
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                path = tuple(dict.fromkeys(name for tag, names in stack if tag not in INLINE for name in names))
-                out.append(Leaf(path, text, min(linked, len(text))))
+                path, at = [], stack[-1][2] if stack else -1
+                while at >= 0 and len(path) < PATH:
+                    path.append(stack[at][1])
+                    at = stack[at - 1][2] if at else -1
+                out.append(Leaf(tuple(dict.fromkeys(name for names in reversed(path) for name in names)), text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
-    for m in _TOKENS.finditer(source):
-        tag = m[3]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                pieces.append(text)
-                if links:
-                    linked += len(text)
+    def push(tag: str, marks: list[str]) -> None:
+        nonlocal hidden
+        nearest = len(stack) if tag not in INLINE else stack[-1][2] if stack else -1
+        stack.append((tag, _names(tag, marks) if tag not in INLINE else (), nearest))
+        opened[tag] = opened.get(tag, 0) + 1
+        hidden += tag in HIDDEN
+
+    def pop_to(depth: int) -> None:
+        nonlocal hidden
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            hidden -= tag in HIDDEN
+
+    def close(tag: str) -> None:
+        """An end tag ends the nearest open one of its name; an inline one only if it is near."""
+        if not opened.get(tag):
+            return
+        for depth in range(len(stack) - 1, max(-1, len(stack) - 5) if tag in INLINE else -1, -1):
+            if stack[depth][0] == tag:
+                pop_to(depth)
+                return
+
+    at = 0
+    while at < len(source):
+        begin = source.find("<", at)
+        if begin < 0:
+            text_of(source[at:])
+            break
+        text_of(source[at:begin])
+        if source.startswith("<!--", begin):
+            end = reader.find("-->", begin + 2)
+            at = len(source) if end < 0 else end + 3
             continue
-        tag = tag.lower()
+        ends = source.startswith("</", begin)
+        name = _NAME.match(source, begin + 1 + ends)
+        if name is None:
+            if ends or source.startswith(("<!", "<?"), begin):
+                end = reader.find(">", begin + 2)
+                at = len(source) if end < 0 else end + 1
+            else:
+                text_of("<")
+                at = begin + 1
+            continue
+        tag = name[0].lower()
+        at, itself, marks = reader.attributes(name.end())
+        if at < 0:  # the source ends within a tag
+            break
         if tag not in INLINE:
             flush()
-        if m[2]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and (tag not in INLINE or len(stack) - depth <= 4):
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
-        elif tag not in VOID:
-            if tag in CLOSES:
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), None)
-                if depth is not None and CLOSES.get(stack[depth][0]) == CLOSES[tag]:
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
-            if not m[4].endswith("/") or tag in INLINE:
-                stack.append((tag, _names(tag, m[4])))
-                links += tag == "a"
+        if ends:
+            close(tag)
+            continue
+        if tag in RAW:
+            end = reader.end_tag(tag, at)
+            if end >= 0:
+                at = end
+            elif tag in ("script", "style"):
+                break
+            continue
+        if tag in BREAKOUT:
+            for drawing in ("svg", "math"):
+                close(drawing)
+        if tag in VOID or (itself and tag not in INLINE):
+            continue
+        if tag in HIDDEN and reader.end_tag(tag, at) < 0:
+            continue  # never ended: what follows is text of the page
+        if tag in CLOSES and stack and stack[-1][2] >= 0 and CLOSES.get(stack[stack[-1][2]][0]) == CLOSES[tag]:
+            pop_to(stack[-1][2])
+        push(tag, marks)
     flush()
     return out
