@@ -6,8 +6,8 @@ w0 + <w, x> + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 the low-rank pairwise part in time linear in the features.
 
 Scale: labels choose at most ``max_train`` training rows (smallest hash of
-doc_id; a bounded sample of labelled rows), whose features are made on the
-executors; the model (BUCKETS x RANK floats) is fixed in size. Scoring is one
+doc_id; a bounded sample of labelled rows; of rows that repeat a doc_id the
+smallest text), whose features are made on the executors; the model (BUCKETS x RANK floats) is fixed in size. Scoring is one
 scan without a shuffle, on Arrow batches.
 
 Defined results: null text counts as empty and gets the score of no features;
@@ -141,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fac
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train rows of two numbers, so it is broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text for each doc_id, so at most max_train rows reach the driver.
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fac
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"doc_id {kind}, quality int, at binary, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["x"])))[: 2 * max_train]
+    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["x"])))
     x = np.zeros((len(rows), BUCKETS + STATS), np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["x"], "<f4")

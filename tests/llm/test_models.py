@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -50,6 +51,30 @@ def test_leaves():
     assert got == [("a b", (".x",)), ("foo bar", (".d",)), ("q", ("<p",)), ("x", ("<li",)), ("y", ("<li",)), ("z<", ())]
 
 
+def test_no_text_is_lost_to_tags_that_look_like_others_or_never_end():
+    def texts(source):
+        return [b.text for b in html_leaves.leaves(source)]
+
+    assert texts("<article><p>one</p><svg width=1 /><p>two</p></article><p>three</p>") == ["one", "two", "three"]
+    assert texts("<title-bar>x</title-bar><p>two</p>") == ["x", "two"]
+    assert texts("<title>no end<p>a</p>") == ["no end", "a"]
+    assert texts("<svg><text>drawn</text><p>a</p></svg>b") == ["a", "b"]
+    assert texts("<svg><text>drawn</text></svg>b<template>t</template>c") == ["b", "c"]
+    assert texts("<p>a<iframe src=x>b") == ["a", "b"] and texts("<div a='>'>x</div>") == ["x"]
+    assert texts("a<script>if (a</b>c) </script >b") == ["a", "b"] and texts("<noscript>n</noscript>m") == ["m"]
+    assert texts("1 < 2 <3 & a<b>c</b>") == ["1 < 2 <3 & ac"] and texts("<p>end<!-- never closed <p>x") == ["end"]
+
+
+def test_megabytes_of_malformed_markup_take_linear_time():
+    for piece in ('<div a="', "<div a='x' b=\"", "<div>x", "<b>x<p>", "</div>", "<title>", "<svg>a", "<!--", '<p class="', "<", "<noscript>a", "<i><p>", "<a href=x>y", "<li>x<b>"):
+        times = []
+        for n in (100_000, 800_000):
+            began = time.process_time()
+            html_leaves.leaves(piece * (n // len(piece)))
+            times.append(time.process_time() - began)
+        assert times[1] < 30 * max(times[0], 0.02), piece
+
+
 def test_article_is_found_and_the_rest_is_left():
     model = html_text.trained()
     assert html_text.texts_of(model, [PAGE, "", "<p>"]) == ["A & B One two three a < b and four five.", "", ""]
