@@ -49,8 +49,8 @@ def unique_runtime(archive: Archive) -> DataFrame:
 def day_slices(archive: Archive) -> DataFrame:
     """Seconds of each session on each local day; a session of no or unknown length has one row of 0 seconds."""
     offset = F.coalesce("offset_min", F.lit(0)) * 60_000
-    long = F.coalesce(F.col("run_s") > 0, F.lit(False)) & (F.col("run_end") > F.col("start_ms"))
-    rows = runs(archive).withColumn("a", F.col("start_ms") + offset).withColumn("b", F.when(long, F.col("run_end") + offset).otherwise(F.col("start_ms") + offset))
+    length = F.greatest(F.coalesce("run_s", F.lit(0)), F.lit(0)) * 1000  # a session ends its length after its start
+    rows = runs(archive).withColumn("a", F.col("start_ms") + offset).withColumn("b", F.col("a") + length)
     first, last = F.floor(F.col("a") / DAY_MS), F.floor(F.when(F.col("b") > F.col("a"), F.col("b") - 1).otherwise(F.col("a")) / DAY_MS)
     cut = rows.select("session_id", "run_score", "a", "b", F.explode(F.sequence(first, last)).alias("n"))
     ms = F.least("b", (F.col("n") + 1) * DAY_MS) - F.greatest("a", F.col("n") * DAY_MS)

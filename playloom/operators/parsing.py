@@ -156,9 +156,11 @@ def log_events(lines: DataFrame) -> DataFrame:
 def diagnostics(lines: DataFrame) -> DataFrame:
     """Counters per source, whether it deserves a warning, and whether it breaks a limit."""
     timed = timed_lines(lines)
+    # Lines of files come with what was wrong with their bytes.
+    malformed = F.col("malformed") if "malformed" in lines.columns else ~F.is_valid_utf8("value")
     rows = timed.select(
         "source_id", "bad_stamp", "rolled", "fell_back", "clock", F.size(events_of(body(F.col("value")), F.col("value"))).alias("n"),
-        (~F.expr("is_valid_utf8(value)")).alias("malformed"), F.octet_length("value").alias("bytes"),
+        malformed.alias("malformed"), F.octet_length("value").alias("bytes"),
     )
     per = rows.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("n").alias("events"), F.count_if("bad_stamp").alias("unparsed"), F.count_if("rolled").alias("rollovers"),

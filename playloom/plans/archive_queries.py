@@ -63,7 +63,7 @@ _OF_RANK = "case {0} when 3 then 'verified' when 2 then 'high' when 1 then 'part
 
 _SLICES = f""", spans as (
     select session_id, run_score, start_ms + coalesce(offset_min, 0) * 60000 as a,
-           case when run_s > 0 and run_end > start_ms then run_end else start_ms end + coalesce(offset_min, 0) * 60000 as b from runs),
+           start_ms + greatest(coalesce(run_s, 0), 0) * 1000 + coalesce(offset_min, 0) * 60000 as b from runs),
 numbered as (
     select *, unnest(range((a // 86400000)::bigint, ((case when b > a then b - 1 else a end) // 86400000)::bigint + 1)) as n from spans),
 slices as (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playloom.shared import table
@@ -11,14 +11,18 @@ LINES = "instance_id, source_id, source_order, date_hint, line_number, value"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all ``.log`` and ``.log.gz`` files under a folder: source_id, line_number, value.
+    """Lines of all ``.log`` and ``.log.gz`` files under a folder: source_id, line_number, value, malformed.
 
-    One task reads a file whole (gzip cannot be split); line numbers come with the split.
+    A line with bytes that are no UTF-8 (then replaced) or with NUL (then removed) is malformed. Plain files are split over
+    tasks; lines are numbered by the start of their split and their place in it.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*").text(path)
-    text = F.regexp_replace("value", "\n$", "")
-    lines = files.select(F.input_file_name().alias("source_id"), F.posexplode(F.split(text, "\n", -1)).alias("n", "value"))
-    return lines.select("source_id", (F.col("n") + 1).cast("long").alias("line_number"), F.regexp_replace("value", "\r$", "").alias("value"))
+    files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*").text(path)
+    rows = files.select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    number = F.row_number().over(Window.partitionBy("source_id").orderBy("split", "place")).cast("long")
+    valid = F.make_valid_utf8("value")
+    clean = F.regexp_replace(F.replace(valid, F.lit("\0"), F.lit("")), "\r$", "")
+    malformed = ~F.is_valid_utf8("value") | F.contains(valid, F.lit("\0"))
+    return rows.select("source_id", number.alias("line_number"), clean.alias("value"), malformed.alias("malformed"))
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,10 @@ def test_files_and_inventory(spark, tmp_path):
     files = spark.createDataFrame([(k, n, 1, 5) for k, n in enumerate(names)], "file_id long, path string, instance_id long, mtime_ms long")
     order = [r["path"][2:] for r in inventory.rotations(files).orderBy("rotation").collect()]
     assert order == ["2026-08-09-9.log", "2026-08-10-1.log.gz", "2026-08-10-2.log", "b.log", "x.log", "latest.log"]
+
+
+def test_bad_bytes_and_nul_are_replaced_and_counted(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "latest.log").write_bytes(b"[10:00:00] [main/INFO]: a\xff\xfe\r\nplain\r\nnu\x00l\n")
+    rows = read_logs(spark, str(tmp_path / "logs")).orderBy("line_number").collect()
+    assert [(r["line_number"], r["value"], r["malformed"]) for r in rows] == [(1, "[10:00:00] [main/INFO]: a��", True), (2, "plain", False), (3, "nul", True)]
