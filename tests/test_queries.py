@@ -3,6 +3,10 @@
 import glob
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,3 +47,11 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_imports_without_the_text_operators(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "playloom", tmp_path / "playloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
