@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from playloom.llm.bloom import passing
 from playloom.llm.columns import fresh
-from playloom.llm.words import chunks, hashed_words, mix64
+from playloom.llm.words import chunks, hashed_words, mix64, release
 from playloom.shared import Tables
 
 WORDS = 5
@@ -161,7 +161,9 @@ def scanned(docs: DataFrame) -> DataFrame:
             token, n = np.unique(np.concatenate(often) if often else np.empty(0, np.uint64), return_counts=True)
             token, n = token[n >= FREQUENT], n[n >= FREQUENT]
             none = pa.nulls(len(token), pa.int64())
+            new, often = [], []
             yield pa.RecordBatch.from_arrays([pa.nulls(len(token), ids.type), none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, class long, bits binary, token long, n long")
 
@@ -222,6 +224,7 @@ def packed_postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bu
                 columns = [x[order] for x in (token.view(np.int64), key, place)]
                 payload = [b"".join(x[b:e].tobytes() for x in columns) for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+        release()
 
     return docs.select("text").mapInArrow(run, "bucket long, payload binary")
 
@@ -386,6 +389,7 @@ def met(rows: DataFrame, texts: DataFrame | None, run: Callable[[pa.Table], pa.T
             sides = set(table.column("side").unique().to_pylist())
             if sides == {0, 1} or table.num_rows > 1 and pc.any(table.column("both")).as_py():
                 yield from run(table).to_batches(max_chunksize=65_536)
+        release()
 
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
