@@ -30,7 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_BYTES = 150_000_000
+#: Room of each of a worker's three memories: more saves CPU time, less leaves room for the JVM beside two workers.
+CACHE_BYTES = 110_000_000
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
