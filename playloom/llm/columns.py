@@ -27,8 +27,8 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-#: Matches that are placed one after the other; appending to longer arrays would cost their square.
-BLOCK = 512
+#: Matches whose places are added up one after the other; Spark copies what is gathered at each step, so longer blocks would cost their square.
+BLOCK = 64
 
 
 #: Code points before a match that are given with it.
@@ -53,12 +53,16 @@ def span_list(text: Column, pattern: str, keep) -> Column:
 
     def placed(block: Column, start: Column) -> Column:
         def step(acc, pair):
-            begin = acc["at"] + F.char_length(pair["p"])
+            return F.struct((acc["at"] + length(pair)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        def span(pair, at):
+            begin = at + F.char_length(pair["p"])
             end = begin + F.char_length(pair["m"])
-            one = F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("match"), F.right(pair["p"], F.lit(CONTEXT)).alias("before"), pair["q"].alias("after"))
-            return F.struct((acc["at"] + length(pair)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("match"), F.right(pair["p"], F.lit(CONTEXT)).alias("before"), pair["q"].alias("after"))
 
-        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(SPAN_LIST).alias("out")), step, lambda acc: acc["out"])
+        # Numbers alone are gathered; the matches are joined to them afterwards.
+        places = F.aggregate(block, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+        return F.zip_with(block, places, span)
 
     def in_blocks(pairs: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, BLOCK))
