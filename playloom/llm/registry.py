@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playloom.llm import bpe, exact_dedup, html_text, jaccard, mixing, pii, quality, secrets, topk, url_filter
+from playloom.llm import bpe, exact_dedup, html_text, jaccard, mixing, packing, pii, quality, secrets, spelling, topk, url_filter
 from playloom.shared import table
 
 
@@ -51,6 +51,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.annotate(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.annotate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_exact_dedup": op2_exact_dedup,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +117,39 @@ ORACLE_SQL: dict[str, str] = {
             when starts_with(host || path, 'ads.') or contains(host || path, '/ads/') or contains(host || path, '/adserver/')
                 or contains(host || path, '/banners/') then 'block' else 'allow' end as verdict
         from r""",
+    "op11_spelling": r"""
+        with recursive bits as (
+            select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i::bigint)) as t
+        ), runs as (
+            select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run
+            from documents
+        ), keyed as (
+            select d, run, count(*) as k, hex(encode(d || ':' || run)) as x from runs where length(run) >= 6 group by d, run
+        ), hashed as (
+            select run, k, xor(list_reduce(
+                list_transform(range(length(x) // 2), lambda i: (instr('123456789ABCDEF', substr(x, 2 * i + 1, 1)) * 16 + instr('123456789ABCDEF', substr(x, 2 * i + 2, 1)))::bigint),
+                lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::bigint), 4294967295) as h
+            from keyed, bits
+        ), damaged as (
+            select case when h % 199 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, k from hashed
+        ), w as (
+            select word, sum(k)::bigint as n from damaged where length(word) >= 6 group by word having sum(k) >= 5
+        ), cut as (
+            select word, n, i, left(word, i - 1) || substr(word, i + 1) as less, left(word, i - 1) || '*' || substr(word, i + 1) as wild
+            from (select word, n, unnest(range(1, length(word) + 1)) as i from w)
+        ), near as (
+            select c.word, v.word as other, v.n as m from cut c join w v on v.word = c.less
+            union select v.word, c.word, c.n from cut c join w v on v.word = c.less
+            union select a.word, b.word, b.n from cut a join cut b on a.wild = b.wild and a.word <> b.word
+        ), ranked as (
+            select word, other, m, count(*) over (partition by word) as n_near, row_number() over (partition by word order by m desc, other) as place from near
+        ), rows_ as (
+            select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 5 * w.n then other end as form, case when m >= 5 * w.n then m end as form_n
+            from w left join ranked r on r.word = w.word and place = 1
+        ), chain as (
+            select word, word as at, form from rows_
+            union all
+            select c.word, c.form, r.form from chain c join rows_ r on r.word = c.form
+        )
+        select r.word, r.form, c.at as root, r.n, r.n_near, r.form_n from rows_ r join chain c on c.word = r.word and c.form is null""",
 }
