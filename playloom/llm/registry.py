@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playloom.llm import bpe, exact_dedup, html_text, jaccard, mixing, packing, pii, quality, secrets, spelling, topk, url_filter
+from playloom.llm import bpe, exact_dedup, html_text, jaccard, mixing, packing, pii, quality, repair, secrets, spelling, topk, url_filter
 from playloom.shared import table
 
 
@@ -55,6 +55,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.annotate(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.annotate(table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.annotate(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
     "op11_spelling": op11_spelling,
+    "op12_repair": op12_repair,
     "op13_packing": op13_packing,
 }
 
@@ -152,4 +157,62 @@ ORACLE_SQL: dict[str, str] = {
             select c.word, c.form, r.form from chain c join rows_ r on r.word = c.form
         )
         select r.word, r.form, c.at as root, r.n, r.n_near, r.form_n from rows_ r join chain c on c.word = r.word and c.form is null""",
+    "op12_repair": r"""
+        with recursive bits as (
+            select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i::bigint)) as t
+        ), convs as (
+            select conv_id, row_number() over (order by conv_id) as c from (select distinct conv_id from conversations)
+        ), named as (
+            select c, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, hex(encode(coalesce(v.conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as x
+            from conversations v join convs on convs.conv_id is not distinct from v.conv_id
+        ), hashed as (
+            select *, xor(list_reduce(
+                list_transform(range(length(x) // 2), lambda i: (instr('123456789ABCDEF', substr(x, 2 * i + 1, 1)) * 16 + instr('123456789ABCDEF', substr(x, 2 * i + 2, 1)))::bigint),
+                lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::bigint), 4294967295) % 20 as h
+            from named, bits
+        ), damaged as (
+            select c, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                   unnest(range(case when h = 3 then 2 else 1 end)) as copy
+            from hashed where h <> 0
+        ), placed as (
+            select *, left(role, 1) as initial, row_number() over (partition by c order by turn nulls first, role, sha256(text), copy) as pos from damaged
+        ), judged as (
+            select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by c, role, text order by pos) > 1 as again,
+                   not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as cut, lag(initial) over (partition by c order by pos) || initial as pair
+            from placed
+        ), counted as (
+            select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate,
+                   count(*) filter (where cut and not again and not blank) as truncated, count(*) filter (where pair is not null and pair not in ('su', 'ua', 'au')) as illegal, max(pos) as last
+            from judged group by c
+        ), inserts(state, due, cost, letters) as (
+            values (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (2, 2, 6, 'II'), (3, 3, 0, ''), (3, 2, 3, 'I'), (3, 3, 6, 'II')
+        ), edits(due, initial, to_state, cost, letter) as (
+            values (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'), (3, 'u', 2, 0, 'K'), (0, null, 2, 3, 'R'), (1, null, 2, 3, 'R'), (2, null, 3, 3, 'R'), (3, null, 2, 3, 'R'),
+                   (0, null, 0, 4, 'D'), (1, null, 1, 4, 'D'), (2, null, 2, 4, 'D'), (3, null, 3, 4, 'D')
+        ), step as (
+            select c, 0::bigint as pos, 0 as state, {'cost': 0::bigint, 'audit': ''} as best from counted
+            union all
+            select j.c, j.pos, e.to_state, min({'cost': best.cost + i.cost + e.cost + case when j.cut and e.letter <> 'D' then 3 else 0 end, 'audit': best.audit || i.letters || e.letter})
+            from step s join judged j on j.c = s.c and j.pos = s.pos + 1 join inserts i on i.state = s.state join edits e on e.due = i.due
+            where (e.letter = 'D' or not (j.blank or j.again)) and (e.initial is null or e.initial = j.initial)
+            group by j.c, j.pos, e.to_state
+        ), cheapest as (
+            select s.c, min({'cost': best.cost + i.cost, 'audit': best.audit || i.letters}) as best
+            from step s join counted n on n.c = s.c and n.last = s.pos join inserts i on i.state = s.state where i.due in (0, 3) group by s.c
+        ), letters as (
+            select c, substr(best.audit, i, 1) as letter, i from (select c, best, unnest(range(1, length(best.audit) + 1)) as i from cheapest)
+        ), aligned as (
+            select *, count(*) filter (where letter <> 'I') over (partition by c order by i) as pos from letters
+        ), kept as (
+            select a.c, a.i, a.letter, j.role, j.text, j.initial, row_number() over (partition by a.c order by a.i) as n
+            from aligned a left join judged j on j.c = a.c and j.pos = a.pos where a.letter <> 'D'
+        ), begun as (
+            select *, max(case when n = 1 and letter = 'K' and initial = 's' then 1 else 0 end) over (partition by c) as shift from kept
+        ), hashed_text as (
+            select c, sha256(string_agg(case when letter = 'K' then role when (n - shift) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end, chr(10) order by i)) as h
+            from begun group by c
+        )
+        select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               coalesce(best.cost, 0) as cost, coalesce(best.audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+        from convs left join counted on counted.c = convs.c left join cheapest on cheapest.c = convs.c left join hashed_text on hashed_text.c = convs.c""",
 }
