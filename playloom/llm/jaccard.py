@@ -43,13 +43,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playloom.llm.bloom import passing
 from playloom.llm.columns import fresh
 from playloom.llm.words import chunks, hashed_words, mix64, release
-from playloom.shared import Tables
+from playloom.shared import Tables, materialize
 
 WORDS = 5
 #: A shingle that so many sets of one Arrow batch have is counted as frequent.
@@ -618,11 +618,23 @@ def annotate(docs: DataFrame, rounds: int = ROUNDS, part: int = PART) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id (of rows that repeat it, one), with all columns.
+    """One document of each component with all its columns: the one with the smallest doc_id, then the smallest SHA-256 of its text.
 
-    Rows without doc_id belong to no component and are kept.
+    Of rows that repeat both, the first by the JSON of its other columns stays. Rows of one doc_id
+    with different texts are different documents. Rows without doc_id belong to no component and are kept.
+    Texts are shuffled only by the join with the kept documents, and only where those are too many to broadcast.
     """
-    (key,) = fresh(docs, "jaccard_keep")
-    kept = annotate(docs.select("doc_id", "text")).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, named["doc_id"] == kept[key], "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    key, number = fresh(docs, "jaccard_keep", "jaccard_rows")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    name = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), digest.alias("digest")))
+    named = docs.withColumn(key, name)
+    found = annotate(named.select(F.col(key).alias("doc_id"), "text")).filter(F.col("doc_id") == F.col("component_id"))
+    kept = materialize(found.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(number)), "jaccard-kept")
+    once, often = (kept.filter(F.col(number) == 1), kept.filter(F.col(number) > 1))
+    out = named.join(once, key, "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    if often.isEmpty():
+        return out
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(1).alias(number)))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(others)).alias(number)
+    again = named.join(often, key, "left_semi").select("*", first).filter(F.col(number) == 1)
+    return out.unionByName(again.select(docs.columns))

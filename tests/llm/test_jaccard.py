@@ -105,6 +105,15 @@ def test_keep_one_leaves_one_of_each_component(docs, texts, repeated):
     assert sorted(i for i in ids if i is not None) == sorted({c for _, c in brute(texts).values()})
 
 
+def test_keep_one_tells_texts_of_one_doc_id_apart(spark, docs):
+    one, two = "alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu"
+    rows = [(5, one, "en", "b"), (5, two, "en", "a"), (6, two, "en", "a"), (5, one, "de", "a"), (7, None, "en", "a"), (7, "", "en", "b")]
+    table = spark.createDataFrame([(i, t, lang, source, "x", "y", "z") for i, t, lang, source in rows], docs.schema)
+    for parts in (1, 4):
+        kept = sorted((r["doc_id"], r["text"] or "", r["lang"]) for r in jaccard.keep_one(table.repartition(parts)).collect())
+        assert kept == [(5, one, "de"), (5, two, "en"), (7, "", "en")]
+
+
 def test_empty_table(no_docs):
     assert jaccard.annotate(no_docs).count() == 0
 
