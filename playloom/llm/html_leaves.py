@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 #: A tag's name; ``<`` before anything else is text.
@@ -43,30 +44,34 @@ class Leaf:
 
 
 class _Reader:
-    """One pass over a page's source; what was not found once is not looked for again, so the time is linear."""
+    """One pass over a page's source; what was looked for once is found again without a search, so the time is linear."""
 
     def __init__(self, source: str):
         self.source = source
-        self.missing: dict[str, int] = {}
+        #: What was looked for: from where on, and where it is (-1 for nowhere).
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def _next(self, what: str, begin: int, search: Callable[[int], int]) -> int:
+        since, at = self.known.get(what, (len(self.source) + 1, -1))
+        if since <= begin and (at < 0 or begin <= at):
+            return at
+        at = search(begin)
+        self.known[what] = begin, at
+        return at
 
     def find(self, what: str, begin: int) -> int:
         """Position of ``what`` from ``begin`` on, -1 if there is none."""
-        if begin >= self.missing.get(what, len(self.source) + 1):
-            return -1
-        at = self.source.find(what, begin)
-        if at < 0:
-            self.missing[what] = begin
-        return at
+        return self._next(what, begin, lambda k: self.source.find(what, k))
 
     def end_tag(self, tag: str, begin: int) -> int:
         """Where the end tag of ``tag`` begins, -1 if there is none."""
-        if begin >= self.missing.get(f"</{tag}", len(self.source) + 1):
-            return -1
-        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.source, begin)
-        if m is None:
-            self.missing[f"</{tag}"] = begin
-            return -1
-        return m.start()
+        ends = re.compile(rf"</{tag}(?=[\s/>])", re.I)
+        return self._next(f"</{tag}", begin, lambda k: m.start() if (m := ends.search(self.source, k)) else -1)
+
+    def comment_end(self, begin: int) -> int:
+        """Behind the comment that begins here, -1 if it never ends. ``<!-->`` and ``<!--->`` are whole comments."""
+        ends = [(at, at + len(mark)) for mark, at in (("-->", self.find("-->", begin + 2)), ("--!>", self.find("--!>", begin + 4))) if at >= 0]
+        return min(ends)[1] if ends else -1
 
     def attributes(self, at: int) -> tuple[int, bool, list[str]]:
         """From behind a tag's name: the position behind the tag (-1 if it never ends), whether it closes itself, and the
@@ -149,8 +154,8 @@ def leaves(source: str) -> list[Leaf]:
             break
         text_of(source[at:begin])
         if source.startswith("<!--", begin):
-            end = reader.find("-->", begin + 2)
-            at = len(source) if end < 0 else end + 3
+            end = reader.comment_end(begin)
+            at = len(source) if end < 0 else end
             continue
         ends = source.startswith("</", begin)
         name = _NAME.match(source, begin + 1 + ends)
@@ -180,7 +185,8 @@ def leaves(source: str) -> list[Leaf]:
             continue
         if tag in BREAKOUT:
             for drawing in ("svg", "math"):
-                close(drawing)
+                while opened.get(drawing):
+                    close(drawing)
         if tag in VOID or (itself and tag not in INLINE):
             continue
         if tag in HIDDEN and reader.end_tag(tag, at) < 0:
