@@ -17,8 +17,8 @@ rank limits rows before the shuffle.
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part; scores that 64 bits cannot hold are ranked exactly and
 given as the nearest number that fits; vectors meet only vectors of their own length; ties go
-to the smaller id; a query never finds its own id; repeated rows of one id
-count once per block; empty tables give empty results.
+to the smaller id; a query never finds its own id; of several vectors of one id
+the best score counts, once for each query id; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
                 read[nearest] = True
                 scores = exact[nearest] @ query if exact_floats else exact[nearest].astype(object) @ query.astype(object)
                 keys = [(-int(score), vec_id) for score, g in zip(scores.tolist(), nearest.tolist()) for vec_id in members[g] if vec_id != own]
-                best = sorted(best + keys)[:k]
+                best = _best_of_each(best + keys)[:k]
                 rest = np.flatnonzero(~read)
                 if len(best) == k:  # certain once no bound left reaches the k-th score
                     rest = rest[bound[rest] >= -best[-1][0]]
@@ -91,6 +91,14 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     return out
 
 
+def _best_of_each(keys: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(-score, id) in order, each id once with its best score."""
+    best: dict[int, int] = {}
+    for negative, vec_id in sorted(keys):
+        best.setdefault(vec_id, negative)
+    return [(negative, vec_id) for vec_id, negative in best.items()]
+
+
 def file_bounds_as_objects(file: ApproximationFile, queries: np.ndarray) -> list:
     """The same bounds in whole numbers of any size."""
     wide = ApproximationFile.__new__(ApproximationFile)
@@ -126,4 +134,5 @@ def search(vectors: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROW
         .cogroup(corpus.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.dropDuplicates().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

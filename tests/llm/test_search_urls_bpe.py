@@ -108,3 +108,11 @@ def test_bpe_on_odd_text_and_long_pieces():
         (value,), = small.all([[str(k % 7)]], lambda keys: small.tell({x: x * 2 for x in keys}))
         small.rest()
         assert value == str(k % 7) * 2
+
+
+def test_topk_of_one_id_with_several_vectors(spark):
+    """The best score of each query and id counts, once."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (3, [0.125, 0.0]), (0, [0.0, 1.0]), (4, [0.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.search(vectors, F.col("vec_id") == 0, k=3, block_rows=3).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 65536), (2, 4, 32768), (3, 2, 16384)]
