@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from playloom.llm import words
+
 #: Room of a worker's memories of pre-tokens and of segments, and of the one for decoding, where a miss costs little.
 CACHE_BYTES, DECODED_BYTES = 150_000_000, 40_000_000
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -261,6 +263,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             for part in _parts(batch):
                 ids = [[int(x) for x in ",".join(segments).split(",") if x] for segments in own.encode(_texts(part))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        words.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -282,6 +285,7 @@ def annotate(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        words.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
