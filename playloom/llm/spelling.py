@@ -140,7 +140,8 @@ def _grouped(words: DataFrame, tables: Tables, group: int) -> DataFrame:
 
     parting = F.udf(lambda first, last: shared_length(first, last), "int")
     done: list[DataFrame] = []
-    rest = words.select("word", "n", F.lit("").alias("group"), F.array().cast("array<int>").alias("cuts"))
+    # Not a literal, on which the join with the cut nodes would lose its key.
+    rest = words.select("word", "n", F.expr("left(word, 0)").alias("group"), F.array().cast("array<int>").alias("cuts"))
     while True:
         sizes = rest.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("word").alias("first"), F.max("word").alias("last"))
         large = tables.write(sizes.filter(F.col("size") > group).select("group", parting("first", "last").alias("depth")), "cut")
