@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from playloom.operators import parsing, reconstruct
+from playloom.plans.fold_sql import FOLD_SQL, REPEATS_SQL
 from playloom.sources.logs import LINES_SQL, event_lines
 
 
@@ -103,8 +104,16 @@ typed as (
         else [] end as events from parsed)"""
 
 
+#: The typed events as input of the fold.
+_EVENTS = """, events_ as (
+    select instance_id, source_id, source_id as content_hash, source_order, line_number, unnest(range(len(events)))::integer as event_order, unnest(events).kind as kind,
+           unnest(events).detail as detail, unnest(events).score as score, local_ms, null::bigint as hint_ms
+    from typed join (select instance_id, source_id, source_order, line_number, coalesce(full_ms, epoch_ms(date_hint) + clock) as local_ms from stamped) using (source_id, line_number)),"""
+_UNMARKED = "marked as (select *, false as repeated from events_),"
+
+
 def _sql(select: str, *parts: str) -> str:
-    return f"with {LINES_SQL}{''.join(parts)}\n{select}"
+    return f"with recursive {LINES_SQL}{''.join(parts)}\n{select}"
 
 
 ORACLE_SQL = {
@@ -124,6 +133,16 @@ ORACLE_SQL = {
         from stamped join (select source_id, line_number, len(events) as n from typed) using (source_id, line_number) group by 1""", _PARSED),
     "server_canonical": _sql("""select regexp_replace(lower(regexp_extract(body, '(?i)connecting to (.*)$', 1)), ', 25565$', '') as address, count(*) as joins
         from parsed where contains(low, 'connecting to ') group by 1""", _PARSED),
+    "dedupe_overlap": _sql("select source_id, line_number, event_order, kind from marked where not repeated", _PARSED, _EVENTS, REPEATS_SQL),
+    "reconstruct": _sql("select instance_id, start_ms, end_ms, seconds, start_kind, end_kind, exit_kind, score from found", _PARSED, _EVENTS, REPEATS_SQL, ",", FOLD_SQL),
+    "session_rows": _sql("""select left(sha256(concat_ws('|', strlen(id) || ':' || id, strlen(s) || ':' || s, strlen(e) || ':' || e, strlen(v) || ':' || v, strlen(p) || ':' || p)), 32) as session_key, instance_id, start_ms,
+            case when end_kind <> 'truncated' and seconds <= 2678400 then end_ms end as end_ms, case when end_kind <> 'truncated' and seconds <= 2678400 then seconds end as seconds,
+            case when seconds > 2678400 then 'unknown' else exit_kind end as exit_kind, score, case when score >= 80 then 'verified' when score >= 55 then 'high' when score >= 30 then 'partial' else 'unknown' end as label,
+            versions[-1] as version, 'UTC+00:00' as offset_label
+        from (select *, instance_id::varchar as id, start_ms::varchar as s, end_ms::varchar as e, array_to_string(versions, ',') as v, array_to_string(places, ',') as p,
+                     if(seconds > 2678400, least(raw, 54), raw) as score from (select * rename (score as raw) from found))""", _PARSED, _EVENTS, _UNMARKED, FOLD_SQL),
+    "segments": _sql("""select instance_id, start_ms, place - 1 as place, split_part(to_, ':', 1) as kind, coalesce(nullif(substr(to_, instr(to_, ':') + 1), ''), 'Local world') as name
+        from (select instance_id, start_ms, unnest(places) as to_, unnest(range(1, len(places) + 1))::integer as place from found)""", _PARSED, _EVENTS, _UNMARKED, FOLD_SQL),
     "session_confidence": """select o_orderkey as session_id, end_kind, greatest(0, least(
             case when o_orderkey % 2 = 0 then 72 else 52 end + bonus + case when o_orderkey % 3 = 0 then 4 else 0 end + case when o_orderkey % 5 < 3 then 4 else 0 end - case when o_orderkey % 7 = 0 then 20 else 0 end,
             most, case when o_orderkey % 2 = 0 then 100 else 79 end, case when o_orderkey % 7 = 0 then 54 else 100 end))::integer as score

@@ -95,13 +95,24 @@ def test_overlap_of_rotations(spark):
     assert len(sessions_of(spark, [("a", again), ("b", again)])) == 2
 
 
-def test_overlap_length_against_brute_force():
-    rng = random.Random(4)
-    for _ in range(3000):
-        before = [("k", rng.choice("ab"), rng.randint(0, 1), n) for n in range(rng.randint(0, 8))]
-        now = [("k", rng.choice("ab"), rng.randint(0, 1), n) for n in range(rng.randint(0, 8))]
-        best = max((k for k in range(min(len(before), len(now)) + 1) if [x[:3] for x in before[len(before) - k :]] == [x[:3] for x in now[:k]]), default=0)
-        assert reconstruct.overlap(before, now) == (best if best >= 2 else 0)
+def test_overlap_length_against_brute_force(spark):
+    """Many short sources over few keys, each the rotation after the one before."""
+    rng, rows, wanted = random.Random(4), [], {}
+    for instance in range(400):
+        before = []
+        for order in range(3):
+            keys = sorted((rng.randint(1, 4), rng.choice("ab"), rng.randint(0, 1)) for _ in range(rng.randint(0, 7)))
+            if rng.random() < 0.3:  # a true rotation, with lines of its own
+                keys = [(k, *x[1:]) for k, x in enumerate(before[-rng.randint(1, 5) :], 1)] + [(9, *x[1:]) for x in keys[:2]]
+            name = f"{instance}/{order}"
+            rows += [(instance, name, order, line, k, "server", detail, at, at) for k, (line, detail, at) in enumerate(keys)]
+            best = max((k for k in range(min(len(before), len(keys)) + 1) if [x[1:] for x in before[len(before) - k :]] == [x[1:] for x in keys[:k]]), default=0)
+            if best >= 2 and len({x[0] for x in before[-best:]}) > 1 and len({x[0] for x in keys[:best]}) > 1:
+                wanted[name] = best
+            before = keys or before
+    events = spark.createDataFrame(rows, "instance_id long, source_id string, source_order int, line_number long, event_order int, kind string, detail string, local_ms long, sequence_ms long")
+    assert len(wanted) > 100
+    assert {r["source_id"]: r["common"] for r in reconstruct.overlaps(events).collect()} == wanted
 
 
 def test_exact_copies_are_marked(spark):
