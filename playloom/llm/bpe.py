@@ -12,8 +12,8 @@ merge that makes a pair of lower rank puts the rest of its bucket back.
 
 Scale: a scan without a shuffle, on Arrow batches; each worker loads the
 vocabulary once (fixed size) and remembers the ids of pre-tokens and of the
-blank-separated segments around them, up to ``CACHE_BYTES`` each, and the bytes
-of segments' ids, up to ``DECODED_BYTES``. Whole texts are encoded, however long.
+blank-separated segments around them, up to ``PIECES_BYTES`` and ``SEGMENTS_BYTES``,
+and the bytes of segments' ids, up to ``DECODED_BYTES``. Whole texts are encoded, however long.
 
 Defined results: null text counts as empty and has no tokens; repeated rows
 agree; empty tables give empty results; other columns are ignored.
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from playloom.llm import words
 
-#: Room of a worker's memories of pre-tokens and of segments, and of the one for decoding, where a miss costs little.
-CACHE_BYTES, DECODED_BYTES = 150_000_000, 40_000_000
+#: Room of a worker's memories of pre-tokens, of segments, and of the one for decoding, where a miss costs little.
+PIECES_BYTES, SEGMENTS_BYTES, DECODED_BYTES = 100_000_000, 60_000_000, 30_000_000
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -138,7 +138,7 @@ class Codec:
         self.bytes_of = {str(rank): token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.pieces, self.segments, self.decoded = Memo(CACHE_BYTES), Memo(CACHE_BYTES), Memo(DECODED_BYTES)
+        self.pieces, self.segments, self.decoded = Memo(PIECES_BYTES), Memo(SEGMENTS_BYTES), Memo(DECODED_BYTES)
         self.split = _SEGMENTS.findall if pattern == production_pattern() else self.find
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
