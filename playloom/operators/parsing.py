@@ -10,7 +10,7 @@ from playloom.functions.core import DAY_MS, ascii_lower
 #: A clock that goes back further than this has passed midnight.
 ROLLOVER_MS = 12 * 3_600_000
 #: Limits of one source; beyond them it counts as failed.
-MAX_LINE_BYTES, MAX_LINES, MAX_EVENTS = 512 * 1024, 5_000_000, 250_000
+MAX_LINE_BYTES, MAX_LINES, MAX_EVENTS, MAX_DECODED_BYTES = 512 * 1024, 5_000_000, 250_000, 256 << 20
 
 
 def prefix(line: Column) -> Column:
@@ -165,6 +165,7 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     per = rows.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("n").alias("events"), F.count_if("bad_stamp").alias("unparsed"), F.count_if("rolled").alias("rollovers"),
         F.count_if("fell_back").alias("non_monotonic"), F.count_if(F.col("clock").isNull()).alias("untimed"), F.count_if("malformed").alias("malformed"), F.max("bytes").alias("longest_line"),
+        F.sum(F.col("bytes") + 1).alias("decoded"),
     )
-    over = (F.col("longest_line") > MAX_LINE_BYTES) | (F.col("lines") > MAX_LINES) | (F.col("events") > MAX_EVENTS)
-    return per.withColumn("warns", (F.col("malformed") + F.col("unparsed") + F.col("non_monotonic") + F.col("untimed")) > 0).withColumn("failed", over)
+    over = (F.col("longest_line") > MAX_LINE_BYTES) | (F.col("lines") > MAX_LINES) | (F.col("events") > MAX_EVENTS) | (F.col("decoded") > MAX_DECODED_BYTES)
+    return per.withColumn("warns", (F.col("malformed") + F.col("unparsed") + F.col("non_monotonic") + F.col("untimed")) > 0).withColumn("failed", over).drop("decoded")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from playloom.operators import parsing, reconstruct
 from playloom.plans.fold_sql import FOLD_SQL, REPEATS_SQL
-from playloom.sources.rotations import ROTATED_SQL, rotated_lines, rotated_sources, with_hints
+from playloom.shared import materialize, shared_dir
+from playloom.sources import scan
+from playloom.sources.logs import read_logs
+from playloom.sources.rotations import ROTATED_SQL, TEXTS_SQL, rotated_lines, rotated_sources, with_hints, write_logs
 
 
 def _events(spark, sf_dir):
@@ -49,9 +54,29 @@ def evidence_rows(spark, sf_dir):
     return reconstruct.evidence_rows(parsing.log_events(rotated_lines(spark, sf_dir)))
 
 
+def _written(spark, sf_dir):
+    return write_logs(rotated_lines(spark, sf_dir), f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}")
+
+
+def file_lines(spark, sf_dir):
+    """Lines and their bytes, of logs that are written as files and read again in splits."""
+    rows = read_logs(spark, f"file:{_written(spark, sf_dir)}")
+    name = F.regexp_extract("source_id", r"/([^/]+)\.log$", 1)
+    return rows.select(name.alias("source"), "line_number", "byte_start", "byte_end", "value", "malformed")
+
+
+def scan_inventory(spark, sf_dir):
+    """The same files found by a walk, fingerprinted, and read again as verified snapshots."""
+    root = _written(spark, sf_dir)
+    found = materialize(scan.fingerprints(scan.inventory(spark, [root]).filter("warning is null")), "inventory")
+    content, verdicts = scan.snapshot(found)
+    per = content.groupBy("path").agg(F.sum(F.octet_length("bytes")).alias("bytes"))
+    return found.join(verdicts, ["root", "path"]).join(per, "path").select("path", "kind", "size", "hash", "verified", "bytes")
+
+
 QUERIES = {
     "rotated_events": rotated_events, "rotated_diag": rotated_diag, "repeats": repeats, "rotated_sessions": rotated_sessions, "evidence_links": evidence_links,
-    "reconstruct_diag": reconstruct_diag, "evidence_rows": evidence_rows,
+    "reconstruct_diag": reconstruct_diag, "evidence_rows": evidence_rows, "file_lines": file_lines, "scan_inventory": scan_inventory,
 }
 
 def _sql(select: str, *parts: str) -> str:
@@ -70,6 +95,10 @@ ORACLE_SQL = {
             count(*) filter (where clock is null) as untimed, count(*) filter (where malformed) as malformed,
             count(*) filter (where bad_stamp or clock is null or malformed or (before > clock and not rolled and (full_ms is null or full_ms // 86400000 * 86400000 = day_before))) > 0 as warns, false as failed
         from rotated left join (select phrase, count(*) as n_events from says group by phrase) using (phrase) group by source_id""", ROTATED_SQL),
+    "file_lines": _sql("""select replace(source_id, '/', '_') as source, line_number, (sum(strlen(value) + 1) over w - strlen(value) - 1)::bigint as byte_start, (sum(strlen(value) + 1) over w)::bigint as byte_end,
+            value, false as malformed from texts window w as (partition by source_id order by line_number)""", ROTATED_SQL, TEXTS_SQL),
+    "scan_inventory": _sql("""select path, 'plain' as kind, strlen(content) as size, sha256(content) as hash, true as verified, strlen(content) as bytes
+        from (select 'instances/' || instance_id || '/logs/' || replace(source_id, '/', '_') || '.log' as path, string_agg(value || chr(10), '' order by line_number) as content from texts group by instance_id, source_id)""", ROTATED_SQL, TEXTS_SQL),
     "repeats": _sql("select source_id, line_number, event_order, kind from marked where repeated", ROTATED_SQL, REPEATS_SQL),
     "rotated_sessions": _sql(SESSIONS_SQL, *_ALL),
     "evidence_links": _sql("""select instance_id, start_source, start_line, start_event, role, kind, score, source_id, line_number, event_order from linked join firsts using (instance_id, nth)""", *_ALL),

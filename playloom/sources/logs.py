@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playloom.shared import table
+from playloom.shared import materialize, table
 
 LINES = "instance_id, source_id, source_order, date_hint, line_number, value"
 
 
+#: Tables of splits are broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST_SPLITS = 100_000
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all ``.log`` and ``.log.gz`` files under a folder: source_id, line_number, value, malformed.
+    """Lines of all ``.log`` and ``.log.gz`` files under a folder: source_id, line_number, byte_start, byte_end, value, malformed.
 
-    A line with bytes that are no UTF-8 (then replaced) or with NUL (then removed) is malformed. Plain files are split over
-    tasks; lines are numbered by the start of their split and their place in it.
+    A line with bytes that are no UTF-8 (then replaced) or with NUL (then removed) is malformed. The bytes are those of
+    the decoded file, from the line's first to behind its line feed; the last line of a plain file ends with the file, that of
+    a compressed one is taken to have a line feed. Plain files are split over tasks. Lines and bytes are
+    counted within each split as it streams by; what comes before a split is a prefix sum over the splits of its file,
+    a small table, so the text itself is neither shuffled nor sorted.
     """
     files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*").text(path)
-    rows = files.select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
-    number = F.row_number().over(Window.partitionBy("source_id").orderBy("split", "place")).cast("long")
+    where = [F.col(f"_metadata.{name}").alias(alias) for name, alias in (("file_path", "source_id"), ("file_block_start", "split"), ("file_size", "file_size"))]
+    rows = files.select("value", *where, (F.octet_length("value") + 1).cast("long").alias("bytes"))
+    per = rows.groupBy("source_id", "split").agg(F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"))
+    before = Window.partitionBy("source_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "bytes")]
+    splits = materialize(per.select("source_id", "split", *sums), "splits")
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     valid = F.make_valid_utf8("value")
     clean = F.regexp_replace(F.replace(valid, F.lit("\0"), F.lit("")), "\r$", "")
     malformed = ~F.is_valid_utf8("value") | F.contains(valid, F.lit("\0"))
-    return rows.select("source_id", number.alias("line_number"), clean.alias("value"), malformed.alias("malformed"))
+    lines = rows.select("source_id", "split", "file_size", "bytes", clean.alias("value"), malformed.alias("malformed"))
+    names = [*lines.columns, "nth", "offset"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lines_so_far, bytes_so_far = None, 0, 0
+        for batch in batches:
+            sizes = batch.column(3).to_numpy(zero_copy_only=False)
+            ids, blocks = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            # Rows of a split are neighbours: where another one begins, both counts begin anew.
+            turns = [k for k in range(len(ids)) if (ids[k], blocks[k]) != (key if k == 0 else (ids[k - 1], blocks[k - 1]))]
+            nth, offset = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+            for begin, end in zip([0, *turns], [*turns, len(ids)]):
+                if begin in turns:
+                    lines_so_far = bytes_so_far = 0
+                ends = np.cumsum(sizes[begin:end]) + bytes_so_far
+                nth[begin:end] = np.arange(1, end - begin + 1) + lines_so_far
+                offset[begin:end] = ends - sizes[begin:end]
+                if end > begin:
+                    lines_so_far, bytes_so_far = int(nth[end - 1]), int(ends[-1])
+            if ids:
+                key = ids[-1], blocks[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth), pa.array(offset)], names=names)
+
+    counted = lines.mapInArrow(count, "source_id string, split long, file_size long, bytes long, value string, malformed boolean, nth long, offset long")
+    start = F.col("bytes_before") + F.col("offset")
+    end = F.when(F.lower("source_id").endswith(".gz"), start + F.col("bytes")).otherwise(F.least(start + F.col("bytes"), F.col("file_size")))
+    return counted.join(splits, ["source_id", "split"]).select(
+        "source_id", (F.col("lines_before") + F.col("nth")).alias("line_number"), start.alias("byte_start"), end.alias("byte_end"), "value", "malformed"
+    )
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

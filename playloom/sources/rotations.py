@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +123,47 @@ events_ as (
     select instance_id, source_id, content_hash, source_order, line_number, event_order, kind, replace(detail, '{{n}}', n) as detail, score, local_ms,
            max(local_ms) over (partition by source_id) + instance_id % 1500 * 1000 as hint_ms
     from rotated join says using (phrase))"""
+
+_TEXTS = ", ".join(f"({k}, {_text(text)}, {_text(head)})" for k, (text, head, _) in enumerate(PHRASES))
+
+#: The lines themselves: ``texts``, from ``rotated``.
+TEXTS_SQL = f"""
+wording(phrase, text, head) as (values {_TEXTS}),
+texts as (
+    select instance_id, source_id, line_number, '[' || case when bad_stamp then '99:99:99' when full_ms is null then strftime(make_timestamp_ms(clock), '%H:%M:%S')
+           else strftime(make_timestamp_ms(full_ms), '%Y-%m-%d %H:%M:%S') end || '] [' || head || ']: ' || replace(text, '{{n}}', n) as value
+    from rotated join wording using (phrase))"""
+
+
+def write_logs(lines: DataFrame, folder: str) -> str:
+    """Writes each source as ``instances/<instance>/logs/<source>.log`` below a folder that all executors have mounted; gives its path.
+
+    Each task writes the sources of its partition, one after the other as their lines stream by; a file takes its name when it is whole.
+    """
+    if not re.match(r"(file:)?/", folder):
+        raise ValueError("logs can be written to a mounted folder only")
+    root = re.sub("^file:/*", "/", folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, part = None, None, None
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                os.replace(part, name)
+
+        for batch in batches:
+            for instance, source, value in zip(*(batch.column(c).to_pylist() for c in ("instance_id", "source_id", "value"))):
+                path = f"{root}/instances/{instance}/logs/{source.replace('/', '_')}.log"
+                if path != name:
+                    done()
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    name, part = path, f"{path}.{uuid.uuid4().hex}"
+                    out = open(part, "wb")
+                out.write(value.encode() + b"\n")
+            yield batch.slice(0, 0)
+        done()
+
+    rows = lines.select("instance_id", "source_id", "line_number", "value").repartition("source_id").sortWithinPartitions("source_id", "line_number")
+    rows.mapInArrow(run, rows.schema).write.format("noop").mode("overwrite").save()
+    return root
