@@ -12,8 +12,8 @@ merge that makes a pair of lower rank puts the rest of its bucket back.
 
 Scale: a scan without a shuffle, on Arrow batches; each worker loads the
 vocabulary once (fixed size) and remembers the ids of pre-tokens and of the
-blank-separated segments around them, up to ``PIECES_BYTES`` and ``SEGMENTS_BYTES``,
-and the bytes of segments' ids, up to ``DECODED_BYTES``. Whole texts are encoded, however long.
+blank-separated segments around them, up to ``PIECES_BYTES`` and ``SEGMENTS_BYTES``.
+Decoding goes by the ids alone. Whole texts are encoded, however long.
 
 Defined results: null text counts as empty and has no tokens; repeated rows
 agree; empty tables give empty results; other columns are ignored.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from playloom.llm import words
 
-#: Room of a worker's memories of pre-tokens, of segments, and of the one for decoding, where a miss costs little.
-PIECES_BYTES, SEGMENTS_BYTES, DECODED_BYTES = 100_000_000, 60_000_000, 30_000_000
+#: Room of a worker's memories of pre-tokens and of segments.
+PIECES_BYTES, SEGMENTS_BYTES = 110_000_000, 80_000_000
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -91,27 +92,14 @@ _SEGMENTS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
 class Memo(dict):
-    """Values by key in two generations of half the ``room`` in bytes: what only the older one holds is forgotten with it.
-
-    A key without a value is noted in ``asked`` and gives None until it is told.
-    """
+    """Values by key in two generations of half the ``room`` in bytes: what only the older one holds is forgotten with it."""
 
     def __init__(self, room: int):
-        self.room, self.left, self.older, self.asked = room // 2, room // 2, {}, set()
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            self.asked.add(key)
-        else:
-            self[key] = value
-            self.left -= 210 + len(key) + len(value)
-        return value
+        self.room, self.left, self.older = room // 2, room // 2, {}
 
     def tell(self, values: dict) -> None:
-        self.left -= sum(210 + len(k) + len(v) for k, v in values.items())
+        self.left -= sum(map(len, values)) + sum(map(len, values.values())) + 210 * len(values)
         self.update(values)
-        self.asked.clear()
 
     def rest(self) -> None:
         """Between batches: start a new generation if this one is full."""
@@ -122,11 +110,15 @@ class Memo(dict):
 
     def all(self, keys: list[list], tell) -> list[list]:
         """The values of lists of keys; ``tell`` gets the set of those that have none yet and must tell them."""
-        found = [list(map(self.__getitem__, own)) for own in keys]
-        if self.asked:
-            tell(set(self.asked))
-            found = [[self[k] if v is None else v for k, v in zip(own, got)] if None in got else got for own, got in zip(keys, found)]
-        return found
+        missing = set().union(*keys).difference(self)
+        if missing:
+            older = self.older
+            self.tell({k: older[k] for k in missing.intersection(older)})
+            missing = missing.difference(self)
+            if missing:
+                tell(missing)
+        get = self.__getitem__
+        return [list(map(get, own)) for own in keys]
 
 
 class Codec:
@@ -136,9 +128,11 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         self.bytes_of = {str(rank): token for token, rank in self.ranks.items()}
+        self.rank_of_two = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        self.decimal = {rank: str(rank) for rank in self.ranks.values()}
         self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.pieces, self.segments, self.decoded = Memo(PIECES_BYTES), Memo(SEGMENTS_BYTES), Memo(DECODED_BYTES)
+        self.pieces, self.segments = Memo(PIECES_BYTES), Memo(SEGMENTS_BYTES)
         self.split = _SEGMENTS.findall if pattern == production_pattern() else self.find
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
@@ -153,13 +147,14 @@ class Codec:
             at += len(piece)
         after = list(range(1, n + 2))  # where the part that starts here ends
         before = list(range(-1, n))  # where the part to the left starts
-        pair = [None if first[k + 1] else get(text[k : k + 2]) for k in range(n)]  # rank of the pair that starts here now
+        two = self.rank_of_two
+        pair = [None if border else two[a << 8 | b] for a, b, border in zip(text, text[1:] + b"\0", first[1:])]  # rank of the pair that starts here now
+        begun: dict[int | None, list[int]] = defaultdict(list)
         for k, rank in enumerate(pair):
-            if rank is not None:
-                if rank in buckets:
-                    buckets[rank].append(k)
-                else:
-                    queue.open(rank, [k])
+            begun[rank].append(k)
+        begun.pop(None, None)
+        for rank, positions in begun.items():
+            queue.open(rank, positions)
         while queue.high:
             now, positions = queue.pop()
             for done, k in enumerate(positions, 1):
@@ -204,33 +199,29 @@ class Codec:
         return out
 
     def _learn_pieces(self, pieces: set[str]) -> None:
-        pieces = list(pieces)
+        pieces, decimal = list(pieces), self.decimal
         for begin in range(0, len(pieces), 2000):
             part = pieces[begin : begin + 2000]
             coded = [piece.encode() for piece in part]
             ids = {k: [self.ranks[piece]] for k, piece in enumerate(coded) if piece in self.ranks}
             open_ = [k for k in range(len(part)) if k not in ids]
             ids |= zip(open_, self.merge([coded[k] for k in open_]))
-            self.pieces.tell({piece: ",".join(map(str, ids[k])) for k, piece in enumerate(part)})
+            self.pieces.tell({piece: ",".join([decimal[x] for x in ids[k]]) for k, piece in enumerate(part)})
 
     def _learn_segments(self, segments: set[str]) -> None:
         segments = list(segments)
         ids = self.pieces.all([self.find(s) for s in segments], self._learn_pieces)
         self.segments.tell({s: ",".join(x) for s, x in zip(segments, ids)})
 
-    def _learn_bytes(self, segments: set[str]) -> None:
-        self.decoded.tell({ids: b"".join([self.bytes_of[x] for x in ids.split(",")]) for ids in segments})
-
     def encode(self, texts: list[str]) -> list[list[str]]:
         """Each text's ids, decimal and joined by commas within each segment."""
         self.pieces.rest()
         self.segments.rest()
         return self.segments.all([self.split(text) for text in texts], self._learn_segments)
 
-    def decode(self, encoded: list[list[str]]) -> list[bytes]:
-        """The bytes of each text's ids; a segment of ids that was met before is remembered with its bytes."""
-        self.decoded.rest()
-        return [b"".join(x) for x in self.decoded.all(encoded, self._learn_bytes)]
+    def decode(self, ids: str) -> bytes:
+        """The bytes of ids, which are decimal and joined by commas."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -280,7 +271,7 @@ def annotate(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                 ids = [",".join(segments) for segments in encoded]
                 counts = [x.count(",") + 1 if x else 0 for x in ids]
                 of_ids = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
-                of_bytes = [hashlib.sha256(x).hexdigest() for x in own.decode(encoded)]
+                of_bytes = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
