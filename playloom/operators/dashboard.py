@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playloom.functions.core import DAY_MS, label, label_of_rank, label_rank, local_date, not_blank
+from playloom.functions.core import DAY_MS, ascii_lower, label, label_of_rank, label_rank, local_date, not_blank
 from playloom.operators.visible import runs, visible
+from playloom.shared import materialize
 from playloom.sources.archive import Archive
 
 #: A day counts as active from so many seconds.
@@ -173,3 +174,39 @@ def session_page(archive: Archive, size: int = 500, after: tuple[int, int] | Non
         rows = rows.filter((F.col("start_ms") < after[0]) | ((F.col("start_ms") == after[0]) & (F.col("session_id") > after[1])))
     page = rows.orderBy(F.col("start_ms").desc(), "session_id").limit(size).select("session_id", "start_ms", "exit_kind", "label")
     return page.crossJoin(total).withColumn("truncated", F.col("total") > size)  # total is one row
+
+
+def session_contexts(archive: Archive, size: int = 500, after: tuple[int, int] | None = None) -> DataFrame:
+    """A page of sessions, newest first, each with its kind, destination and the contexts of its segments in order.
+
+    The page comes first; its keys, at most ``size``, are then the filter of the segments, so that their scan reads what the page needs.
+    ``servers`` and ``worlds`` are distinct names by letters without case. A session with several segments at servers or worlds
+    has the destination ``SEVERAL``, one without any an empty one.
+    """
+    rows = visible(archive)
+    if after:
+        rows = rows.filter((F.col("start_ms") < after[0]) | ((F.col("start_ms") == after[0]) & (F.col("session_id") > after[1])))
+    page = materialize(rows.orderBy(F.col("start_ms").desc(), "session_id").limit(size).select("session_id", "start_ms", "instance_name", "version"), "page")
+    keys = [r["session_id"] for r in page.select("session_id").collect()]
+    own = archive.segments.filter(F.col("session_id").isin(keys)).join(archive.servers, "server_id", "left")
+    place = F.when(F.col("kind") == "server", F.coalesce("display_name", "address")).when(F.col("kind") == "world", F.col("world"))
+    own = own.select("session_id", "kind", place.alias("name"))
+    going = F.col("kind").isin("server", "world")
+
+    def names(kind: str) -> Column:
+        named = F.when((F.col("kind") == kind) & (F.trim("name") != ""), F.struct(ascii_lower(F.col("name")).alias("low"), F.col("name").alias("name")))
+        return F.transform(F.array_sort(F.collect_set(named)), lambda x: x["name"])
+
+    per = own.groupBy("session_id").agg(
+        F.when(F.countDistinct("kind") > 1, "mixed").otherwise(F.min("kind")).alias("kind"), names("server").alias("servers"), names("world").alias("worlds"),
+        F.when(F.count_if(going) > 1, SEVERAL).otherwise(F.max(F.when(going, F.col("name")))).alias("destination"),
+    )
+    none = F.array().cast("array<string>")
+    return page.join(per, "session_id", "left").select(
+        *page.columns, F.coalesce("kind", F.lit("menu")).alias("kind"), F.coalesce("destination", F.lit("")).alias("destination"),
+        F.coalesce("servers", none).alias("servers"), F.coalesce("worlds", none).alias("worlds"),
+    )
+
+
+#: Shown for a session with several destinations (fixed value).
+SEVERAL = "Multiple observed destinations"

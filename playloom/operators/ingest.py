@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playloom.functions.core import ascii_lower
+from playloom.operators.prefix import running_sums
 from playloom.shared import materialize
 from playloom.sources.inventory import REVISION
 
@@ -63,13 +66,12 @@ def complete_instances(parsed: DataFrame) -> DataFrame:
 def budget_cut(decided: DataFrame, instance_logs: int = INSTANCE_LOGS, instance_bytes: int = INSTANCE_BYTES, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """Instances within their own budget, taken in order until the scan's budget is used up.
 
-    Files are summed per instance first; the running sum goes over one row per instance.
+    Files are summed per instance first; running sums over the instances come in two levels.
     """
     per = decided.groupBy("instance_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     per = per.withColumn("fits", (F.col("files") <= instance_logs) & (F.col("bytes") <= instance_bytes))
-    upto = Window.orderBy("instance_id").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.when(F.col("fits"), F.col("bytes")).otherwise(0)).over(upto)
-    return per.withColumn("taken", F.col("fits") & (used <= scan_bytes))
+    charged = per.withColumn("charged", F.when(F.col("fits"), F.col("bytes")).otherwise(0))
+    return running_sums(charged, "instance_id", {"used": "charged"}).withColumn("taken", F.col("fits") & (F.col("used") <= scan_bytes)).drop("charged", "used")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str], least: list[str], most: list[str]) -> DataFrame:
@@ -116,8 +118,24 @@ def launcher_score(instances_folder: Column, config_files: Column, found: Column
     return score, instances_folder & ((config_files > 0) | (found > 0))
 
 
+class LeaseHeld(RuntimeError):
+    """Another writer holds the lease, or took it over."""
+
+
+def content_digest(rows: DataFrame) -> str:
+    """A digest of a table's rows that does not depend on their order: their number and two sums of row hashes."""
+    columns = [F.col(f"`{c}`") for c in sorted(rows.columns)]
+    nulls = [c.isNull() for c in columns]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *columns, *nulls).cast("decimal(38,0)")) for seed in (1, 2)]
+    return "-".join(str(v) for v in rows.agg(F.count(F.lit(1)), *sums).first())
+
+
 class Snapshots:
-    """Versions of a set of tables in a shared folder; the manifest names the current one and is written last."""
+    """Versions of a set of tables in a shared folder; the manifest names the current one and is written last.
+
+    At most one writer works at a time: it holds a lease with a fencing number, which a commit checks. A lease that ran out can be
+    taken over; the writer before is then refused.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -126,22 +144,76 @@ class Snapshots:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _newest(self, kind: str) -> int:
+        """The largest number of files ``<kind>-<number>.json``, 0 for none."""
+        found = self._fs.globStatus(self._path(f"{kind}-*.json"))
+        return max((int(f.getPath().getName()[len(kind) + 1 : -5]) for f in found or ()), default=0)
+
+    def _json(self, name: str) -> dict:
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/{name}").first()["value"])
+
+    def _create(self, name: str, content: dict) -> None:
+        """Writes a file that must not exist yet."""
+        out = self._fs.create(self._path(name), False)
+        out.write(json.dumps(content).encode())
+        out.close()
+
     def revision(self) -> int:
         """0 before the first commit."""
-        found = self._fs.globStatus(self._path("manifest-*.json"))
-        return max((int(f.getPath().getName()[9:-5]) for f in found or ()), default=0)
+        return self._newest("manifest")
 
     def read(self, name: str) -> DataFrame:
-        manifest = self.spark.read.option("wholetext", "true").text(f"{self.root}/manifest-{self.revision()}.json").first()["value"]
-        return self.spark.read.parquet(json.loads(manifest)[name])
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes the tables, then the manifest; without the manifest (a stopped run) readers keep the old version. One writer wins a revision."""
-        paths = {name: f"{self.root}/{name}-{uuid.uuid4().hex}" for name in tables}
-        number = self.revision() + 1
-        for name, rows in tables.items():
-            rows.write.parquet(paths[name])
-        out = self._fs.create(self._path(f"manifest-{number}.json"), False)  # fails if another writer was first
-        out.write(json.dumps(paths).encode())
-        out.close()
-        return number
+        return self.spark.read.parquet(*self._json(f"manifest-{self.revision()}.json")["tables"][name])
+
+    def acquire(self, owner: str, seconds: float = 3600, now: float | None = None) -> int:
+        """The fencing number of a new lease; raises ``LeaseHeld`` while another owner's lease runs."""
+        now = time.time() if now is None else now
+        number = self._newest("lease")
+        if number:
+            held = self._json(f"lease-{number}.json")
+            if held["until"] > now and held["owner"] != owner:
+                raise LeaseHeld(f"{held['owner']} writes until {held['until']}")
+        try:
+            self._create(f"lease-{number + 1}.json", {"owner": owner, "until": now + seconds})
+        except Py4JJavaError as taken:
+            raise LeaseHeld("another writer was first") from taken
+        return number + 1
+
+    def release(self, fence: int, owner: str) -> None:
+        """Ends a lease before its time."""
+        self._held(fence)
+        self._create(f"lease-{fence + 1}.json", {"owner": owner, "until": 0})
+
+    def _held(self, fence: int | None) -> None:
+        if fence is not None and self._newest("lease") != fence:
+            raise LeaseHeld(f"lease {fence} was taken over")
+
+    def commit(self, tables: dict[str, DataFrame], fence: int | None = None, append: dict[str, DataFrame] | None = None, note: dict | None = None) -> int:
+        """Writes the tables, then the manifest; without the manifest (a stopped run) readers keep the old version. One writer wins a revision.
+
+        ``append`` adds files to tables of the version before and leaves their other files alone. The revision stays as it is
+        if no table has other rows than before. ``note`` is kept with the manifest.
+        """
+        self._held(fence)
+        number = self.revision()
+        before = self._json(f"manifest-{number}.json") if number else {"tables": {}, "digests": {}, "note": {}}
+        paths, digests = dict(before["tables"]), dict(before["digests"])
+        for name, rows in {**tables, **(append or {})}.items():
+            path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            digest = content_digest(self.spark.read.schema(rows.schema).parquet(path))
+            added = append is not None and name in append
+            if added and not digest.startswith("0-"):
+                paths[name], digests[name] = [*paths.get(name, []), path], f"{digests.get(name, '')}+{digest}"
+            elif not added or name not in paths:
+                paths[name], digests[name] = [path], digest
+        if number and digests == before["digests"] and (note is None or note == before["note"]):
+            return number
+        self._held(fence)
+        self._create(f"manifest-{number + 1}.json", {"tables": paths, "digests": digests, "note": note if note is not None else before["note"], "fence": fence})
+        return number + 1
+
+    def note(self) -> dict:
+        """What the last commit noted."""
+        number = self.revision()
+        return self._json(f"manifest-{number}.json")["note"] if number else {}

@@ -109,11 +109,38 @@ def match_worlds(saves: DataFrame, archived: DataFrame, backups: DataFrame) -> D
         F.when(F.col("s.save").isNull(), "missing").otherwise("available").alias("availability"), F.col("a.world").isNotNull().alias("played"),
     )
     b = backups.select(F.col("instance_id").alias("b_instance"), F.col("backup"), normal_name(F.col("backup")).alias("b_norm"))
-    holds = (F.col("b_instance") == F.col("instance_id")) & (F.col("norm") != "") & F.contains("b_norm", "norm")
-    counted = worlds.join(b, holds, "left").groupBy(*worlds.columns).agg(F.count("backup").alias("backups"))
-    alone = b.join(worlds.select("instance_id", "norm"), holds, "left_anti")
+    held = containment(worlds.select("norm").distinct(), b.select("b_norm").distinct())
+    # An available world looks at the backups of its instance, a missing one at all.
+    ours = (F.col("availability") == "missing") | (F.col("b_instance") == F.col("instance_id"))
+    pairs = worlds.join(held, "norm").join(b, "b_norm").filter(ours)
+    keys = ["instance_id", "name", "availability"]
+    counted = worlds.join(pairs.groupBy(keys).agg(F.count(F.lit(1)).alias("backups")), keys, "left").withColumn("backups", F.coalesce("backups", F.lit(0)))
+    alone = b.join(pairs.select("b_instance", "backup").distinct(), ["b_instance", "backup"], "left_anti")
     alone = alone.select(F.col("b_instance").alias("instance_id"), F.col("backup").alias("name"), F.col("b_norm").alias("norm"), F.lit("backup_only").alias("availability"), F.lit(False).alias("played"), F.lit(1).cast("long").alias("backups"))
-    return counted.unionByName(alone).drop("norm")
+    return counted.select(*worlds.columns, "backups").unionByName(alone).drop("norm")
+
+
+#: Letters of the parts that containment is indexed by.
+PART = 3
+
+
+def containment(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (norm, b_norm) where the text contains the name; empty names are contained in nothing.
+
+    Texts are indexed by their distinct parts of up to ``PART`` letters. A name is looked up by the one of its parts that fewest texts have
+    (a shorter name by itself), and what is found is verified.
+    """
+    parts = lambda c, n: F.transform(F.sequence(F.lit(1), F.char_length(c) - (n - 1)), lambda k: F.substr(F.col(c), k, F.lit(n)))
+    of_length = lambda c, n: F.when(F.char_length(c) >= n, parts(c, n)).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(*[of_length("b_norm", n) for n in range(1, PART + 1)]))
+    index = texts.select("b_norm", F.explode(every).alias("part"))
+    own = F.array_distinct(F.when(F.char_length("norm") > PART, parts("norm", PART)).otherwise(F.array("norm")))
+    asked = needles.filter("norm <> ''").select("norm", F.explode(own).alias("part"))
+    common = index.groupBy("part").agg(F.count(F.lit(1)).alias("texts"))
+    # A part that no text has cannot lead to one; a name with such a part is dropped by the inner join with the rarest.
+    ranked = asked.join(common, "part", "left").groupBy("norm").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "part")).alias("rarest"))
+    found = ranked.select("norm", F.col("rarest.part").alias("part")).join(index, "part")
+    return found.filter(F.contains("b_norm", "norm")).select("norm", "b_norm")
 
 
 def summary(worlds: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from playloom.operators import dashboard, explorers, filters, habits
 from playloom.sources.archive import ARCHIVE_SQL, Archive
 
@@ -15,6 +17,16 @@ def _on(operator, *args):
     return query
 
 
+def _joined(operator, *args):
+    """The operator with its lists as text."""
+
+    def query(spark, sf_dir):
+        rows = operator(Archive(spark, sf_dir), *args)
+        return rows.select(*[F.array_join(c, "|").alias(c) if c in ("servers", "worlds") else F.col(c) for c in rows.columns])
+
+    return query
+
+
 QUERIES = {
     "visible_count": _on(dashboard.visible_count),
     "dash_totals": _on(dashboard.totals),
@@ -30,6 +42,8 @@ QUERIES = {
     "heatmap_stats": _on(dashboard.heatmap_stats),
     "recent_sessions": _on(dashboard.recent),
     "session_page": _on(dashboard.session_page),
+    "session_contexts": _joined(dashboard.session_contexts),
+    "session_contexts_after": _joined(dashboard.session_contexts, 40, (900_000_000_000, 7000)),
     "session_page_after": _on(dashboard.session_page, 500, (900_000_000_000, 7000)),
     "instances": _on(explorers.instances),
     "worlds": _on(explorers.worlds),
@@ -129,6 +143,13 @@ def _sql(select: str, *parts: str) -> str:
     return f"with {ARCHIVE_SQL}{''.join(parts)}\n{select}"
 
 
+_CONTEXTS = """select session_id, start_ms, instance_name, version, coalesce(k, 'menu') as kind, coalesce(d, '') as destination, coalesce(ss, '') as servers, coalesce(ws, '') as worlds
+        from (select session_id, start_ms, instance_name, version from visible where {where} order by start_ms desc, session_id limit {size}) left join (
+            select session_id, case when count(distinct kind) > 1 then 'mixed' else min(kind) end as k,
+                   case when count(*) filter (where kind in ('server', 'world')) > 1 then 'Multiple observed destinations' else max(name) filter (where kind in ('server', 'world')) end as d,
+                   string_agg(distinct name, '|' order by lower(name), name) filter (where kind = 'server' and trim(name) <> '') as ss,
+                   string_agg(distinct name, '|' order by lower(name), name) filter (where kind = 'world' and trim(name) <> '') as ws
+            from (select session_id, kind, case kind when 'server' then coalesce(display_name, address) when 'world' then world end as name from segments left join servers using (server_id)) group by 1) using (session_id)"""
 ORACLE_SQL = {
     "visible_count": _sql("select count(*) as visible_sessions from visible"),
     "dash_totals": _sql("""select count(*) as sessions, count(run_s) as known_sessions, coalesce(sum(run_s), 0)::bigint as total_seconds, max(run_s) as longest_seconds,
@@ -158,6 +179,8 @@ ORACLE_SQL = {
         first(day order by coalesce(minutes, -1) desc, day)::varchar as peak_day from calendar""", _SLICES),
     "recent_sessions": _sql(f"select session_id, instance_name, start_ms, run_s, {_LABEL.format('run_score')} as label from runs order by start_ms desc, session_id limit 24"),
     "session_page": _sql("select session_id, start_ms, exit_kind, label, (select count(*) from visible) as total, (select count(*) from visible) > 500 as truncated from visible order by start_ms desc, session_id limit 500"),
+    "session_contexts": _sql(_CONTEXTS.format(where="true", size=500)),
+    "session_contexts_after": _sql(_CONTEXTS.format(where="start_ms < 900000000000 or (start_ms = 900000000000 and session_id > 7000)", size=40)),
     "session_page_after": _sql("""select session_id, start_ms, exit_kind, label, (select count(*) from visible) as total, (select count(*) from visible) > 500 as truncated from visible
         where start_ms < 900000000000 or (start_ms = 900000000000 and session_id > 7000) order by start_ms desc, session_id limit 500"""),
     "instances": _sql("select i.*, coalesce(worlds, 0) as worlds from instance_sums i left join instance_worlds using (instance_id)", _JUDGED),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from playloom.operators import ingest
+from playloom.operators import budgets, ingest, reconcile
 from playloom.operators.reconstruct import dedupe_exact as mark_copies
 from playloom.shared import table
 from playloom.sources import inventory
@@ -71,6 +72,63 @@ def budget_cut(spark, sf_dir):
     return ingest.budget_cut(_decided(spark, sf_dir), 10_000, 100_000_000, 1_000_000)
 
 
+#: Limits that the documents as logs break here and there.
+LIMITS = budgets.Limits(
+    instance_logs=18, instance_bytes=45_000, instance_events=5_000, instance_sessions=16, session_destinations=57, session_versions=64, session_links=9_000, destination_bytes=512, version_bytes=256,
+    scan_logs=520, scan_bytes=2_600_000, scan_events=200_000, scan_sessions=400, scan_contexts=9_000, failed_bytes=20_000, failed_events=900,
+)
+
+
+def scan_budgets(spark, sf_dir):
+    """Twelve documents as the logs of an instance, every fifth with more of them; each gives one session."""
+    k, n = F.col("doc_id"), F.char_length("text")
+    rows = table(spark, sf_dir, "documents").withColumn("instance_id", F.when(k % 5 == 0, F.floor(k / 60) * 5).otherwise(F.floor(k / 12)))
+    files = rows.select("instance_id", k.alias("file_order"), (k % 41 != 7).alias("ok"), n.cast("long").alias("bytes"), (n % 997).cast("long").alias("events"),
+                        (k % 521).alias("longest_destination"), (k % 260).alias("longest_version"))
+    sessions = rows.select("instance_id", (k % 59).alias("destinations"), (k % 67).alias("versions"), n.alias("links"))
+    return budgets.judge(files, sessions, LIMITS)
+
+
+def _revisions(spark, sf_dir):
+    """Orders as revisions of a path for each customer, lineitems as evidence; links by arithmetic on the keys."""
+    key = F.col("o_orderkey")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    kind = F.when(key % 3 == 0, "replaced").otherwise("appended")
+    revisions = orders.select(key.alias("revision_id"), F.col("o_custkey").alias("path_id"), F.row_number().over(order).alias("generation"), kind.alias("change_kind"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("revision_id"), "l_linenumber", "l_partkey", "l_suppkey")
+    links = lines.select((F.col("revision_id") % 503).alias("session_id"), "evidence_id")
+    links = links.unionByName(lines.filter("l_linenumber = 1").select((F.col("l_partkey") % 503).alias("session_id"), "evidence_id")).distinct()
+    sources = orders.select((key % 503).alias("session_id"), key.alias("revision_id"))
+    return revisions, lines, links, sources
+
+
+def reconcile_rotation(spark, sf_dir):
+    """Links and evidence that are left after every fifth order came as a new revision of its session."""
+    revisions, lines, links, sources = _revisions(spark, sf_dir)
+    incoming = sources.filter("revision_id % 5 = 0")
+    kept = reconcile.reconcile(sources, links, lines.select("evidence_id", "revision_id"), revisions, incoming)
+    parts = [rows.select(F.lit(name).alias("part"), F.col(a).alias("a"), F.col(b).alias("b")) for name, rows, (a, b) in zip(("source", "link", "evidence"), kept, (("session_id", "revision_id"), ("session_id", "evidence_id"), ("evidence_id", "revision_id")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def cascade_deletes(spark, sf_dir):
+    """What is left of each table after every thirteenth session was deleted."""
+    _, lines, links, sources = _revisions(spark, sf_dir)
+    segments = lines.select((F.col("revision_id") % 503).alias("session_id"), F.when(F.col("l_linenumber") > 1, F.col("l_suppkey")).alias("server_id"))
+    tables = {
+        "sessions": sources.select("session_id").distinct(), "session_sources": sources, "session_evidence": links, "segments": segments,
+        "evidence": lines.select("evidence_id", "revision_id"), "servers": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("server_id")),
+    }
+    left = reconcile.cascade(tables, tables["sessions"].filter("session_id % 13 = 0"))
+    rows = [left[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), F.sum(key).alias("keys")) for name, key in (
+        ("sessions", "session_id"), ("session_sources", "revision_id"), ("session_evidence", "evidence_id"), ("segments", "server_id"), ("evidence", "evidence_id"), ("servers", "server_id"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def complete_instances(spark, sf_dir):
     return ingest.complete_instances(inventory.files(spark, sf_dir).select("instance_id", (F.col("file_id") % 97 != 5).alias("ok")))
 
@@ -125,6 +183,7 @@ def segment_servers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     classify_source, group_instances, rotation_order, dedupe_exact, fingerprint, file_decision, scan_counts, scan_mode_filter, replace_all_flag, budget_cut, complete_instances,
     protected_sessions, upsert_servers, validation_score, discover_overlay)}
+QUERIES |= {"scan_budgets": scan_budgets, "reconcile_rotation": reconcile_rotation, "cascade_deletes": cascade_deletes}
 QUERIES |= {"missing_sources": _missing, "promote": promoted, "orphans": segment_servers}
 
 _MISSING = """, missing as (select file_id, prior_instance as instance_id from prior where file_id not in (select file_id from cur) and prior_instance <> 'src3'),
@@ -135,6 +194,13 @@ protected as (
     select l.session_id from links l join generations g using (file_id) where decision = 'replaced' and l.generation < g.next_generation)"""
 
 
+_REVISIONS = """revisions as (
+        select o_orderkey as revision_id, o_custkey as path_id, row_number() over (partition by o_custkey order by o_orderkey) as generation, case when o_orderkey % 3 = 0 then 'replaced' else 'appended' end as change_kind from orders),
+        evidence as (select l_orderkey * 10 + l_linenumber as evidence_id, l_orderkey as revision_id, l_linenumber, l_partkey, l_suppkey from lineitem),
+        links as (select revision_id % 503 as session_id, evidence_id from evidence union select l_partkey % 503, evidence_id from evidence where l_linenumber = 1),
+        sources as (select o_orderkey % 503 as session_id, o_orderkey as revision_id from orders)"""
+
+
 def _sql(select: str, *parts: str) -> str:
     return f"with {FILES_SQL}{''.join(parts)}\n{select}"
 
@@ -158,6 +224,41 @@ ORACLE_SQL = {
     "replace_all_flag": _sql("""select instance_id, count(*) filter (where decision = 'replaced') as replaced, coalesce(any_value(n), 0) as missing,
         count(*) filter (where decision = 'replaced') = 0 and coalesce(any_value(n), 0) = 0 as replace_all
         from decided left join (select instance_id, count(*) as n from missing group by 1) using (instance_id) group by 1""", _MISSING),
+    "scan_budgets": """with f as (
+            select case when doc_id % 5 = 0 then doc_id // 60 * 5 else doc_id // 12 end as instance_id, doc_id as k, doc_id % 41 <> 7 as ok, length(text) as bytes, length(text) % 997 as events, doc_id % 521 as ld, doc_id % 260 as lv from documents),
+        c as (select *, count(*) over (partition by instance_id) as files, sum(case when ok then bytes else 0 end) over w as rb, sum(case when ok then events else 0 end) over w as re from f window w as (partition by instance_id order by k)),
+        b as (select *, case when ok then case when ld > 512 then 'destination bytes' when lv > 256 then 'version bytes' when rb > 45000 then 'bytes' when re > 5000 then 'events' end end as broken from c where files <= 18),
+        r as (select *, count(broken) over (partition by instance_id order by k rows between unbounded preceding and 1 preceding) as earlier from b),
+        p as (select instance_id, count(*) as logs, sum(case when ok then bytes else 20000 end) as bytes, sum(case when ok then events else 900 end) as events, max(broken) as broken, bool_and(ok) as whole from r where earlier = 0 group by 1),
+        s as (select instance_id, count(*) as sessions, sum(k % 59) as contexts, max(k % 59) as d, max(k % 67) as v, max(bytes) as l from f group by 1),
+        j as (select instance_id, coalesce(logs, 0) as logs, coalesce(p.bytes, 0) as bytes, coalesce(p.events, 0) as events, sessions, contexts,
+                     case when whole is null or broken is not null then 'instance_limit' when not whole then 'failed_parse' when sessions > 16 or d > 57 or v > 64 or l > 9000 then 'session_limit' else 'taken' end as status,
+                     case when whole is null then 'logs' when broken is not null then broken when whole then case when sessions > 16 then 'sessions' when d > 57 then 'destinations' when v > 64 then 'versions' when l > 9000 then 'links' end end as resource
+              from s left join p using (instance_id)),
+        t as (select *, sum(logs) over w as al, sum(bytes) over w as ab, sum(events) over w as ae, sum(case when status = 'taken' then sessions else 0 end) over w as ss,
+                     sum(case when status = 'taken' then contexts else 0 end) over w as ac from j window w as (order by instance_id)),
+        o as (select *, case when al > 520 then 'logs' when ab > 2600000 then 'bytes' when ae > 200000 then 'events' when ss > 400 then 'sessions' when ac > 9000 then 'contexts' end as over from t),
+        e as (select min(instance_id) as e from o where over is not null)
+        select instance_id, case when instance_id = e then 'scan_limit' when instance_id > e then 'deferred' else status end as status,
+               case when instance_id = e then over when instance_id > e then null else resource end as resource from o, e""",
+    "reconcile_rotation": f"""with {_REVISIONS}, last as (select path_id, max(generation) as g from revisions where change_kind = 'replaced' group by 1),
+        gone as (select distinct s.session_id, s.revision_id from sources s join revisions r using (revision_id) join last l on l.path_id = r.path_id and r.generation < l.g
+                 where exists (select 1 from sources i where i.session_id = s.session_id and i.revision_id % 5 = 0 and i.revision_id <> s.revision_id)),
+        left_links as (select * from links l where not exists (select 1 from evidence e join gone g using (revision_id) where e.evidence_id = l.evidence_id and g.session_id = l.session_id))
+        select 'source' as part, session_id as a, revision_id as b from sources s where not exists (select 1 from gone g where g.session_id = s.session_id and g.revision_id = s.revision_id)
+        union all select 'link', session_id, evidence_id from left_links
+        union all select 'evidence', evidence_id, revision_id from evidence where revision_id not in (select revision_id from gone) or evidence_id in (select evidence_id from left_links)""",
+    "cascade_deletes": f"""with {_REVISIONS}, left_links as (select * from links where session_id % 13 <> 0),
+        touched as (select revision_id from sources where session_id % 13 = 0),
+        segments as (select revision_id % 503 as session_id, case when l_linenumber > 1 then l_suppkey end as server_id from evidence),
+        left_segments as (select * from segments where session_id % 13 <> 0)
+        select 'sessions' as part, count(*) as rows, sum(session_id)::bigint as keys from (select distinct session_id from sources where session_id % 13 <> 0)
+        union all select 'session_sources', count(*), sum(revision_id)::bigint from sources where session_id % 13 <> 0
+        union all select 'session_evidence', count(*), sum(evidence_id)::bigint from left_links
+        union all select 'segments', count(*), sum(server_id)::bigint from left_segments
+        union all select 'evidence', count(*), sum(evidence_id)::bigint from evidence where revision_id not in (select revision_id from touched) or evidence_id in (select evidence_id from left_links)
+        union all select 'servers', count(*), sum(s_suppkey)::bigint from supplier where s_suppkey not in (select server_id from segments where session_id % 13 = 0 and server_id is not null)
+            or s_suppkey in (select server_id from left_segments where server_id is not null)""",
     "budget_cut": _sql("""select instance_id, files, bytes, fits, fits and used <= 1000000 as taken from (
         select *, sum(case when fits then bytes else 0 end) over (order by instance_id) as used from (
             select instance_id, count(*) as files, sum(size)::bigint as bytes, count(*) <= 10000 and sum(size) <= 100000000 as fits from decided group by 1))"""),

@@ -1,11 +1,14 @@
 """Golden cases of the dashboard, snapshots, profile and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from playloom.operators import dashboard, ingest, parsing, profile, reconstruct
+from playloom.operators import budgets, dashboard, ingest, parsing, profile, reconcile, reconstruct
+from playloom.operators.prefix import running_sums
+from playloom.sources.archive import Archive
 from playloom.sources.logs import event_lines
 from playloom.streaming import sessions as streaming
 
@@ -132,3 +135,97 @@ def test_stream_gives_the_sessions_of_the_batch(spark, sf, tmp_path):
     closed = {w for w in want if w[3] in ("crash", "clean_shutdown")}
     assert closed and closed <= got
     assert {g for g in got if g[3] in ("crash", "clean_shutdown")} <= want
+
+
+def test_an_unchanged_commit_keeps_the_revision(spark, tmp_path):
+    store = ingest.Snapshots(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k long, v string")
+    assert store.commit({"t": rows}) == 1 == store.commit({"t": rows.repartition(3)})
+    assert store.commit({"t": rows.limit(2)}) == 2 and store.commit({"t": rows.fillna("")}) == 3
+    assert store.commit({}, append={"t": rows}) == 4 and store.read("t").count() == 6
+    assert store.commit({}, append={"t": rows.filter("false")}) == 4
+
+
+def test_two_writers(spark, tmp_path):
+    """Only the holder of the newest lease may commit; a lease that ran out can be taken over."""
+    one, two = (ingest.Snapshots(spark, f"file://{tmp_path}") for _ in range(2))
+    fence = one.acquire("one", seconds=60, now=1000)
+    with pytest.raises(ingest.LeaseHeld):
+        two.acquire("two", now=1030)
+    assert one.commit({"t": spark.range(1)}, fence) == 1
+    later = two.acquire("two", seconds=60, now=1100)
+    with pytest.raises(ingest.LeaseHeld):
+        one.commit({"t": spark.range(5)}, fence)
+    assert two.commit({"t": spark.range(2)}, later) == 2 and one.read("t").count() == 2
+    two.release(later, "two")
+    assert one.acquire("one", now=1101) == later + 2
+
+
+def test_running_sums_in_blocks(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 11).alias("v"))
+    for blocks in (1, 7, 300):
+        got = [(r["k"], r["all"]) for r in running_sums(rows, "k", {"all": "v"}, blocks).orderBy("k").collect()]
+        want, total = [], 0
+        for r in rows.orderBy("k").collect():
+            total += r["v"]
+            want.append((r["k"], total))
+        assert got == want
+
+
+def test_budgets_of_a_scan(spark):
+    """Each limit in turn, the charge of failed logs, and what comes after the scan is full."""
+    fine = dict(ok=True, bytes=10, events=5, longest_destination=9, longest_version=9)
+    odd = {
+        1: [{}] * 3, 2: [{}] * 5, 3: [{"bytes": 95}, {}], 4: [{"events": 60}], 5: [{"longest_destination": 600}], 6: [{"longest_version": 300}], 7: [{"ok": False}, {}],
+        8: [{}], 9: [{}], 10: [{}], 11: [{}], 12: [{}] * 4, 13: [{}],
+    }
+    files = [(i, k, *{**fine, **x}.values()) for i, logs in odd.items() for k, x in enumerate(logs)]
+    table = spark.createDataFrame(files, "instance_id long, file_order long, ok boolean, bytes long, events long, longest_destination long, longest_version long")
+    gives = {8: (70, 1, 1), 9: (1, 70, 1), 10: (1, 1, 200_000)}
+    sessions = [(i, *gives.get(i, (2, 1, 9))) for i in odd]
+    found = spark.createDataFrame(sessions, "instance_id long, destinations long, versions long, links long")
+    limits = budgets.Limits(instance_logs=4, instance_bytes=100, instance_events=50, scan_logs=17, failed_bytes=100, failed_events=50)
+    got = {r["instance_id"]: (r["status"], r["resource"]) for r in budgets.judge(table, found, limits).collect()}
+    assert got == {
+        1: ("taken", None), 2: ("instance_limit", "logs"), 3: ("instance_limit", "bytes"), 4: ("instance_limit", "events"), 5: ("instance_limit", "destination bytes"),
+        6: ("instance_limit", "version bytes"), 7: ("failed_parse", None), 8: ("session_limit", "destinations"), 9: ("session_limit", "versions"), 10: ("session_limit", "links"),
+        11: ("taken", None), 12: ("scan_limit", "logs"), 13: ("deferred", None),
+    }
+    full = budgets.judge(table, found, budgets.Limits(instance_logs=4, instance_bytes=100, instance_events=50, scan_bytes=270, failed_bytes=100))
+    assert {r["instance_id"]: r["status"] for r in full.collect()}[7] == "scan_limit"
+
+
+def test_rotated_copies_replace_their_links(spark):
+    """Session 1 comes again from revision 9; its old link to the replaced revision 1 goes, shared evidence stays."""
+    make = spark.createDataFrame
+    revisions = make([(1, 1, 1, "new"), (2, 1, 2, "replaced"), (3, 2, 1, "new"), (9, 3, 1, "new")], "revision_id long, path_id long, generation long, change_kind string")
+    sources = make([(1, 1), (1, 3), (2, 1), (1, 2)], "session_id long, revision_id long")
+    evidence = make([(10, 1), (11, 1), (12, 3)], "evidence_id long, revision_id long")
+    links = make([(1, 10), (1, 11), (2, 11), (1, 12)], "session_id long, evidence_id long")
+    a, b, c = reconcile.reconcile(sources, links, evidence, revisions, make([(1, 9)], "session_id long, revision_id long"))
+    assert {tuple(r) for r in a.collect()} == {(1, 3), (2, 1), (1, 2)} and {tuple(r) for r in b.collect()} == {(2, 11), (1, 12)}
+    assert {r["evidence_id"] for r in c.collect()} == {11, 12}
+    same = reconcile.superseded(sources, revisions, make([(2, 1)], "session_id long, revision_id long"))
+    assert same.collect() == []
+
+
+def test_containment_against_brute_force(spark):
+    rng = random.Random(6)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(60)}
+    texts = {"".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(80)}
+    got = profile.containment(spark.createDataFrame([(n,) for n in names], "norm string"), spark.createDataFrame([(t,) for t in texts], "b_norm string"))
+    pairs = [tuple(r) for r in got.collect()]
+    assert sorted(pairs) == sorted((n, t) for n in names if n for t in texts if n in t)
+
+
+def test_missing_worlds_look_at_all_backups(spark):
+    make = spark.createDataFrame
+    worlds = profile.match_worlds(make([(1, "Home"), (1, "Far")], "instance_id long, save string"), make([(2, "home!"), (2, "Lost")], "instance_id long, world string"),
+                                  make([(1, "2026 Home.zip"), (3, "lost-1.zip"), (2, "far.zip"), (2, "other.zip")], "instance_id long, backup string"))
+    got = {(r["instance_id"], r["name"]): (r["availability"], r["backups"]) for r in worlds.collect()}
+    assert got == {(1, "Home"): ("available", 1), (1, "Far"): ("available", 0), (2, "home!"): ("missing", 1), (2, "Lost"): ("missing", 1), (2, "far.zip"): ("backup_only", 1), (2, "other.zip"): ("backup_only", 1)}
+
+
+def test_a_page_reads_the_segments_of_its_keys(spark, sf):
+    rows = dashboard.session_contexts(Archive(spark, sf), 5)
+    assert "In(l_orderkey" in rows._jdf.queryExecution().executedPlan().toString() or "l_orderkey IN" in rows._jdf.queryExecution().executedPlan().toString()
