@@ -6,11 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from playloom.operators import budgets, dashboard, ingest, parsing, profile, reconcile, reconstruct
+from playloom.operators import budgets, dashboard, ingest, profile, reconcile
 from playloom.operators.prefix import running_sums
 from playloom.sources.archive import Archive
-from playloom.sources.logs import event_lines
-from playloom.streaming import sessions as streaming
 
 
 class Rows:
@@ -120,23 +118,6 @@ def test_profile(spark):
     assert sorted((r["launcher"], r["name"], r["active"]) for r in rows) == [("c", "C", False), ("n", "D", False), ("o", "A", True), ("p", "B", True)]
 
 
-def test_stream_gives_the_sessions_of_the_batch(spark, sf, tmp_path):
-    events = parsing.log_events(event_lines(spark, sf)).filter("instance_id < 6 and local_ms is not null")
-    batch = reconstruct.sessions(events.withColumn("hint_ms", F.lit(None).cast("long")))
-    days = [r[0] for r in events.select("source_order").distinct().orderBy("source_order").collect()]
-    for k, day in enumerate(days[:: max(1, len(days) // 3)]):
-        high = days[:: max(1, len(days) // 3)][k + 1] if k + 1 < len(days[:: max(1, len(days) // 3)]) else 10**9
-        events.filter((F.col("source_order") >= day) & (F.col("source_order") < high)).coalesce(1).write.parquet(str(tmp_path / f"in/{k:03d}"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
-    query = streaming.stream_sessions(stream).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {(r["instance_id"], r["start_ms"], r["end_ms"], r["end_kind"]) for r in spark.table("closed").collect()}
-    want = {(r["instance_id"], r["start_ms"], r["end_ms"], r["end_kind"]) for r in batch.collect()}
-    closed = {w for w in want if w[3] in ("crash", "clean_shutdown")}
-    assert closed and closed <= got
-    assert {g for g in got if g[3] in ("crash", "clean_shutdown")} <= want
-
-
 def test_an_unchanged_commit_keeps_the_revision(spark, tmp_path):
     store = ingest.Snapshots(spark, f"file://{tmp_path}")
     rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k long, v string")
