@@ -71,12 +71,13 @@ def _last_day(archive: Archive) -> DataFrame:
     return runs(archive).agg(F.max_by(local_date(seen, F.col("offset_min")), F.struct(seen, -F.col("session_id"))).alias("last_day"))
 
 
-def daily_activity(archive: Archive) -> DataFrame:
-    """The 365 days up to the last observation; days without one are marked as missing."""
+def daily_activity(archive: Archive, today: Column | None = None) -> DataFrame:
+    """The 365 days up to the last observation, or up to ``today`` where there is none; days without one are marked as missing."""
     days = day_slices(archive).groupBy("day").agg(
         (F.floor(F.sum("day_seconds") / 60)).alias("minutes"), F.count(F.lit(1)).alias("sessions"), F.min(label_rank(F.col("day_label"))).alias("rank")
     )
-    calendar = _last_day(archive).filter("last_day is not null").select(F.explode(F.sequence(F.date_sub("last_day", DAYS - 1), F.col("last_day"))).alias("day"))
+    last = F.coalesce("last_day", F.current_date() if today is None else today)
+    calendar = _last_day(archive).select(F.explode(F.sequence(F.date_sub(last, DAYS - 1), last)).alias("day"))
     return calendar.join(days, "day", "left").select("day", "minutes", "sessions", F.when(F.col("minutes").isNotNull(), label_of_rank(F.col("rank"))).otherwise("missing").alias("day_label"))
 
 

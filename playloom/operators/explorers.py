@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playloom.functions.core import CAPPED_SCORE, implausible, label, not_blank, version_class
+from playloom.functions.core import CAPPED_SCORE, ascii_lower, implausible, label, not_blank, version_class
 from playloom.operators.visible import visible
 from playloom.sources.archive import Archive
 
@@ -87,6 +87,38 @@ def world_page(archive: Archive) -> DataFrame:
     return top(worlds(archive), F.col("last_ms").desc(), F.col("instance_id"), F.col("world")).select("instance_id", "world", "last_ms", "total")
 
 
+def eligible_instances(archive: Archive) -> DataFrame:
+    """Instances with a visible session, and those with a current source that a completed scan saw."""
+    scanned = archive.sources.filter("current_revision is not null").join(archive.scans.filter("state = 'completed'"), "scan_id", "left_semi")
+    return visible(archive).select("instance_id").union(scanned.filter("instance_id is not null").select("instance_id")).distinct()
+
+
+def gated(rows: DataFrame, archive: Archive) -> DataFrame:
+    """The rows once any scan was completed, none before."""
+    done = archive.scans.agg(F.count_if(F.col("state") == "completed").alias("completed_scans"))  # one row
+    return rows.crossJoin(done).filter("completed_scans > 0").drop("completed_scans")
+
+
+def instance_page(archive: Archive) -> DataFrame:
+    """The first eligible instances, most minutes first; those without a visible session have none and the label of no evidence."""
+    dims = archive.instances.join(archive.locations, "location_id").join(archive.launchers.select("launcher_id", "launcher_name"), "launcher_id", "left")
+    named = dims.select("instance_id", F.col("instance_name").alias("name"), F.coalesce("launcher_name", "adapter_kind").alias("launcher"))
+    seen = instances(archive).drop("instance_name", "launcher")
+    rows = named.join(eligible_instances(archive), "instance_id", "left_semi").join(seen, "instance_id", "left").fillna({"minutes": 0, "sessions": 0, "crashes": 0, "worlds": 0, "label": "unknown"})
+    order = F.col("minutes").desc(), F.col("last_ms").desc_nulls_last(), ascii_lower(F.col("name")), F.col("instance_id")
+    return top(gated(rows, archive), *order).select("instance_id", "name", "launcher", "minutes", "sessions", "last_ms", "crashes", "worlds", "version", "loader", "label", "total")
+
+
+def server_page(archive: Archive) -> DataFrame:
+    order = F.col("minutes").desc(), F.col("last_ms").desc(), ascii_lower(F.col("name")), F.col("server_id")
+    return top(gated(servers(archive), archive), *order).select("server_id", "name", "minutes", "sessions", "last_ms", "label", "favorite_version", "total")
+
+
+def version_page(archive: Archive) -> DataFrame:
+    order = F.col("last_ms").desc(), F.col("minutes").desc(), F.col("version")
+    return top(gated(versions(archive), archive), *order).select("version", "version_class", "minutes", "sessions", "first_ms", "last_ms", "label", "loaders", "total")
+
+
 def archive_budget(archive: Archive) -> DataFrame:
     """Sessions and contexts per instance, hidden ones too."""
     contexts = archive.segments.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playloom.functions.core import not_blank
+from playloom.functions.formats import duration, plural
 from playloom.operators.explorers import instances, servers, versions, worlds
 from playloom.operators.visible import visible
 from playloom.sources.archive import Archive
@@ -67,3 +68,24 @@ def instance_search(archive: Archive, needle: str) -> DataFrame:
 def mask_servers(archive: Archive) -> DataFrame:
     """Servers with a neutral name in place of the real one."""
     return servers(archive).select("server_id", F.concat(F.lit("Server "), F.col("server_id").cast("string")).alias("name"), "minutes", "sessions")
+
+
+def filtered_sessions(archive: Archive, kind: str = "all", level: str = "all", needle: str = "") -> DataFrame:
+    """Sessions of a kind (their own, or that of one of their contexts), of a label, and with a text; any of them may be left out."""
+    rows = visible(archive)
+    if kind != "all":
+        own = session_kind(archive).filter(F.col("kind") == kind).select("session_id")
+        if kind in ("server", "world"):
+            own = own.union(contexts(archive).filter(F.col("kind") == kind).select("session_id")).distinct()
+        rows = rows.join(own, "session_id", "left_semi")
+    if level != "all":
+        rows = rows.filter(F.col("label") == level)
+    if needle.strip():
+        rows = rows.join(session_search(archive, needle).select("session_id"), "session_id", "left_semi")
+    return rows.select("session_id", "start_ms", "seconds", "label")
+
+
+def filter_totals(rows: DataFrame) -> DataFrame:
+    """Number and known minutes of filtered sessions, with texts for both."""
+    one = rows.agg(F.count(F.lit(1)).alias("sessions"), F.floor(F.coalesce(F.sum("seconds"), F.lit(0)) / 60).alias("minutes"))
+    return one.select("*", plural(F.col("sessions"), "session").alias("sessions_text"), duration(F.col("minutes")).alias("minutes_text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playloom.functions.formats import measured
+
 #: Largest sum of a statistic (2**53 - 1).
 MOST = (1 << 53) - 1
 STAT_FILE_BYTES = 8 << 20
@@ -48,6 +50,75 @@ def sections(merged: DataFrame, n: int = 12) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+#: Single statistics that are shown, with their name and unit (fixed values), in order.
+SHOWN = {
+    "general": [
+        ("play_time", "Time played", "ticks"), ("deaths", "Deaths", "count"), ("damage_dealt", "Damage dealt", "tenths"), ("damage_taken", "Damage taken", "tenths"),
+        ("mob_kills", "Mobs defeated", "count"), ("player_kills", "Players defeated", "count"), ("jump", "Jumps", "count"), ("sleep_in_bed", "Times slept", "count"),
+        ("animals_bred", "Animals bred", "count"), ("fish_caught", "Fish caught", "count"), ("raid_win", "Raids won", "count"),
+        ("interact_with_villager", "Villager interactions", "count"), ("open_chest", "Chests opened", "count"),
+    ],
+    "movement": [
+        ("walk_one_cm", "Walked", "centimeters"), ("sprint_one_cm", "Sprinted", "centimeters"), ("crouch_one_cm", "Crouched", "centimeters"), ("swim_one_cm", "Swam", "centimeters"),
+        ("fly_one_cm", "Flown", "centimeters"), ("aviate_one_cm", "Elytra distance", "centimeters"), ("boat_one_cm", "By boat", "centimeters"), ("minecart_one_cm", "By minecart", "centimeters"),
+    ],
+}
+
+
+def shown_statistics(merged: DataFrame) -> DataFrame:
+    """section, place, label, value, unit, text, worlds of the single statistics that were found, in their fixed order."""
+    rows = [F.struct(F.lit(section).alias("section"), F.lit(place).alias("place"), F.lit(key).alias("key"), F.lit(name).alias("label"), F.lit(unit).alias("unit"))
+            for section, entries in SHOWN.items() for place, (key, name, unit) in enumerate(entries)]
+    short = F.regexp_replace("key", "^minecraft:", "")
+    own = merged.filter("category = 'custom'").select(short.alias("own"), "value", "worlds")
+    found = own.select("value", "worlds", F.inline(F.filter(F.array(*rows), lambda r: r["key"] == F.col("own"))))
+    return found.select("section", "place", "label", "value", "unit", measured(F.col("value"), F.col("unit")).alias("text"), "worlds")
+
+
+def chosen_stats(files: DataFrame, primary: DataFrame) -> DataFrame:
+    """The statistics file that counts for each world: world_id, path, basis.
+
+    ``files``: world_id, path of JSON files named by a player's uuid. ``primary``: uuid and basis, no row or one. The primary player's
+    file counts; without a primary player a world's only file does (``single_local_player``); else none.
+    """
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
+    known = primary.agg(F.first(uuid(F.col("uuid")), ignorenulls=True).alias("primary"), F.first("basis", ignorenulls=True).alias("basis"), F.count("uuid").alias("players"))  # one row
+    rows = files.select("world_id", "path", uuid(name).alias("uuid")).crossJoin(known)
+    per = rows.groupBy("world_id").agg(
+        F.min(F.when(F.col("uuid") == F.col("primary"), F.col("path"))).alias("exact"), F.min("path").alias("first"), F.count(F.lit(1)).alias("n"), F.first("basis").alias("basis"), F.first("players").alias("players"),
+    )
+    alone = (F.col("players") == 0) & (F.col("n") == 1)
+    path = F.coalesce("exact", F.when(alone, F.col("first")))
+    return per.filter(path.isNotNull()).select("world_id", path.alias("path"), F.when(F.col("exact").isNotNull(), F.col("basis")).otherwise("single_local_player").alias("basis"))
+
+
+def sample(stats: DataFrame, seed: int, n: int = 4) -> DataFrame:
+    """A sample of ``n`` statistics that depends on the seed alone, in the order of a digest of seed and name: a sampling operator."""
+    order = F.sha2(F.concat(F.lit(f"{seed}|"), F.col("category"), F.lit(":"), F.col("key")), 256)
+    return stats.withColumn("digest", order).orderBy("digest", "category", "key").limit(n).drop("digest")
+
+
+def search(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows with the text in any of the columns, whatever the case; a blank text finds all."""
+    wanted = needle.strip().lower()
+    if not wanted:
+        return rows
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(wanted)), F.lit(False))
+    return rows.filter(hit)
+
+
+#: Order of worlds by what is left of them (fixed values).
+AVAILABILITY = ("available", "missing", "backup_only")
+
+
+def in_order(worlds: DataFrame) -> DataFrame:
+    """Worlds by availability, most minutes first, then by name."""
+    rank = F.array_position(F.array(*[F.lit(a) for a in AVAILABILITY]), F.col("availability"))
+    return worlds.orderBy(rank, F.col("minutes").desc_nulls_last(), F.lower("name"), "name")
+
+
 def uuid(text: Column) -> Column:
     """32 hex digits in lower case; null for anything else."""
     plain = F.lower(F.regexp_replace(text, "-", ""))

@@ -48,6 +48,11 @@ QUERIES = {
     "instances": _on(explorers.instances),
     "worlds": _on(explorers.worlds),
     "world_page": _on(explorers.world_page),
+    "instance_page": _on(explorers.instance_page),
+    "server_page": _on(explorers.server_page),
+    "version_page": _on(explorers.version_page),
+    "filtered_sessions": _on(filters.filtered_sessions, "world", "high"),
+    "filter_totals": _on(lambda archive: filters.filter_totals(filters.filtered_sessions(archive, "server", "all", " fabric"))),
     "servers": _on(explorers.servers),
     "versions": _on(explorers.versions),
     "launcher_usage": _on(explorers.launcher_usage),
@@ -143,6 +148,8 @@ def _sql(select: str, *parts: str) -> str:
     return f"with {ARCHIVE_SQL}{''.join(parts)}\n{select}"
 
 
+_KIND = """(exists (select 1 from contexts c where c.session_id = v.session_id and c.kind = '{0}' and c.name is not null)
+        or session_id in (select session_id from segments group by 1 having count(distinct kind) = 1 and min(kind) = '{0}'))"""
 _CONTEXTS = """select session_id, start_ms, instance_name, version, coalesce(k, 'menu') as kind, coalesce(d, '') as destination, coalesce(ss, '') as servers, coalesce(ws, '') as worlds
         from (select session_id, start_ms, instance_name, version from visible where {where} order by start_ms desc, session_id limit {size}) left join (
             select session_id, case when count(distinct kind) > 1 then 'mixed' else min(kind) end as k,
@@ -185,6 +192,21 @@ ORACLE_SQL = {
         where start_ms < 900000000000 or (start_ms = 900000000000 and session_id > 7000) order by start_ms desc, session_id limit 500"""),
     "instances": _sql("select i.*, coalesce(worlds, 0) as worlds from instance_sums i left join instance_worlds using (instance_id)", _JUDGED),
     "worlds": _sql("select * from world_sums", _JUDGED),
+    "instance_page": _sql("""select i.instance_id, i.instance_name as name, coalesce(l.launcher_name, o.adapter_kind) as launcher, coalesce(minutes, 0) as minutes, coalesce(sessions, 0) as sessions, last_ms,
+            coalesce(crashes, 0) as crashes, coalesce(worlds, 0) as worlds, version, loader, coalesce(label, 'unknown') as label, count(*) over () as total
+        from instances i join locations o on o.location_id = i.location_id left join launchers l on l.launcher_id = i.launcher_id left join (select * exclude (instance_name, launcher) from instance_sums) s using (instance_id) left join instance_worlds using (instance_id)
+        where (instance_id in (select instance_id from visible) or instance_id in (select instance_id from sources join scans using (scan_id) where state = 'completed' and current_revision is not null))
+            and exists (select 1 from scans where state = 'completed')
+        order by coalesce(minutes, 0) desc, last_ms desc nulls last, lower(i.instance_name), instance_id limit 500""", _JUDGED),
+    "server_page": _sql("""select server_id, name, minutes, sessions, last_ms, label, favorite_version, count(*) over () as total from server_sums left join favorite using (server_id)
+        where exists (select 1 from scans where state = 'completed') order by minutes desc, last_ms desc, lower(name), server_id limit 500""", _JUDGED),
+    "version_page": _sql("""select version, version_class, minutes, sessions, first_ms, last_ms, label, loaders, count(*) over () as total from version_sums
+        where exists (select 1 from scans where state = 'completed') order by last_ms desc, minutes desc, version limit 500""", _JUDGED),
+    "filtered_sessions": _sql(f"select session_id, start_ms, seconds, label from visible v where label = 'high' and {_KIND.format('world')}", _JUDGED),
+    "filter_totals": _sql(f"""select n as sessions, m as minutes, format('{{:,}}', n) || case when n = 1 then ' session' else ' sessions' end as sessions_text,
+            case when m < 60 then m || 'm' else format('{{:,}}', m // 60) || ' h' || case when m % 60 > 0 then ' ' || (m % 60) || ' min' else '' end end as minutes_text
+        from (select count(*) as n, coalesce(sum(seconds), 0)::bigint // 60 as m from visible v where {_KIND.format('server')} and (contains(lower(instance_name), 'fabric') or contains(lower(launcher), 'fabric')
+            or contains(lower(version), 'fabric') or coalesce(contains(lower(loader), 'fabric'), false) or exists (select 1 from contexts c where c.session_id = v.session_id and contains(lower(c.name), 'fabric'))))""", _JUDGED),
     "world_page": _sql("select instance_id, world, last_ms, (select count(*) from world_sums) as total from world_sums order by last_ms desc, instance_id, world limit 500", _JUDGED),
     "servers": _sql("select s.*, favorite_version from server_sums s left join favorite using (server_id)", _JUDGED),
     "versions": _sql("select * from version_sums", _JUDGED),

@@ -52,7 +52,31 @@ def profile_summary(spark, sf_dir):
     return profile.summary(world_match(spark, sf_dir))
 
 
-QUERIES = {"stats_merge": stats_merge, "stats_sections": stats_sections, "uuid_counts": uuid_counts, "identities": identities, "world_match": world_match, "profile_summary": profile_summary}
+def _shown(spark, sf_dir):
+    """Parts as statistics of a player: each brand is a world."""
+    keys = [key for entries in profile.SHOWN.values() for key, _, _ in entries]
+    key = F.get(F.array(*[F.lit(f"minecraft:{k}") for k in keys]), (F.col("p_partkey") % len(keys)).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("world_id"), F.lit("custom").alias("category"), key.alias("key"), (F.col("p_size") * F.col("p_partkey")).cast("long").alias("value"))
+    return profile.merge(rows.filter("p_partkey % 5 > 0"))
+
+
+def stats_shown(spark, sf_dir):
+    return profile.shown_statistics(_shown(spark, sf_dir))
+
+
+def stats_sample(spark, sf_dir):
+    return profile.sample(profile.search(_shown(spark, sf_dir), " ONE_", "key"), 42).select("category", "key", "value")
+
+
+def stats_choice(spark, sf_dir):
+    """Suppliers as statistics files of worlds (their nations), named by a few players."""
+    player = F.lpad((F.col("s_suppkey") % 4).cast("string"), 32, "a")
+    files = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("world_id"), F.concat(F.lit("stats/"), F.when(F.col("s_suppkey") % 3 == 0, F.upper(player)).otherwise(player), F.lit(".json")).alias("path")).distinct()
+    primary = table(spark, sf_dir, "region").filter("r_regionkey = 2").select(F.lpad(F.col("r_regionkey").cast("string"), 32, "a").alias("uuid"), F.lit("identity").alias("basis"))
+    return profile.chosen_stats(files, primary)
+
+
+QUERIES = {"stats_shown": stats_shown, "stats_sample": stats_sample, "stats_choice": stats_choice, "stats_merge": stats_merge, "stats_sections": stats_sections, "uuid_counts": uuid_counts, "identities": identities, "world_match": world_match, "profile_summary": profile_summary}
 
 _STATS = """merged as (
     select 'mined' as category, 'item_' || (p_partkey % 30) as key, sum(p_size)::bigint as value, count(distinct p_brand) as worlds from part group by 2
@@ -68,7 +92,19 @@ bn as (select *, regexp_replace(lower(backup), '[^a-z0-9]', '', 'g') as b_norm f
 worlds as (
     select w.instance_id, name, availability, played, count(backup) as backups from w left join bn on (availability = 'missing' or bn.instance_id = w.instance_id) and contains(b_norm, norm) group by 1, 2, 3, 4
     union all select instance_id, backup, 'backup_only', false, 1 from bn where not exists (select 1 from w where (availability = 'missing' or w.instance_id = bn.instance_id) and contains(b_norm, norm)))"""
+_TABLE = ", ".join(f"('{section}', {place}, '{key}', '{name}', '{unit}')" for section, entries in profile.SHOWN.items() for place, (key, name, unit) in enumerate(entries))
+_OWN = f"""shown(section, place, key, label, unit) as (values {_TABLE}),
+own as (
+    select 'custom' as category, key, sum(p_size::bigint * p_partkey)::bigint as value, count(distinct p_brand) as worlds
+    from part join (select *, row_number() over () - 1 as k from shown) on k = p_partkey % {sum(map(len, profile.SHOWN.values()))} where p_partkey % 5 > 0 group by 2)"""
 ORACLE_SQL = {
+    "stats_shown": f"""with {_OWN} select section, place::integer as place, label, value, unit, worlds, case unit when 'ticks' then case when value // 1200 < 60 then value // 1200 || 'm'
+            else format('{{:,}}', value // 72000) || ' h' || case when value // 1200 % 60 > 0 then ' ' || (value // 1200 % 60) || ' min' else '' end end
+            when 'tenths' then format('{{:,.1f}}', value / 10) when 'centimeters' then format('{{:,.2f}}', value / 100000) || ' km' else format('{{:,}}', value) end as text
+        from own join shown using (key)""",
+    "stats_sample": f"""with {_OWN} select category, 'minecraft:' || key as key, value from own where contains(lower(key), 'one_') order by sha256('42|custom:minecraft:' || key) limit 4""",
+    "stats_choice": """with files as (select distinct s_nationkey as world_id, lpad((s_suppkey % 4)::varchar, 32, 'a') as player, s_suppkey % 3 = 0 as u from supplier)
+        select world_id, min('stats/' || case when u then upper(player) else player end || '.json') as path, 'identity' as basis from files where player = lpad('2', 32, 'a') group by 1""",
     "stats_merge": f"with {_STATS} select * from merged",
     "stats_sections": f"with {_STATS} select category, key, value, rank from (select *, (row_number() over (partition by category order by value desc, key))::integer as rank from merged) where rank <= 12",
     "uuid_counts": "select '0000000a00000000000000000000000' || (p_size % 4) as uuid, count(distinct p_brand) as files from part group by p_size % 4",

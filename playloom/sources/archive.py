@@ -76,6 +76,15 @@ class Archive:
         name = F.when(F.col("s_suppkey") % 3 == 0, None).when(F.col("s_suppkey") % 7 == 0, "").otherwise(F.col("s_name"))
         return self._table("supplier").select(F.col("s_suppkey").alias("server_id"), ascii_lower(F.col("s_name")).alias("address"), name.alias("display_name"))
 
+    @property
+    def scans(self) -> DataFrame:
+        return self._table("region").select(F.col("r_regionkey").alias("scan_id"), F.when(F.col("r_regionkey") % 2 == 0, "completed").otherwise("failed").alias("state"))
+
+    @property
+    def sources(self) -> DataFrame:
+        key = F.col("c_custkey")
+        return self._table("customer").filter("c_custkey % 4 < 3").select(key.alias("instance_id"), (key % 5).alias("scan_id"), F.when(key % 7 != 0, key).alias("current_revision"))
+
     @property
     def segments(self) -> DataFrame:
         flag, line = F.col("l_returnflag"), F.col("l_linenumber")
@@ -115,6 +124,8 @@ segments as (
            case when l_returnflag = 'R' then l_suppkey end as server_id,
            case when l_returnflag = 'A' then case when l_partkey % 50 = 0 then '' else p_brand end end as world, ((l_linenumber * 29 + l_partkey) % 101)::integer as segment_score
     from lineitem left join part on p_partkey = l_partkey),
+scans as (select r_regionkey as scan_id, case when r_regionkey % 2 = 0 then 'completed' else 'failed' end as state from region),
+sources as (select c_custkey as instance_id, c_custkey % 5 as scan_id, case when c_custkey % 7 <> 0 then c_custkey end as current_revision from customer where c_custkey % 4 < 3),
 visible as (
     select s.*, i.instance_name, i.location_id, i.launcher_id, coalesce(l.launcher_name, case o.adapter_kind when 'official' then 'Official launcher' when 'prism' then 'Prism Launcher' when 'multimc' then 'MultiMC' else 'Manual folder' end) as launcher,
            coalesce(seconds > 2678400, false) or coalesce(end_ms < start_ms, false) or coalesce(end_ms - start_ms > 2678400000, false) or coalesce(abs(end_ms - start_ms - seconds * 1000) >= 1000, false) as wrong,

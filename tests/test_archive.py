@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from playloom.functions import formats
 from playloom.operators import budgets, dashboard, ingest, profile, reconcile
 from playloom.operators.prefix import running_sums
 from playloom.sources.archive import Archive
@@ -74,7 +75,10 @@ def test_open_and_implausible_sessions(spark):
 def test_empty_archive(spark):
     archive = Rows(spark, [])
     assert dashboard.totals(archive).first()["total_seconds"] == 0
-    assert dashboard.daily_activity(archive).count() == 0 == dashboard.top_metrics(archive).count()
+    assert dashboard.top_metrics(archive).count() == 0 == dashboard.monthly_activity(archive).count()
+    days = dashboard.daily_activity(archive, F.lit("2026-03-01").cast("date")).orderBy("day").collect()
+    assert len(days) == 365 and {r["day_label"] for r in days} == {"missing"} and {r["minutes"] for r in days} == {None}
+    assert (str(days[0]["day"]), str(days[-1]["day"])) == ("2025-03-02", "2026-03-01")
 
 
 def test_snapshots(spark, tmp_path):
@@ -210,3 +214,38 @@ def test_missing_worlds_look_at_all_backups(spark):
 def test_a_page_reads_the_segments_of_its_keys(spark, sf):
     rows = dashboard.session_contexts(Archive(spark, sf), 5)
     assert "In(l_orderkey" in rows._jdf.queryExecution().executedPlan().toString() or "l_orderkey IN" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_formats(spark):
+    rows = spark.createDataFrame([(None, 1), (0, 1), (59, 2), (60, 1000), (74_045, 1234)], "m long, n long")
+    got = rows.select(formats.duration(F.col("m")), formats.duration(F.col("m"), True), formats.plural(F.col("n"), "session"), formats.plural(F.col("n"), "entry", "entries")).collect()
+    assert [tuple(r) for r in got] == [
+        ("Unknown", "Unknown", "1 session", "1 entry"), ("0m", "0m", "1 session", "1 entry"), ("59m", "59m", "2 sessions", "2 entries"), ("1 h", "1h", "1,000 sessions", "1,000 entries"),
+        ("1,234 h 5 min", "1234h 5m", "1,234 sessions", "1,234 entries"),
+    ]
+    one = spark.createDataFrame([("2026-08-06T23:59:00-05:00", "minecraft:oak_log--x")], "t string, k string")
+    texts = one.select(formats.short_date(F.col("t")), formats.long_date(F.col("t")), formats.month_name(F.lit("2026-08")), formats.humanise(F.col("k")), formats.rfc3339(F.lit(0), F.lit(-90)), formats.rfc3339(F.lit(1500), F.lit(None).cast("int")))
+    assert tuple(texts.first()) == ("Aug 6, 2026", "Thursday, August 6", "August 2026", "Oak Log X", "1969-12-31T22:30:00-01:30", "1970-01-01T00:00:01+00:00")
+    units = spark.createDataFrame([(72_000, "ticks"), (25, "tenths"), (123_456, "centimeters"), (1234, "count")], "v long, u string")
+    assert [r[0] for r in units.select(formats.measured(F.col("v"), F.col("u"))).collect()] == ["1 h", "2.5", "1.23 km", "1,234"]
+
+
+def test_choice_of_statistics_files(spark):
+    a, b = "a" * 32, "b" * 32
+    files = spark.createDataFrame([(1, f"s/{a}.json"), (1, f"s/{b}.json"), (2, f"s/{b}.json"), (3, "s/x.json")], "world_id long, path string")
+    player = spark.createDataFrame([(a.upper(), "identity")], "uuid string, basis string")
+    assert [tuple(r) for r in profile.chosen_stats(files, player).collect()] == [(1, f"s/{a}.json", "identity")]
+    found = {r["world_id"]: r["basis"] for r in profile.chosen_stats(files, player.filter("false")).collect()}
+    assert found == {2: "single_local_player", 3: "single_local_player"}
+
+
+def test_samples_depend_on_the_seed(spark):
+    stats = spark.createDataFrame([("mined", f"k{k}", k) for k in range(40)], "category string, key string, value long")
+    one, again, other = (sorted(r["key"] for r in profile.sample(stats.repartition(p), seed).collect()) for p, seed in ((1, 5), (4, 5), (2, 6)))
+    assert one == again != other and len(one) == 4
+    assert [r["key"] for r in profile.search(stats, " K39 ", "key", "category").collect()] == ["k39"] and profile.search(stats, " ", "key").count() == 40
+
+
+def test_world_order(spark):
+    rows = spark.createDataFrame([("b", "missing", 9), ("a", "available", None), ("C", "available", 5), ("d", "backup_only", None), ("c", "available", 5)], "name string, availability string, minutes long")
+    assert [r["name"] for r in profile.in_order(rows).collect()] == ["C", "c", "a", "b", "d"]
