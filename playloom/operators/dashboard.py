@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playloom.functions.core import DAY_MS, ascii_lower, label, label_of_rank, label_rank, local_date, not_blank
+from playloom.operators.prefix import running_sums
 from playloom.operators.visible import runs, visible
 from playloom.shared import materialize
 from playloom.sources.archive import Archive
@@ -14,8 +15,6 @@ from playloom.sources.archive import Archive
 ACTIVE_S = 60
 #: Days and months of the calendars.
 DAYS, MONTHS = 365, 12
-#: Most buckets of time that the interval union is cut into.
-SLICE_MS = 30 * DAY_MS
 
 
 def visible_count(archive: Archive) -> DataFrame:
@@ -34,17 +33,15 @@ def totals(archive: Archive) -> DataFrame:
 def unique_runtime(archive: Archive) -> DataFrame:
     """Seconds covered by at least one session: the true union of all intervals.
 
-    Intervals are cut at the borders of 30-day slices, so the union within a
-    slice needs only that slice's rows and slices spread over tasks.
+    Begins and ends are added up by moment; running sums in two levels tell how many sessions are open after each. Where that
+    number leaves zero the union begins, where it comes back to zero it ends. No window holds more than a range of moments.
     """
-    spans = runs(archive).filter("run_s is not null and run_end > start_ms").select("start_ms", F.col("run_end").alias("end_ms"))
-    first, last = F.floor(F.col("start_ms") / SLICE_MS), F.floor((F.col("end_ms") - 1) / SLICE_MS)
-    cut = spans.select("*", F.explode(F.sequence(first, last)).alias("slice")).select(
-        "slice", F.greatest("start_ms", F.col("slice") * SLICE_MS).alias("a"), F.least("end_ms", (F.col("slice") + 1) * SLICE_MS).alias("b")
-    )
-    before = Window.partitionBy("slice").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(F.max("b").over(before), F.col("a"))))
-    return cut.select(fresh.alias("ms")).agg(F.floor(F.coalesce(F.sum("ms"), F.lit(0)) / 1000).alias("unique_seconds"))
+    spans = runs(archive).filter("run_s is not null and run_end > start_ms")
+    ends = F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("change")), F.struct(F.col("run_end").alias("at"), F.lit(-1).alias("change")))
+    moments = spans.select(F.inline(ends)).groupBy("at").agg(F.sum("change").alias("change")).filter("change <> 0")
+    open_ = running_sums(moments, "at", {"open": "change"})
+    border = F.when((F.col("open") > 0) & (F.col("open") == F.col("change")), -F.col("at")).when(F.col("open") == 0, F.col("at"))
+    return open_.agg(F.floor(F.coalesce(F.sum(border), F.lit(0)) / 1000).alias("unique_seconds"))
 
 
 def day_slices(archive: Archive) -> DataFrame:

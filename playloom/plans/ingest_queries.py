@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from playloom.operators import budgets, ingest, reconcile
+from playloom.operators import budgets, discovery, ingest, reconcile
 from playloom.operators.reconstruct import dedupe_exact as mark_copies
 from playloom.shared import table
 from playloom.sources import inventory
@@ -168,9 +168,41 @@ def validation_score(spark, sf_dir):
 def discover_overlay(spark, sf_dir):
     """Folders found now (keys not divisible by 3) over those saved (even keys): saved state wins, saved-only folders are off."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path_key"), (F.col("c_custkey") % 101).cast("int").alias("score"))
-    found, saved = rows.filter("path_key % 3 <> 0"), rows.filter("path_key % 2 = 0").select("path_key", (F.col("path_key") % 4 == 0).alias("enabled"), F.col("score").alias("saved_score"))
-    both = found.join(saved, "path_key", "full")
-    return both.select("path_key", F.when(F.col("score").isNull(), False).otherwise(F.coalesce("enabled", F.lit(True))).alias("enabled"), F.coalesce("score", "saved_score").alias("score"), F.col("score").isNotNull().alias("available"))
+    return discovery.overlay(rows.filter("path_key % 3 <> 0"), rows.filter("path_key % 2 = 0").withColumn("enabled", F.col("path_key") % 4 == 0))
+
+
+def _folders(spark, sf_dir):
+    """Every customer as a folder: the bits of its key as markers, of seven times its key as those of a game folder inside."""
+    key = F.col("c_custkey")
+    bits = lambda value: {name: F.shiftright(value, k).bitwiseAND(1) == 1 for k, name in enumerate(ingest.GAME_MARKERS)}
+    launcher = (key % 11 == 0, (key % 3).cast("int"), (key % 7).cast("int"))
+    beside = {"instance.cfg": key % 3 == 0, "mmc-pack.json": key % 5 == 0}
+    rows = table(spark, sf_dir, "customer").select(key)
+    return discovery.validated(rows, launcher, bits(key * 7 % 128), beside, key % 4 == 0, bits(key)).withColumnRenamed("c_custkey", "folder_id")
+
+
+def validated_folders(spark, sf_dir):
+    return _folders(spark, sf_dir).withColumn("markers", F.array_join("markers", ","))
+
+
+def added_locations(spark, sf_dir):
+    """Folders that users chose, over every fourth saved before; rejected ones come with the reason."""
+    name = F.concat(F.lit("folder "), F.col("folder_id").cast("string"))
+    path = F.when(F.col("folder_id") % 17 == 0, " ").otherwise(F.concat(F.lit("/games/"), F.col("folder_id").cast("string")))
+    asked = _folders(spark, sf_dir).filter("folder_id % 3 = 0").select(path.alias("path_key"), name.alias("name"), "kind", "score", "markers")
+    saved = table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.concat(F.lit("/games/"), F.col("c_custkey").cast("string")).alias("path_key"), F.lit("saved").alias("name"), F.lit("game").alias("kind"), F.lit(1).alias("score"))
+    kept, rejected = discovery.add_locations(saved, asked)
+    none = F.lit(None).cast("string")
+    return kept.select("path_key", "name", "kind", "score", none.alias("reason")).unionByName(rejected.select("path_key", none.alias("name"), none.alias("kind"), "score", "reason"))
+
+
+def newest_run(spark, sf_dir):
+    """Customers as scans of which some have ended, orders as their messages."""
+    state = F.get(F.array(*[F.lit(x) for x in ("running", "completed", "failed", "queued")]), (F.col("c_custkey") % 4).cast("int"))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scan_id"), state.alias("state"), (F.col("c_custkey") % 50).alias("requested_ms"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 60).alias("finished_ms"))
+    severity = F.when(F.col("o_orderkey") % 3 == 0, "warning").when(F.col("o_orderkey") % 3 == 1, "error").otherwise("info")
+    messages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scan_id"), F.col("o_orderkey").alias("message_id"), (F.col("o_orderkey") % 97).alias("created_ms"), severity.alias("severity"), F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("text"))
+    return discovery.newest_run(runs, messages, 5).withColumn("messages", F.array_join("messages", ","))
 
 
 def segment_servers(spark, sf_dir):
@@ -183,6 +215,7 @@ def segment_servers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     classify_source, group_instances, rotation_order, dedupe_exact, fingerprint, file_decision, scan_counts, scan_mode_filter, replace_all_flag, budget_cut, complete_instances,
     protected_sessions, upsert_servers, validation_score, discover_overlay)}
+QUERIES |= {"validated_folders": validated_folders, "added_locations": added_locations, "newest_run": newest_run}
 QUERIES |= {"scan_budgets": scan_budgets, "reconcile_rotation": reconcile_rotation, "cascade_deletes": cascade_deletes}
 QUERIES |= {"missing_sources": _missing, "promote": promoted, "orphans": segment_servers}
 
@@ -205,7 +238,30 @@ def _sql(select: str, *parts: str) -> str:
     return f"with {FILES_SQL}{''.join(parts)}\n{select}"
 
 
+_WEIGHTS = " + ".join(f"(({{0}} >> {k}) & 1) * {w}" for k, w in enumerate(ingest.GAME_MARKERS.values()))
+_NAMES = ", ".join(f"case when ({{0}} >> {k}) & 1 = 1 then '{name}' end" for k, name in enumerate(ingest.GAME_MARKERS))
+_FOLDERS = f"""bits as (
+        select c_custkey as k, c_custkey * 7 % 128 as c, least(100, {_WEIGHTS.format("c_custkey")}) as g, bit_count(c_custkey & 127) as n, least(100, {_WEIGHTS.format("(c_custkey * 7 % 128)")}) as cg,
+               least(100, case when c_custkey % 11 = 0 then 25 else 0 end + 30 * (c_custkey % 3) + case when c_custkey % 7 > 0 then 25 + 5 * least(c_custkey % 7, 4) else 0 end) as l from customer),
+        kinds as (select *, case when k % 11 = 0 and (k % 3 > 0 or k % 7 > 0) then 'launcher' when k % 4 = 0 and bit_count(c) >= 2 and cg >= 30 then 'instance' when n >= 2 and g >= 30 then 'game' else 'unknown' end as kind from bits),
+        folders as (select k as folder_id, kind, (case kind when 'launcher' then l when 'instance' then least(100, cg + 10) when 'game' then g else 0 end)::integer as score,
+            (case kind when 'launcher' then k % 7 when 'unknown' then 0 else 1 end)::bigint as instances,
+            list_sort(list_filter(case kind when 'launcher' then ['instances'] when 'instance' then ['.minecraft', case when k % 3 = 0 then 'instance.cfg' end, case when k % 5 = 0 then 'mmc-pack.json' end, {_NAMES.format("c")}]
+                when 'game' then [{_NAMES.format("k")}] else [] end, lambda x: x is not null)) as markers from kinds)"""
 ORACLE_SQL = {
+    "validated_folders": f"with {_FOLDERS} select folder_id, kind, score, instances, array_to_string(markers, ',') as markers from folders",
+    "added_locations": f"""with {_FOLDERS}, asked as (select case when folder_id % 17 = 0 then ' ' else '/games/' || folder_id end as path_key, 'folder ' || folder_id as name, kind, score, markers from folders where folder_id % 3 = 0),
+        judged as (select *, case when trim(path_key) = '' then 'The selected path is empty.' when kind <> 'unknown' then null when len(markers) = 0 then 'No recognized Minecraft directory markers were found.'
+            else 'Only these markers were found: ' || array_to_string(markers, ', ') || '.' end as reason from asked),
+        saved as (select '/games/' || c_custkey as path_key, 'saved' as name, 'game' as kind, 1 as score from customer where c_custkey % 4 = 0)
+        select coalesce(a.path_key, s.path_key) as path_key, coalesce(a.name, s.name) as name, coalesce(a.kind, s.kind) as kind, coalesce(a.score, s.score)::integer as score, null as reason
+            from (select * from judged where reason is null) a full join saved s on s.path_key = a.path_key
+        union all select path_key, null, null, case when trim(path_key) = '' then 0 else score end, reason from judged where reason is not null""",
+    "newest_run": """with r as (select c_custkey as id, (['running', 'completed', 'failed', 'queued'])[c_custkey % 4 + 1] as state, c_custkey % 50 as requested, case when c_custkey % 3 > 0 then c_custkey % 60 end as finished from customer),
+        last as (select * from r where state in ('completed', 'failed') order by coalesce(finished, requested) desc, requested desc, id desc limit 1),
+        m as (select o_orderkey as k from orders where o_custkey = (select id from last))
+        select id as scan_id, state, (select count(*) from m where k % 3 = 0) as warnings, (select count(*) from m where k % 3 = 1) as errors,
+               coalesce((select string_agg('m' || k, ',' order by k % 97, k) from (select k from m order by k % 97 desc, k desc limit 5)), '') as messages from last""",
     "classify_source": _sql("""select file_id, case when path like '%logs/%' and lower(path) like '%.log.gz' then 'compressed_log' when path like '%logs/%' and lower(path) like '%.log' then 'log'
         when path like '%level.dat' then 'level' else 'statistics' end as kind from files"""),
     "group_instances": _sql("""select root, count(*) as files, case when root <> '' then instance_id end as name

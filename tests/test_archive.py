@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playloom.functions import formats
-from playloom.operators import budgets, dashboard, ingest, profile, reconcile
+from playloom.operators import budgets, dashboard, discovery, ingest, profile, reconcile
 from playloom.operators.prefix import running_sums
 from playloom.sources.archive import Archive
 
@@ -249,3 +249,18 @@ def test_samples_depend_on_the_seed(spark):
 def test_world_order(spark):
     rows = spark.createDataFrame([("b", "missing", 9), ("a", "available", None), ("C", "available", 5), ("d", "backup_only", None), ("c", "available", 5)], "name string, availability string, minutes long")
     assert [r["name"] for r in profile.in_order(rows).collect()] == ["C", "c", "a", "b", "d"]
+
+
+def test_instances_of_a_launcher(spark):
+    columns = ["is_dir", "nested", "nested_logs", "nested_options", "nested_versions", "logs", "instance_file", "options", "mods", "config"]
+    entries = [("a", {"nested", "nested_options"}), ("a", {"logs", "mods"}), ("a", {"logs"}), ("a", {"nested"}), ("b", {"logs", "config", "file"})]
+    rows = [(root, "file" not in has, *(c in has for c in columns[1:])) for root, has in entries]
+    rows += [("c", True, *[True] * 9)] * 3
+    table = spark.createDataFrame(rows, f"root string, {', '.join(f'{c} boolean' for c in columns)}")
+    assert {r["root"]: (r["instances"], r["over"]) for r in discovery.instance_counts(table).collect()} == {"a": (2, False), "b": (0, False), "c": (3, False)}
+
+
+def test_saves_and_backups(spark):
+    paths = ["saves/One/level.dat", "saves/One/data/x", "saves/file.txt", "x/saves/Two/region/r", "backups/2026 One.zip", "backups/b.ZIP", "backups/deep/c.zip", "y/backups/.zip", "y/backups/d.zip"]
+    saves, backups = discovery.worlds_and_backups(spark.createDataFrame([(1, p) for p in paths], "instance_id long, path string"))
+    assert sorted(r["save"] for r in saves.collect()) == ["One", "Two"] and [r["backup"] for r in backups.collect()] == ["d", "2026 One"]
