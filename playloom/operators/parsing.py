@@ -68,8 +68,8 @@ def quoted(text: Column, marker: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"""(?i){marker}\s*(["'])(.*?)\1""", 2)), F.lit(""))
 
 
-def events_of(text: Column, line: Column) -> Column:
-    """Events of one line in fixed order: array<struct<kind,detail,score>>. Text rules are fixed values of the log format."""
+def _rules(text: Column, line: Column) -> list[tuple]:
+    """(test, kind, score, detail) of each event a line may hold, in fixed order. Text rules are fixed values of the log format."""
     low = ascii_lower(text)
     has = lambda s: low.contains(s)
     loading, starting = _token(text, "loading minecraft "), _token(text, "starting minecraft client version ")
@@ -91,17 +91,29 @@ def events_of(text: Column, line: Column) -> Column:
     crash = F.when(whole.contains("---- minecraft crash report ----") | has("this crash report has been saved to:"), 100).when(has("unreported exception thrown"), 98)
     crash = crash.when(whole.contains("/fatal]") | has("minecraft has crashed") | has("the game crashed whilst"), 96)
 
+    return [
+        (start.isNotNull(), "start", start), (version.isNotNull(), "version", version_score, version), (address.isNotNull(), "server", 95, address),
+        (integrated, "integrated", 96, F.when(has("version "), _token(text, "version "))), (level.isNotNull(), "world", 94, level), (dimension, "world", 80),
+        (gone.isNotNull(), "disconnected", F.when(gone == "network", 88).otherwise(92), gone), (stopping, "stopping", 96), (shutdown, "clean_shutdown", 94),
+        (crash.isNotNull(), "crash", crash),
+    ]
+
+
+def events_of(text: Column, line: Column) -> Column:
+    """Events of one line in fixed order: array<struct<kind,detail,score>>."""
+
     def one(test: Column, kind: str, score, detail=None) -> Column:
         detail = F.lit(None).cast("string") if detail is None else detail
         score = F.lit(score) if isinstance(score, int) else score
         return F.when(test, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), score.cast("int").alias("score")))
 
-    return F.array_compact(F.array(
-        one(start.isNotNull(), "start", start), one(version.isNotNull(), "version", version_score, version), one(address.isNotNull(), "server", 95, address),
-        one(integrated, "integrated", 96, F.when(has("version "), _token(text, "version "))), one(level.isNotNull(), "world", 94, level), one(dimension, "world", 80),
-        one(gone.isNotNull(), "disconnected", F.when(gone == "network", 88).otherwise(92), gone), one(stopping, "stopping", 96), one(shutdown, "clean_shutdown", 94),
-        one(crash.isNotNull(), "crash", crash),
-    ))
+    return F.array_compact(F.array(*[one(*rule) for rule in _rules(text, line)]))
+
+
+def event_count(text: Column, line: Column) -> Column:
+    """The number of those events; details are looked at only where a rule needs them."""
+    tests = [F.coalesce(test, F.lit(False)).cast("int") for test, *_ in _rules(text, line)]
+    return sum(tests[1:], tests[0])
 
 
 def timed_lines(lines: DataFrame) -> DataFrame:
@@ -149,7 +161,8 @@ def log_events(lines: DataFrame) -> DataFrame:
     """One row per event with its place and time."""
     timed = timed_lines(lines)
     keep = [c for c in ("instance_id", "source_id", "source_order", "line_number", "local_ms", "sequence_ms", "origin") if c in timed.columns]
-    found = timed.select(*keep, F.posexplode(events_of(body(F.col("value")), F.col("value"))).alias("event_order", "event"))
+    said = timed.select(*keep, "value", body(F.col("value")).alias("body"))
+    found = said.select(*keep, F.posexplode(events_of(F.col("body"), F.col("value"))).alias("event_order", "event"))
     return found.select(*keep, "event_order", F.col("event.kind").alias("kind"), F.col("event.detail").alias("detail"), F.col("event.score").alias("score"))
 
 
@@ -158,8 +171,8 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     timed = timed_lines(lines)
     # Lines of files come with what was wrong with their bytes.
     malformed = F.col("malformed") if "malformed" in lines.columns else ~F.is_valid_utf8("value")
-    rows = timed.select(
-        "source_id", "bad_stamp", "rolled", "fell_back", "clock", F.size(events_of(body(F.col("value")), F.col("value"))).alias("n"),
+    rows = timed.withColumn("body", body(F.col("value"))).select(
+        "source_id", "bad_stamp", "rolled", "fell_back", "clock", event_count(F.col("body"), F.col("value")).alias("n"),
         malformed.alias("malformed"), F.octet_length("value").alias("bytes"),
     )
     per = rows.groupBy("source_id").agg(
