@@ -60,3 +60,19 @@ def measured(value: Column, unit: Column) -> Column:
         F.when(unit == "ticks", duration(minutes)).when(unit == "tenths", F.format_number(value / 10, 1))
         .when(unit == "centimeters", F.concat(F.format_number(value / 100_000, 2), F.lit(" km"))).otherwise(F.format_number(value, 0))
     )
+
+
+def activity_level(minutes: Column) -> Column:
+    """0 to 4 for a day of the heat map; days that are missing count as 0. Borders are fixed values."""
+    return F.when(F.coalesce(minutes, F.lit(0)) == 0, 0).when(minutes < 45, 1).when(minutes < 100, 2).when(minutes < 180, 3).otherwise(4)
+
+
+def seam_intensity(minutes: Column) -> Column:
+    """1 to 4 for a month that was observed, a step for each 3,000 minutes; 0 for a missing one."""
+    return F.when(minutes.isNull(), 0).otherwise(F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(minutes / 3000)))).cast("int")
+
+
+def accent(identifier: Column) -> Column:
+    """One of four colours that depends on the identifier alone."""
+    first = F.conv(F.substring(F.sha2(identifier, 256), 1, 2), 16, 10).cast("int")
+    return F.get(F.array(*[F.lit(c) for c in ("moss", "copper", "quartz", "slate")]), first % 4)

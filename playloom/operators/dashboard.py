@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playloom.functions.core import DAY_MS, ascii_lower, label, label_of_rank, label_rank, local_date, not_blank
+from playloom.functions.formats import activity_level, month_name, seam_intensity
 from playloom.operators.prefix import running_sums
 from playloom.operators.visible import runs, visible
 from playloom.shared import materialize
@@ -208,3 +209,20 @@ def session_contexts(archive: Archive, size: int = 500, after: tuple[int, int] |
 
 #: Shown for a session with several destinations (fixed value).
 SEVERAL = "Multiple observed destinations"
+
+
+def context_shares(archive: Archive) -> DataFrame:
+    """The top contexts with their percentage of all known minutes, one decimal."""
+    minutes = totals(archive).select(F.floor(F.col("total_seconds") / 60).alias("all_minutes"))  # one row
+    share = F.round(100.0 * F.col("minutes") / F.greatest("all_minutes", F.lit(1)), 1)
+    return top_metrics(archive).crossJoin(minutes).withColumn("percent", share).drop("all_minutes")
+
+
+def heat_levels(archive: Archive) -> DataFrame:
+    """The days of the calendar with the level they are painted in."""
+    return daily_activity(archive).select("day", "day_label", activity_level(F.col("minutes")).alias("level"))
+
+
+def month_seam(archive: Archive) -> DataFrame:
+    """The months with name and intensity."""
+    return monthly_activity(archive).select("month", month_name(F.col("month")).alias("name"), seam_intensity(F.col("minutes")).alias("intensity"))

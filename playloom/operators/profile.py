@@ -129,6 +129,12 @@ def uuid_counts(files: DataFrame) -> DataFrame:
     return files.select(uuid(F.col("uuid")).alias("uuid")).filter("uuid is not null").groupBy("uuid").agg(F.count(F.lit(1)).alias("files"))
 
 
+def ranked_identities(known: DataFrame, counts: DataFrame) -> DataFrame:
+    """Identities with their place: those with the most statistics files first, then active ones, then by name."""
+    rows = known.join(counts.select(F.col("uuid"), "files"), "uuid", "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    return rows.orderBy(F.col("files").desc(), F.col("active").desc(), F.lower("name"), "uuid")
+
+
 def primary_uuid(identities: DataFrame, counts: DataFrame) -> DataFrame:
     """The first identity that has files; else the one uuid with the most files, none on a tie."""
     named = identities.join(counts, "uuid").orderBy(F.col("files").desc(), F.col("active").desc(), "name").limit(1).select("uuid", F.lit("identity").alias("basis"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from playloom.operators import dashboard, explorers, filters, habits
+from playloom.operators.visible import visible
+from playloom.shared import shared_dir
+from playloom.sources import sinks
 from playloom.sources.archive import ARCHIVE_SQL, Archive
 
 
@@ -27,6 +32,14 @@ def _joined(operator, *args):
     return query
 
 
+def exported(spark, sf_dir):
+    """Visible sessions written as CSV and read again, with instances hidden."""
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    rows = visible(Archive(spark, sf_dir)).select("session_id", "start_ms", "seconds", "instance_name", "version", "loader")
+    sinks.export(rows, folder, "csv", ("instance_name",))
+    return spark.read.schema(rows.schema).option("header", "true").option("escape", '"').csv(folder).withColumn("version", F.coalesce("version", F.lit("")))
+
+
 QUERIES = {
     "visible_count": _on(dashboard.visible_count),
     "dash_totals": _on(dashboard.totals),
@@ -48,6 +61,11 @@ QUERIES = {
     "instances": _on(explorers.instances),
     "worlds": _on(explorers.worlds),
     "world_page": _on(explorers.world_page),
+    "context_shares": _on(dashboard.context_shares),
+    "heat_levels": _on(dashboard.heat_levels),
+    "month_seam": _on(dashboard.month_seam),
+    "exported": exported,
+    "staged_sessions": _on(lambda archive: sinks.staged(archive.sessions.select("session_id", "start_ms", "seconds", "loader"), "session_id")),
     "instance_page": _on(explorers.instance_page),
     "server_page": _on(explorers.server_page),
     "version_page": _on(explorers.version_page),
@@ -148,6 +166,12 @@ def _sql(select: str, *parts: str) -> str:
     return f"with {ARCHIVE_SQL}{''.join(parts)}\n{select}"
 
 
+_TOP = """select category, name, seconds // 60 as minutes from (
+        select category, name, sum(s)::bigint as seconds, row_number() over (partition by category order by sum(s) desc, lower(name), name) as r from (
+            select 'launcher' as category, launcher as name, coalesce(run_s, 0) as s from runs union all
+            select 'instance', instance_name, coalesce(run_s, 0) from runs union all
+            select 'version', coalesce(nullif(trim(version), ''), 'Unknown'), coalesce(run_s, 0) from runs union all
+            select kind, name, coalesce(run_s, 0) from contexts join runs using (session_id) where name is not null) group by 1, 2) where r = 1"""
 _KIND = """(exists (select 1 from contexts c where c.session_id = v.session_id and c.kind = '{0}' and c.name is not null)
         or session_id in (select session_id from segments group by 1 having count(distinct kind) = 1 and min(kind) = '{0}'))"""
 _CONTEXTS = """select session_id, start_ms, instance_name, version, coalesce(k, 'menu') as kind, coalesce(d, '') as destination, coalesce(ss, '') as servers, coalesce(ws, '') as worlds
@@ -175,12 +199,12 @@ ORACLE_SQL = {
         from (select min(start_ms) as first_ms, max(coalesce(run_end, start_ms)) as last_ms, first(local_day order by start_ms, session_id) as first_day,
               avg(({_LABEL.format("run_score")} = 'verified')::integer) as v, avg((run_s is not null and run_end is not null)::integer) as b from runs),
              last_day, (select count(distinct year(day) * 12 + month(day)) as observed_months from slices)""", _SLICES),
-    "top_metrics": _sql("""select category, name, seconds // 60 as minutes from (
-        select category, name, sum(s)::bigint as seconds, row_number() over (partition by category order by sum(s) desc, lower(name), name) as r from (
-            select 'launcher' as category, launcher as name, coalesce(run_s, 0) as s from runs union all
-            select 'instance', instance_name, coalesce(run_s, 0) from runs union all
-            select 'version', coalesce(nullif(trim(version), ''), 'Unknown'), coalesce(run_s, 0) from runs union all
-            select kind, name, coalesce(run_s, 0) from contexts join runs using (session_id) where name is not null) group by 1, 2) where r = 1""", _JUDGED),
+    "context_shares": _sql(f"""select category, name, minutes, round(100.0 * minutes / greatest(1, (select coalesce(sum(run_s), 0)::bigint // 60 from runs)), 1)::double as percent from ({_TOP})""", _JUDGED),
+    "heat_levels": _sql("select day::varchar as day, day_label, (case when coalesce(minutes, 0) = 0 then 0 when minutes < 45 then 1 when minutes < 100 then 2 when minutes < 180 then 3 else 4 end)::integer as level from calendar", _SLICES),
+    "month_seam": _sql("""select month, strftime((month || '-01')::date, '%B %Y') as name, (case when minutes is null then 0 else least(4, greatest(1, ceil(minutes / 3000))) end)::integer as intensity from monthly""", _SLICES),
+    "exported": _sql("select session_id, start_ms, seconds, 'hidden-' || left(sha256(instance_name), 8) as instance_name, version, loader from visible"),
+    "staged_sessions": _sql("""select session_id as stage_key, '{"start_ms":' || start_ms || ',"seconds":' || coalesce(seconds::varchar, 'null') || ',"loader":' || coalesce('"' || loader || '"', 'null') || '}' as payload_json from sessions"""),
+    "top_metrics": _sql(_TOP, _JUDGED),
     "month_average": _sql("select round(avg(minutes), 6) as average_minutes, max(minutes) as largest_minutes, count(*) as months from monthly where month_label <> 'missing'", _SLICES),
     "heatmap_stats": _sql("""select count(*) filter (where coalesce(minutes, 0) > 0) as active, count(*) filter (where minutes is null) as missing, count(*) filter (where minutes = 0) as zero,
         first(day order by coalesce(minutes, -1) desc, day)::varchar as peak_day from calendar""", _SLICES),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from playloom.functions import formats
 from playloom.operators import budgets, dashboard, discovery, ingest, profile, reconcile
 from playloom.operators.prefix import running_sums
+from playloom.sources import sinks
 from playloom.sources.archive import Archive
 
 
@@ -264,3 +265,24 @@ def test_saves_and_backups(spark):
     paths = ["saves/One/level.dat", "saves/One/data/x", "saves/file.txt", "x/saves/Two/region/r", "backups/2026 One.zip", "backups/b.ZIP", "backups/deep/c.zip", "y/backups/.zip", "y/backups/d.zip"]
     saves, backups = discovery.worlds_and_backups(spark.createDataFrame([(1, p) for p in paths], "instance_id long, path string"))
     assert sorted(r["save"] for r in saves.collect()) == ["One", "Two"] and [r["backup"] for r in backups.collect()] == ["d", "2026 One"]
+
+
+def test_accents_and_ranked_identities(spark):
+    names = [r[0] for r in spark.range(60).select(formats.accent(F.col("id").cast("string"))).collect()]
+    assert set(names) == {"moss", "copper", "quartz", "slate"} and names[0] == spark.range(1).select(formats.accent(F.lit("0"))).first()[0]
+    rows = spark.createDataFrame([("b", "u1", False), ("A", "u2", False), ("c", None, True), ("d", "u3", False)], "name string, uuid string, active boolean")
+    counts = spark.createDataFrame([("u3", 2)], "uuid string, files long")
+    assert [r["name"] for r in profile.ranked_identities(rows, counts).collect()] == ["d", "c", "A", "b"]
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,\"b\"\n", ["x", None]), (2, None, [])], "k long, name string, places array<string>")
+    sinks.export(rows, f"{tmp_path}/j")
+    assert sorted(tuple(r) for r in spark.read.schema(rows.schema).json(f"{tmp_path}/j").collect()) == [(1, 'a,"b"\n', ["x", None]), (2, None, [])]
+    sinks.export(rows, f"{tmp_path}/c", "csv", ("name",))
+    text = spark.read.option("header", "true").option("escape", '"').csv(f"{tmp_path}/c").orderBy("k").collect()
+    assert text[0]["name"].startswith("hidden-") and text[0]["places"] == '["x",null]' and text[1]["name"] is None
+    with pytest.raises(ValueError):
+        sinks.export(rows, f"{tmp_path}/x", "xml")
+    staged = {r["stage_key"]: r["payload_json"] for r in sinks.staged(rows.drop("places").union(rows.drop("places")), "k").collect()}
+    assert staged == {1: '{"name":"a,\\"b\\"\\n"}', 2: '{"name":null}'}
