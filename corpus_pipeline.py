@@ -1,4 +1,9 @@
-"""A training corpus from ``documents`` in five stages, each written as Parquet and read again by the next."""
+"""A training corpus from ``documents`` in five stages, each written as Parquet and read again by the next.
+
+Defined results: null texts count as empty; repeated rows are copies, of which exact dedup leaves one; rows of one doc_id with
+different texts are different documents; rows without doc_id are judged, deduplicated and mixed like others, but belong to no group
+of near copies; an empty table gives an empty corpus; further columns, whatever their names, are carried up to the last stage.
+"""
 
 from __future__ import annotations
 
