@@ -1,6 +1,8 @@
 from test_dedup_and_mix import brute_groups
 from test_jaccard import brute
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
 from playloom.llm import quality
@@ -29,3 +31,26 @@ def test_stages_against_brute_force(spark, sf):
 def test_registered_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+
+
+def through(spark, docs, sf):
+    steps = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, sf), f"odd-{name}")
+        steps.append((before, docs))
+    return steps
+
+
+def test_odd_rows_go_through_all_stages(spark, sf, docs, repeated):
+    """Nulls, empty and long texts, repeated rows, a missing doc_id, one doc_id with two texts, columns with the names that operators use."""
+    rows = docs.unionByName(repeated).unionByName(docs.filter("doc_id between 10 and 12").withColumn("text", F.reverse("text")))
+    steps = through(spark, rows, sf)
+    for before, after in steps[:4]:
+        assert after.columns == docs.columns and after.count() <= 3 * before.count()
+    texts = [r["text"] or "" for r in steps[1][1].select("text").collect()]
+    assert len(texts) == len({"".join(t.split()) for t in texts})
+    assert steps[4][1].count() == steps[3][1].count() > 0
+
+
+def test_an_empty_table_gives_an_empty_corpus(spark, sf, no_docs):
+    assert [after.count() for _, after in through(spark, no_docs, sf)] == [0] * 5
