@@ -165,6 +165,21 @@ def validation_score(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(key.alias("folder_id"), score.cast("int").alias("score"), good.alias("supported"), root.cast("int").alias("root_score"), fine.alias("root_supported"))
 
 
+#: Paths of every kind of file, some in other cases of letters, and what they are ({n} is a number).
+PATHS = [
+    ("a/logs/{n}.log", "log"), ("a/LOGS/deep/{n}.log.gz", "compressed_log"), ("saves/w{n}/level.dat", "level"), ("servers.dat", "servers"), ("b/mods/m{n}.JAR", "mod"),
+    ("saves/w/stats/u{n}.json", "statistics"), ("saves/w/advancements/u{n}.json", "advancements"), ("crash-reports/c{n}.txt", "crash_report"), ("screenshots/s{n}.PNG", "screenshot"),
+    ("screenshots/s{n}.jpeg", "screenshot"), ("screenshots/s{n}.bmp", "other"), ("logsx/{n}.log", "other"), ("config/{n}.json", "other"), ("{n}.log", "other"), ("mods/readme{n}.txt", "other"),
+]
+
+
+def classified_paths(spark, sf_dir):
+    """Documents as files of every kind."""
+    k = F.col("doc_id")
+    path = F.replace(F.get(F.array(*[F.lit(p) for p, _ in PATHS]), (k % len(PATHS)).cast("int")), F.lit("{n}"), k.cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).withColumn("kind", inventory.classify(F.col("path")))
+
+
 def discover_overlay(spark, sf_dir):
     """Folders found now (keys not divisible by 3) over those saved (even keys): saved state wins, saved-only folders are off."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path_key"), (F.col("c_custkey") % 101).cast("int").alias("score"))
@@ -215,6 +230,7 @@ def segment_servers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     classify_source, group_instances, rotation_order, dedupe_exact, fingerprint, file_decision, scan_counts, scan_mode_filter, replace_all_flag, budget_cut, complete_instances,
     protected_sessions, upsert_servers, validation_score, discover_overlay)}
+QUERIES |= {"classified_paths": classified_paths}
 QUERIES |= {"validated_folders": validated_folders, "added_locations": added_locations, "newest_run": newest_run}
 QUERIES |= {"scan_budgets": scan_budgets, "reconcile_rotation": reconcile_rotation, "cascade_deletes": cascade_deletes}
 QUERIES |= {"missing_sources": _missing, "promote": promoted, "orphans": segment_servers}
@@ -249,6 +265,8 @@ _FOLDERS = f"""bits as (
             list_sort(list_filter(case kind when 'launcher' then ['instances'] when 'instance' then ['.minecraft', case when k % 3 = 0 then 'instance.cfg' end, case when k % 5 = 0 then 'mmc-pack.json' end, {_NAMES.format("c")}]
                 when 'game' then [{_NAMES.format("k")}] else [] end, lambda x: x is not null)) as markers from kinds)"""
 ORACLE_SQL = {
+    "classified_paths": "select doc_id, replace(path, '{n}', doc_id::varchar) as path, kind from documents join (values "
+    + ", ".join(f"({k}, '{p}', '{kind}')" for k, (p, kind) in enumerate(PATHS)) + f") p(k, path, kind) on k = doc_id % {len(PATHS)}",
     "validated_folders": f"with {_FOLDERS} select folder_id, kind, score, instances, array_to_string(markers, ',') as markers from folders",
     "added_locations": f"""with {_FOLDERS}, asked as (select case when folder_id % 17 = 0 then ' ' else '/games/' || folder_id end as path_key, 'folder ' || folder_id as name, kind, score, markers from folders where folder_id % 3 = 0),
         judged as (select *, case when trim(path_key) = '' then 'The selected path is empty.' when kind <> 'unknown' then null when len(markers) = 0 then 'No recognized Minecraft directory markers were found.'
