@@ -104,7 +104,8 @@ _SLICES = f""", spans as (
 numbered as (
     select *, unnest(range((a // 86400000)::bigint, ((case when b > a then b - 1 else a end) // 86400000)::bigint + 1)) as n from spans),
 slices as (
-    select session_id, date '1970-01-01' + n::integer as day, (least(b, (n + 1) * 86400000) - greatest(a, n * 86400000)) // 1000 as day_seconds, {_LABEL.format("run_score")} as day_label from numbered),
+    select session_id, date '1970-01-01' + n::integer as day, (least(b, (n + 1) * 86400000) - greatest(a, n * 86400000)) // 1000 as day_seconds,
+        {_LABEL.format("run_score")} as day_label from numbered),
 last_day as (
     select date '1970-01-01' + ((coalesce(run_end, start_ms) + coalesce(offset_min, 0) * 60000) // 86400000)::integer as last_day
     from runs order by coalesce(run_end, start_ms) desc, session_id limit 1),
@@ -145,12 +146,14 @@ favorite as (
 version_sums as (
     select version, sum(jrun_s)::bigint // 60 as minutes, count(*) as sessions, min(start_ms) as first_ms, max(seen_ms) as last_ms, """ + _LABEL.format("min(jscore)") + """ as label,
            '[' || coalesce(string_agg(distinct '"' || loader || '"', ',' order by '"' || loader || '"'), '') || ']' as loaders,
-           case when regexp_matches(version, '^[0-9]+(\\.[0-9]+){1,2}$') then 'release' when regexp_matches(version, '^[0-9]{2}w[0-9]{2}[a-z]+$') then 'snapshot' else 'other' end as version_class
+           case when regexp_matches(version, '^[0-9]+(\\.[0-9]+){1,2}$') then 'release' when regexp_matches(version, '^[0-9]{2}w[0-9]{2}[a-z]+$') then 'snapshot' else
+               'other' end as version_class
     from judged where trim(version) <> '' group by version),
 instance_sums as (
     select instance_id, instance_name, launcher, sum(coalesce(seconds, 0))::bigint // 60 as minutes, count(*) as sessions, max(coalesce(end_ms, start_ms)) as last_ms,
            count(*) filter (where exit_kind = 'crash') as crashes, """ + _LABEL.format("min(score)") + """ as label,
-           first(version order by start_ms desc, session_id) filter (where version <> '') as version, first(loader order by start_ms desc, session_id) filter (where loader is not null) as loader
+           first(version order by start_ms desc, session_id) filter (where version <> '') as version, first(loader order by start_ms desc, session_id) filter (where
+               loader is not null) as loader
     from visible group by 1, 2, 3),
 instance_worlds as (
     select instance_id, count(distinct nullif(trim(world), '')) as worlds from segments join visible using (session_id) where kind = 'world' group by 1),
@@ -177,7 +180,8 @@ _KIND = """(exists (select 1 from contexts c where c.session_id = v.session_id a
 _CONTEXTS = """select session_id, start_ms, instance_name, version, coalesce(k, 'menu') as kind, coalesce(d, '') as destination, coalesce(ss, '') as servers, coalesce(ws, '') as worlds
         from (select session_id, start_ms, instance_name, version from visible where {where} order by start_ms desc, session_id limit {size}) left join (
             select session_id, case when count(distinct kind) > 1 then 'mixed' else min(kind) end as k,
-                   case when count(*) filter (where kind in ('server', 'world')) > 1 then 'Multiple observed destinations' else max(name) filter (where kind in ('server', 'world')) end as d,
+                   case when count(*) filter (where kind in ('server', 'world')) > 1 then 'Multiple observed destinations' else max(name) filter (where kind in
+                       ('server', 'world')) end as d,
                    string_agg(distinct name, '|' order by lower(name), name) filter (where kind = 'server' and trim(name) <> '') as ss,
                    string_agg(distinct name, '|' order by lower(name), name) filter (where kind = 'world' and trim(name) <> '') as ws
             from (select session_id, kind, case kind when 'server' then coalesce(display_name, address) when 'world' then world end as name from segments left join servers using (server_id)) group by 1) using (session_id)"""
@@ -218,8 +222,10 @@ ORACLE_SQL = {
     "worlds": _sql("select * from world_sums", _JUDGED),
     "instance_page": _sql("""select i.instance_id, i.instance_name as name, coalesce(l.launcher_name, o.adapter_kind) as launcher, coalesce(minutes, 0) as minutes, coalesce(sessions, 0) as sessions, last_ms,
             coalesce(crashes, 0) as crashes, coalesce(worlds, 0) as worlds, version, loader, coalesce(label, 'unknown') as label, count(*) over () as total
-        from instances i join locations o on o.location_id = i.location_id left join launchers l on l.launcher_id = i.launcher_id left join (select * exclude (instance_name, launcher) from instance_sums) s using (instance_id) left join instance_worlds using (instance_id)
-        where (instance_id in (select instance_id from visible) or instance_id in (select instance_id from sources join scans using (scan_id) where state = 'completed' and current_revision is not null))
+        from instances i join locations o on o.location_id = i.location_id left join launchers l on l.launcher_id = i.launcher_id left join (select * exclude
+            (instance_name, launcher) from instance_sums) s using (instance_id) left join instance_worlds using (instance_id)
+        where (instance_id in (select instance_id from visible) or instance_id in (select instance_id from sources join scans using (scan_id) where state = 'completed'
+            and current_revision is not null))
             and exists (select 1 from scans where state = 'completed')
         order by coalesce(minutes, 0) desc, last_ms desc nulls last, lower(i.instance_name), instance_id limit 500""", _JUDGED),
     "server_page": _sql("""select server_id, name, minutes, sessions, last_ms, label, favorite_version, count(*) over () as total from server_sums left join favorite using (server_id)
@@ -229,7 +235,8 @@ ORACLE_SQL = {
     "filtered_sessions": _sql(f"select session_id, start_ms, seconds, label from visible v where label = 'high' and {_KIND.format('world')}", _JUDGED),
     "filter_totals": _sql(f"""select n as sessions, m as minutes, format('{{:,}}', n) || case when n = 1 then ' session' else ' sessions' end as sessions_text,
             case when m < 60 then m || 'm' else format('{{:,}}', m // 60) || ' h' || case when m % 60 > 0 then ' ' || (m % 60) || ' min' else '' end end as minutes_text
-        from (select count(*) as n, coalesce(sum(seconds), 0)::bigint // 60 as m from visible v where {_KIND.format('server')} and (contains(lower(instance_name), 'fabric') or contains(lower(launcher), 'fabric')
+        from (select count(*) as n, coalesce(sum(seconds), 0)::bigint // 60 as m from visible v where {_KIND.format('server')} and (contains(lower(instance_name),
+            'fabric') or contains(lower(launcher), 'fabric')
             or contains(lower(version), 'fabric') or coalesce(contains(lower(loader), 'fabric'), false) or exists (select 1 from contexts c where c.session_id = v.session_id and contains(lower(c.name), 'fabric'))))""", _JUDGED),
     "world_page": _sql("select instance_id, world, last_ms, (select count(*) from world_sums) as total from world_sums order by last_ms desc, instance_id, world limit 500", _JUDGED),
     "servers": _sql("select s.*, favorite_version from server_sums s left join favorite using (server_id)", _JUDGED),

@@ -244,7 +244,8 @@ protected as (
 
 
 _REVISIONS = """revisions as (
-        select o_orderkey as revision_id, o_custkey as path_id, row_number() over (partition by o_custkey order by o_orderkey) as generation, case when o_orderkey % 3 = 0 then 'replaced' else 'appended' end as change_kind from orders),
+        select o_orderkey as revision_id, o_custkey as path_id, row_number() over (partition by o_custkey order by o_orderkey) as generation, case when o_orderkey % 3 =
+            0 then 'replaced' else 'appended' end as change_kind from orders),
         evidence as (select l_orderkey * 10 + l_linenumber as evidence_id, l_orderkey as revision_id, l_linenumber, l_partkey, l_suppkey from lineitem),
         links as (select revision_id % 503 as session_id, evidence_id from evidence union select l_partkey % 503, evidence_id from evidence where l_linenumber = 1),
         sources as (select o_orderkey % 503 as session_id, o_orderkey as revision_id from orders)"""
@@ -257,22 +258,28 @@ def _sql(select: str, *parts: str) -> str:
 _WEIGHTS = " + ".join(f"(({{0}} >> {k}) & 1) * {w}" for k, w in enumerate(ingest.GAME_MARKERS.values()))
 _NAMES = ", ".join(f"case when ({{0}} >> {k}) & 1 = 1 then '{name}' end" for k, name in enumerate(ingest.GAME_MARKERS))
 _FOLDERS = f"""bits as (
-        select c_custkey as k, c_custkey * 7 % 128 as c, least(100, {_WEIGHTS.format("c_custkey")}) as g, bit_count(c_custkey & 127) as n, least(100, {_WEIGHTS.format("(c_custkey * 7 % 128)")}) as cg,
-               least(100, case when c_custkey % 11 = 0 then 25 else 0 end + 30 * (c_custkey % 3) + case when c_custkey % 7 > 0 then 25 + 5 * least(c_custkey % 7, 4) else 0 end) as l from customer),
-        kinds as (select *, case when k % 11 = 0 and (k % 3 > 0 or k % 7 > 0) then 'launcher' when k % 4 = 0 and bit_count(c) >= 2 and cg >= 30 then 'instance' when n >= 2 and g >= 30 then 'game' else 'unknown' end as kind from bits),
+        select c_custkey as k, c_custkey * 7 % 128 as c, least(100, {_WEIGHTS.format("c_custkey")}) as g, bit_count(c_custkey & 127) as n, least(100,
+            {_WEIGHTS.format("(c_custkey * 7 % 128)")}) as cg,
+               least(100, case when c_custkey % 11 = 0 then 25 else 0 end + 30 * (c_custkey % 3) + case when c_custkey % 7 > 0 then 25 + 5 * least(c_custkey % 7, 4) else
+                   0 end) as l from customer),
+        kinds as (select *, case when k % 11 = 0 and (k % 3 > 0 or k % 7 > 0) then 'launcher' when k % 4 = 0 and bit_count(c) >= 2 and cg >= 30 then 'instance' when n >=
+            2 and g >= 30 then 'game' else 'unknown' end as kind from bits),
         folders as (select k as folder_id, kind, (case kind when 'launcher' then l when 'instance' then least(100, cg + 10) when 'game' then g else 0 end)::integer as score,
             (case kind when 'launcher' then k % 7 when 'unknown' then 0 else 1 end)::bigint as instances,
-            list_sort(list_filter(case kind when 'launcher' then ['instances'] when 'instance' then ['.minecraft', case when k % 3 = 0 then 'instance.cfg' end, case when k % 5 = 0 then 'mmc-pack.json' end, {_NAMES.format("c")}]
+            list_sort(list_filter(case kind when 'launcher' then ['instances'] when 'instance' then ['.minecraft', case when k % 3 = 0 then 'instance.cfg' end, case when
+                k % 5 = 0 then 'mmc-pack.json' end, {_NAMES.format("c")}]
                 when 'game' then [{_NAMES.format("k")}] else [] end, lambda x: x is not null)) as markers from kinds)"""
 ORACLE_SQL = {
     "classified_paths": "select doc_id, replace(path, '{n}', doc_id::varchar) as path, kind from documents join (values "
     + ", ".join(f"({k}, '{p}', '{kind}')" for k, (p, kind) in enumerate(PATHS)) + f") p(k, path, kind) on k = doc_id % {len(PATHS)}",
     "validated_folders": f"with {_FOLDERS} select folder_id, kind, score, instances, array_to_string(markers, ',') as markers from folders",
     "added_locations": f"""with {_FOLDERS}, asked as (select case when folder_id % 17 = 0 then ' ' else '/games/' || folder_id end as path_key, 'folder ' || folder_id as name, kind, score, markers from folders where folder_id % 3 = 0),
-        judged as (select *, case when trim(path_key) = '' then 'The selected path is empty.' when kind <> 'unknown' then null when len(markers) = 0 then 'No recognized Minecraft directory markers were found.'
+        judged as (select *, case when trim(path_key) = '' then 'The selected path is empty.' when kind <> 'unknown' then null when len(markers) = 0 then
+            'No recognized Minecraft directory markers were found.'
             else 'Only these markers were found: ' || array_to_string(markers, ', ') || '.' end as reason from asked),
         saved as (select '/games/' || c_custkey as path_key, 'saved' as name, 'game' as kind, 1 as score from customer where c_custkey % 4 = 0)
-        select coalesce(a.path_key, s.path_key) as path_key, coalesce(a.name, s.name) as name, coalesce(a.kind, s.kind) as kind, coalesce(a.score, s.score)::integer as score, null as reason
+        select coalesce(a.path_key, s.path_key) as path_key, coalesce(a.name, s.name) as name, coalesce(a.kind, s.kind) as kind, coalesce(a.score, s.score)::integer as
+            score, null as reason
             from (select * from judged where reason is null) a full join saved s on s.path_key = a.path_key
         union all select path_key, null, null, case when trim(path_key) = '' then 0 else score end, reason from judged where reason is not null""",
     "newest_run": """with r as (select c_custkey as id, (['running', 'completed', 'failed', 'queued'])[c_custkey % 4 + 1] as state, c_custkey % 50 as requested, case when c_custkey % 3 > 0 then c_custkey % 60 end as finished from customer),
@@ -299,27 +306,36 @@ ORACLE_SQL = {
         count(*) filter (where decision = 'replaced') = 0 and coalesce(any_value(n), 0) = 0 as replace_all
         from decided left join (select instance_id, count(*) as n from missing group by 1) using (instance_id) group by 1""", _MISSING),
     "scan_budgets": """with f as (
-            select case when doc_id % 5 = 0 then doc_id // 60 * 5 else doc_id // 12 end as instance_id, doc_id as k, doc_id % 41 <> 7 as ok, length(text) as bytes, length(text) % 997 as events, doc_id % 521 as ld, doc_id % 260 as lv from documents),
-        c as (select *, count(*) over (partition by instance_id) as files, sum(case when ok then bytes else 0 end) over w as rb, sum(case when ok then events else 0 end) over w as re from f window w as (partition by instance_id order by k)),
-        b as (select *, case when ok then case when ld > 512 then 'destination bytes' when lv > 256 then 'version bytes' when rb > 45000 then 'bytes' when re > 5000 then 'events' end end as broken from c where files <= 18),
+            select case when doc_id % 5 = 0 then doc_id // 60 * 5 else doc_id // 12 end as instance_id, doc_id as k, doc_id % 41 <> 7 as ok, length(text) as bytes,
+                length(text) % 997 as events, doc_id % 521 as ld, doc_id % 260 as lv from documents),
+        c as (select *, count(*) over (partition by instance_id) as files, sum(case when ok then bytes else 0 end) over w as rb, sum(case when ok then events else 0 end)
+            over w as re from f window w as (partition by instance_id order by k)),
+        b as (select *, case when ok then case when ld > 512 then 'destination bytes' when lv > 256 then 'version bytes' when rb > 45000 then 'bytes' when re > 5000 then
+            'events' end end as broken from c where files <= 18),
         r as (select *, count(broken) over (partition by instance_id order by k rows between unbounded preceding and 1 preceding) as earlier from b),
-        p as (select instance_id, count(*) as logs, sum(case when ok then bytes else 20000 end) as bytes, sum(case when ok then events else 900 end) as events, max(broken) as broken, bool_and(ok) as whole from r where earlier = 0 group by 1),
+        p as (select instance_id, count(*) as logs, sum(case when ok then bytes else 20000 end) as bytes, sum(case when ok then events else 900 end) as events,
+            max(broken) as broken, bool_and(ok) as whole from r where earlier = 0 group by 1),
         s as (select instance_id, count(*) as sessions, sum(k % 59) as contexts, max(k % 59) as d, max(k % 67) as v, max(bytes) as l from f group by 1),
         j as (select instance_id, coalesce(logs, 0) as logs, coalesce(p.bytes, 0) as bytes, coalesce(p.events, 0) as events, sessions, contexts,
-                     case when whole is null or broken is not null then 'instance_limit' when not whole then 'failed_parse' when sessions > 16 or d > 57 or v > 64 or l > 9000 then 'session_limit' else 'taken' end as status,
-                     case when whole is null then 'logs' when broken is not null then broken when whole then case when sessions > 16 then 'sessions' when d > 57 then 'destinations' when v > 64 then 'versions' when l > 9000 then 'links' end end as resource
+                     case when whole is null or broken is not null then 'instance_limit' when not whole then 'failed_parse' when sessions > 16 or d > 57 or v > 64 or l >
+                         9000 then 'session_limit' else 'taken' end as status,
+                     case when whole is null then 'logs' when broken is not null then broken when whole then case when sessions > 16 then 'sessions' when d > 57 then
+                         'destinations' when v > 64 then 'versions' when l > 9000 then 'links' end end as resource
               from s left join p using (instance_id)),
         t as (select *, sum(logs) over w as al, sum(bytes) over w as ab, sum(events) over w as ae, sum(case when status = 'taken' then sessions else 0 end) over w as ss,
                      sum(case when status = 'taken' then contexts else 0 end) over w as ac from j window w as (order by instance_id)),
-        o as (select *, case when al > 520 then 'logs' when ab > 2600000 then 'bytes' when ae > 200000 then 'events' when ss > 400 then 'sessions' when ac > 9000 then 'contexts' end as over from t),
+        o as (select *, case when al > 520 then 'logs' when ab > 2600000 then 'bytes' when ae > 200000 then 'events' when ss > 400 then 'sessions' when ac > 9000 then
+            'contexts' end as over from t),
         e as (select min(instance_id) as e from o where over is not null)
         select instance_id, case when instance_id = e then 'scan_limit' when instance_id > e then 'deferred' else status end as status,
                case when instance_id = e then over when instance_id > e then null else resource end as resource from o, e""",
     "reconcile_rotation": f"""with {_REVISIONS}, last as (select path_id, max(generation) as g from revisions where change_kind = 'replaced' group by 1),
         gone as (select distinct s.session_id, s.revision_id from sources s join revisions r using (revision_id) join last l on l.path_id = r.path_id and r.generation < l.g
                  where exists (select 1 from sources i where i.session_id = s.session_id and i.revision_id % 5 = 0 and i.revision_id <> s.revision_id)),
-        left_links as (select * from links l where not exists (select 1 from evidence e join gone g using (revision_id) where e.evidence_id = l.evidence_id and g.session_id = l.session_id))
-        select 'source' as part, session_id as a, revision_id as b from sources s where not exists (select 1 from gone g where g.session_id = s.session_id and g.revision_id = s.revision_id)
+        left_links as (select * from links l where not exists (select 1 from evidence e join gone g using (revision_id) where e.evidence_id = l.evidence_id and
+            g.session_id = l.session_id))
+        select 'source' as part, session_id as a, revision_id as b from sources s where not exists (select 1 from gone g where g.session_id = s.session_id and
+            g.revision_id = s.revision_id)
         union all select 'link', session_id, evidence_id from left_links
         union all select 'evidence', evidence_id, revision_id from evidence where revision_id not in (select revision_id from gone) or evidence_id in (select evidence_id from left_links)""",
     "cascade_deletes": f"""with {_REVISIONS}, left_links as (select * from links where session_id % 13 <> 0),
@@ -330,8 +346,10 @@ ORACLE_SQL = {
         union all select 'session_sources', count(*), sum(revision_id)::bigint from sources where session_id % 13 <> 0
         union all select 'session_evidence', count(*), sum(evidence_id)::bigint from left_links
         union all select 'segments', count(*), sum(server_id)::bigint from left_segments
-        union all select 'evidence', count(*), sum(evidence_id)::bigint from evidence where revision_id not in (select revision_id from touched) or evidence_id in (select evidence_id from left_links)
-        union all select 'servers', count(*), sum(s_suppkey)::bigint from supplier where s_suppkey not in (select server_id from segments where session_id % 13 = 0 and server_id is not null)
+        union all select 'evidence', count(*), sum(evidence_id)::bigint from evidence where revision_id not in (select revision_id from touched) or evidence_id in
+            (select evidence_id from left_links)
+        union all select 'servers', count(*), sum(s_suppkey)::bigint from supplier where s_suppkey not in (select server_id from segments where session_id % 13 = 0 and
+            server_id is not null)
             or s_suppkey in (select server_id from left_segments where server_id is not null)""",
     "budget_cut": _sql("""select instance_id, files, bytes, fits, fits and used <= 1000000 as taken from (
         select *, sum(case when fits then bytes else 0 end) over (order by instance_id) as used from (
@@ -339,13 +357,15 @@ ORACLE_SQL = {
     "complete_instances": _sql("select instance_id from files group by 1 having count(*) filter (where file_id % 97 = 5) = 0"),
     "protected_sessions": _sql("select session_id from protected", _MISSING),
     "promote": _sql("""select distinct session_id from links where session_id not in (
-            select session_id from links where file_id in (select file_id from decided where decision in ('appended', 'reparse', 'unchanged')) and session_id not in (select session_id from protected))
+            select session_id from links where file_id in (select file_id from decided where decision in ('appended', 'reparse', 'unchanged')) and session_id not in
+                (select session_id from protected))
         union select file_id + 1000 from decided where decision = 'new'""", _MISSING),
     "upsert_servers": """select coalesce(n.k, o.k) as server_id, coalesce(n.d, o.d) as display_name, least(n.f, o.f) as first_ms, greatest(n.l, o.l) as last_ms
         from (select s_suppkey as k, case when s_suppkey % 4 <> 0 then s_name end as d, s_suppkey * 10 as f, s_suppkey * 20 as l from supplier where s_suppkey % 2 = 0) o
         full join (select s_suppkey as k, case when s_suppkey % 2 = 0 then 'seen' end as d, s_suppkey * 10 - 5 as f, s_suppkey * 20 - 5 as l from supplier where s_suppkey % 3 = 0) n on n.k = o.k""",
     "validation_score": """select c_custkey as folder_id, score, n >= 2 and score >= 30 as supported, root_score, c_custkey % 2 = 0 and (c_custkey % 3 > 0 or c_custkey % 7 > 0) as root_supported from (
-        select c_custkey, least(100, (c_custkey & 1) * 25 + ((c_custkey >> 1) & 1) * 18 + ((c_custkey >> 2) & 1) * 12 + ((c_custkey >> 3) & 1) * 18 + ((c_custkey >> 4) & 1) * 15 + ((c_custkey >> 5) & 1) * 8 + ((c_custkey >> 6) & 1) * 8)::integer as score,
+        select c_custkey, least(100, (c_custkey & 1) * 25 + ((c_custkey >> 1) & 1) * 18 + ((c_custkey >> 2) & 1) * 12 + ((c_custkey >> 3) & 1) * 18 + ((c_custkey >> 4) &
+            1) * 15 + ((c_custkey >> 5) & 1) * 8 + ((c_custkey >> 6) & 1) * 8)::integer as score,
                bit_count(c_custkey & 127) as n, least(100, case when c_custkey % 2 = 0 then 25 else 0 end + 30 * (c_custkey % 3) + case when c_custkey % 7 > 0 then 25 + 5 * least(c_custkey % 7, 4) else 0 end)::integer as root_score from customer)""",
     "discover_overlay": """select coalesce(f.k, s.k) as path_key, case when f.k is null then false else coalesce(s.k % 4 = 0, true) end as enabled, (coalesce(f.k, s.k) % 101)::integer as score, f.k is not null as available
         from (select c_custkey as k from customer where c_custkey % 3 <> 0) f full join (select c_custkey as k from customer where c_custkey % 2 = 0) s on f.k = s.k""",

@@ -94,8 +94,10 @@ stamped as (
                 when prefix like '__:__:__' and prefix <> '99:99:99' then epoch_ms(('1970-01-01 ' || prefix)::timestamp) end as clock from parsed),
 typed as (
     select source_id, line_number, low, body, case
-        when contains(low, 'loading minecraft ') then [struct_pack(kind := 'start', detail := null::varchar, score := 94), struct_pack(kind := 'version', detail := regexp_replace(regexp_extract(body, '(?i)loading minecraft (\S+)', 1), ',$', ''), score := 98)]
-        when contains(low, 'connecting to ') then [struct_pack(kind := 'server', detail := regexp_replace(regexp_extract(body, '(?i)connecting to (.*)$', 1), ', ', ':'), score := 95)]
+        when contains(low, 'loading minecraft ') then [struct_pack(kind := 'start', detail := null::varchar, score := 94), struct_pack(kind := 'version', detail :=
+            regexp_replace(regexp_extract(body, '(?i)loading minecraft (\S+)', 1), ',$', ''), score := 98)]
+        when contains(low, 'connecting to ') then [struct_pack(kind := 'server', detail := regexp_replace(regexp_extract(body, '(?i)connecting to (.*)$', 1), ', ', ':'),
+            score := 95)]
         when contains(low, 'preparing level ') then [struct_pack(kind := 'world', detail := regexp_extract(body, '"(.*)"', 1), score := 94)]
         when low = 'stopping!' then [struct_pack(kind := 'stopping', detail := null::varchar, score := 96)]
         when low = 'stopping worker threads' then [struct_pack(kind := 'clean_shutdown', detail := null::varchar, score := 94)]
@@ -123,7 +125,8 @@ ORACLE_SQL = {
     "log_timestamp": _sql("""select source_id, line_number, case when full_ms is not null then full_ms when clock is not null then epoch_ms(date_hint) + clock end as local_ms,
         case when full_ms is not null then 'line_datetime' when clock is null then 'missing' else 'line_time_with_date_hint' end as origin from stamped""", _PARSED),
     "log_rollover": _sql("""select source_id, line_number, day_index, day_index * 86400000 + c as sequence_ms,
-            ((source_order + 1 - case when last_c - 39600000 > 43200000 then 1 else 0 end) - max(day_index) over (partition by source_id) + day_index) * 86400000 + c as local_ms from (
+            ((source_order + 1 - case when last_c - 39600000 > 43200000 then 1 else 0 end) - max(day_index) over (partition by source_id) + day_index) * 86400000 + c as
+                local_ms from (
         select *, last_value(c) over (partition by source_id order by line_number rows between unbounded preceding and unbounded following) as last_c,
                (sum(case when p - c > 43200000 then 1 else 0 end) over (partition by source_id order by line_number))::bigint as day_index from (
             select *, lag(c) over (partition by source_id order by line_number) as p from (select *, (clock + 43200000) % 86400000 as c from stamped where clock is not null and full_ms is null)))""", _PARSED),
@@ -136,16 +139,20 @@ ORACLE_SQL = {
     "dedupe_overlap": _sql("select source_id, line_number, event_order, kind from marked where not repeated", _PARSED, _EVENTS, REPEATS_SQL),
     "reconstruct": _sql("select instance_id, start_ms, end_ms, seconds, start_kind, end_kind, exit_kind, score from found", _PARSED, _EVENTS, REPEATS_SQL, ",", FOLD_SQL),
     "session_rows": _sql("""select left(sha256(concat_ws('|', strlen(id) || ':' || id, strlen(s) || ':' || s, strlen(e) || ':' || e, strlen(v) || ':' || v, strlen(p) || ':' || p)), 32) as session_key, instance_id, start_ms,
-            case when end_kind <> 'truncated' and seconds <= 2678400 then end_ms end as end_ms, case when end_kind <> 'truncated' and seconds <= 2678400 then seconds end as seconds,
-            case when seconds > 2678400 then 'unknown' else exit_kind end as exit_kind, score, case when score >= 80 then 'verified' when score >= 55 then 'high' when score >= 30 then 'partial' else 'unknown' end as label,
+            case when end_kind <> 'truncated' and seconds <= 2678400 then end_ms end as end_ms, case when end_kind <> 'truncated' and seconds <= 2678400 then seconds end
+                as seconds,
+            case when seconds > 2678400 then 'unknown' else exit_kind end as exit_kind, score, case when score >= 80 then 'verified' when score >= 55 then 'high' when
+                score >= 30 then 'partial' else 'unknown' end as label,
             versions[-1] as version, 'UTC+00:00' as offset_label
         from (select *, instance_id::varchar as id, start_ms::varchar as s, end_ms::varchar as e, array_to_string(versions, ',') as v, array_to_string(places, ',') as p,
                      if(seconds > 2678400, least(raw, 54), raw) as score from (select * rename (score as raw) from found))""", _PARSED, _EVENTS, _UNMARKED, FOLD_SQL),
     "segments": _sql("""select instance_id, start_ms, place - 1 as place, split_part(to_, ':', 1) as kind, coalesce(nullif(substr(to_, instr(to_, ':') + 1), ''), 'Local world') as name
         from (select instance_id, start_ms, unnest(places) as to_, unnest(range(1, len(places) + 1))::integer as place from found)""", _PARSED, _EVENTS, _UNMARKED, FOLD_SQL),
     "session_confidence": """select o_orderkey as session_id, end_kind, greatest(0, least(
-            case when o_orderkey % 2 = 0 then 72 else 52 end + bonus + case when o_orderkey % 3 = 0 then 4 else 0 end + case when o_orderkey % 5 < 3 then 4 else 0 end - case when o_orderkey % 7 = 0 then 20 else 0 end,
+            case when o_orderkey % 2 = 0 then 72 else 52 end + bonus + case when o_orderkey % 3 = 0 then 4 else 0 end + case when o_orderkey % 5 < 3 then 4 else 0 end -
+                case when o_orderkey % 7 = 0 then 20 else 0 end,
             most, case when o_orderkey % 2 = 0 then 100 else 79 end, case when o_orderkey % 7 = 0 then 54 else 100 end))::integer as score
-        from orders join (values (0, 'clean_shutdown', 20, 100), (1, 'client_stopping', 16, 100), (2, 'crash', 18, 100), (3, 'source_end_hint', 5, 69), (4, 'next_start', 0, 54), (5, 'truncated', -4, 54)) e(k, end_kind, bonus, most)
+        from orders join (values (0, 'clean_shutdown', 20, 100), (1, 'client_stopping', 16, 100), (2, 'crash', 18, 100), (3, 'source_end_hint', 5, 69), (4, 'next_start',
+            0, 54), (5, 'truncated', -4, 54)) e(k, end_kind, bonus, most)
             on k = o_orderkey % 6""",
 }

@@ -90,7 +90,8 @@ w as (
 b as (select distinct p_partkey % 5 as instance_id, '2026 ' || p_brand || case when p_partkey % 2 = 0 then '-1.zip' else '.zip' end as backup from part where p_partkey % 11 = 0),
 bn as (select *, regexp_replace(lower(backup), '[^a-z0-9]', '', 'g') as b_norm from b),
 worlds as (
-    select w.instance_id, name, availability, played, count(backup) as backups from w left join bn on (availability = 'missing' or bn.instance_id = w.instance_id) and contains(b_norm, norm) group by 1, 2, 3, 4
+    select w.instance_id, name, availability, played, count(backup) as backups from w left join bn on (availability = 'missing' or bn.instance_id = w.instance_id) and
+        contains(b_norm, norm) group by 1, 2, 3, 4
     union all select instance_id, backup, 'backup_only', false, 1 from bn where not exists (select 1 from w where (availability = 'missing' or w.instance_id = bn.instance_id) and contains(b_norm, norm)))"""
 _TABLE = ", ".join(f"('{section}', {place}, '{key}', '{name}', '{unit}')" for section, entries in profile.SHOWN.items() for place, (key, name, unit) in enumerate(entries))
 _OWN = f"""shown(section, place, key, label, unit) as (values {_TABLE}),

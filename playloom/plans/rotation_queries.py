@@ -93,7 +93,8 @@ ORACLE_SQL = {
     "rotated_diag": _sql("""select source_id, count(*) as lines, coalesce(sum(n_events), 0)::bigint as events, count(*) filter (where bad_stamp) as unparsed, count(*) filter (where rolled) as rollovers,
             count(*) filter (where before > clock and not rolled and (full_ms is null or full_ms // 86400000 * 86400000 = day_before)) as non_monotonic,
             count(*) filter (where clock is null) as untimed, count(*) filter (where malformed) as malformed,
-            count(*) filter (where bad_stamp or clock is null or malformed or (before > clock and not rolled and (full_ms is null or full_ms // 86400000 * 86400000 = day_before))) > 0 as warns, false as failed
+            count(*) filter (where bad_stamp or clock is null or malformed or (before > clock and not rolled and (full_ms is null or full_ms // 86400000 * 86400000 =
+                day_before))) > 0 as warns, false as failed
         from rotated left join (select phrase, count(*) as n_events from says group by phrase) using (phrase) group by source_id""", ROTATED_SQL),
     "file_lines": _sql("""select replace(source_id, '/', '_') as source, line_number, (sum(strlen(value) + 1) over w - strlen(value) - 1)::bigint as byte_start, (sum(strlen(value) + 1) over w)::bigint as byte_end,
             value, false as malformed from texts window w as (partition by source_id order by line_number)""", ROTATED_SQL, TEXTS_SQL),
@@ -105,7 +106,8 @@ ORACLE_SQL = {
     "reconstruct_diag": _sql("""select instance_id, coalesce(repeated, 0)::bigint as repeated, coalesce(orphan_ends, 0)::bigint as orphan_ends, coalesce(orphan_activity, 0)::bigint as orphan_activity,
             coalesce(untimed_starts, 0)::bigint as untimed_starts, (coalesce(fell_back, 0) + coalesce(turned, 0))::bigint as non_monotonic, coalesce(zero, 0)::bigint as zero_length
         from (select instance_id, count(*) filter (where repeated) as repeated from marked group by 1)
-        left join (select instance_id, sum(orphan_ends) as orphan_ends, sum(orphan_activity) as orphan_activity, sum(untimed_starts) as untimed_starts, sum(fell_back) as fell_back from fold group by 1) using (instance_id)
+        left join (select instance_id, sum(orphan_ends) as orphan_ends, sum(orphan_activity) as orphan_activity, sum(untimed_starts) as untimed_starts, sum(fell_back) as
+            fell_back from fold group by 1) using (instance_id)
         left join (select instance_id, sum(turned) as turned, count(*) filter (where seconds = 0) as zero from found group by 1) using (instance_id)""", *_ALL),
     "evidence_rows": _sql("""select left(sha256(source_id || '|' || line_number || '|' || event_order || '|' || kind), 32) as evidence_id, source_id, line_number, event_order, kind, score,
             strftime(make_timestamp_ms(local_ms), '%Y-%m-%dT%H:%M:%S.%g') as observed_local,

@@ -109,7 +109,8 @@ sessions0 as (
     select o_orderkey as session_id, o_custkey as instance_id, epoch_ms(o_orderdate) + o_orderkey % 86400 * 1000 as start_ms,
            case when o_orderkey % 11 <> 0 then coalesce(length, 0) end as seconds,
            case o_orderstatus when 'F' then 'clean' when 'O' then 'crash' else 'unknown' end as exit_kind, (o_orderkey * 37 % 101)::integer as score,
-           case o_orderpriority when '1-URGENT' then '1.20.1' when '2-HIGH' then '1.21' when '3-MEDIUM' then '24w14a' when '4-NOT SPECIFIED' then '1.21-pre1' else '' end as version,
+           case o_orderpriority when '1-URGENT' then '1.20.1' when '2-HIGH' then '1.21' when '3-MEDIUM' then '24w14a' when '4-NOT SPECIFIED' then '1.21-pre1' else '' end
+               as version,
            case o_orderkey % 3 when 0 then 'fabric' when 1 then 'forge' end as loader,
            (case when o_orderkey % 17 <> 0 then (o_custkey % 27 - 13) * 60 end)::integer as offset_min
     from orders left join lengths on l_orderkey = o_orderkey),
@@ -120,15 +121,18 @@ sessions as (
 servers as (
     select s_suppkey as server_id, lower(s_name) as address, case when s_suppkey % 3 = 0 then null when s_suppkey % 7 = 0 then '' else s_name end as display_name from supplier),
 segments as (
-    select l_orderkey as session_id, case when l_returnflag = 'R' then 'server' when l_returnflag = 'A' then 'world' when l_linenumber % 2 = 1 then 'menu' else 'unknown' end as kind,
+    select l_orderkey as session_id, case when l_returnflag = 'R' then 'server' when l_returnflag = 'A' then 'world' when l_linenumber % 2 = 1 then 'menu' else 'unknown'
+        end as kind,
            case when l_returnflag = 'R' then l_suppkey end as server_id,
            case when l_returnflag = 'A' then case when l_partkey % 50 = 0 then '' else p_brand end end as world, ((l_linenumber * 29 + l_partkey) % 101)::integer as segment_score
     from lineitem left join part on p_partkey = l_partkey),
 scans as (select r_regionkey as scan_id, case when r_regionkey % 2 = 0 then 'completed' else 'failed' end as state from region),
 sources as (select c_custkey as instance_id, c_custkey % 5 as scan_id, case when c_custkey % 7 <> 0 then c_custkey end as current_revision from customer where c_custkey % 4 < 3),
 visible as (
-    select s.*, i.instance_name, i.location_id, i.launcher_id, coalesce(l.launcher_name, case o.adapter_kind when 'official' then 'Official launcher' when 'prism' then 'Prism Launcher' when 'multimc' then 'MultiMC' else 'Manual folder' end) as launcher,
-           coalesce(seconds > 2678400, false) or coalesce(end_ms < start_ms, false) or coalesce(end_ms - start_ms > 2678400000, false) or coalesce(abs(end_ms - start_ms - seconds * 1000) >= 1000, false) as wrong,
+    select s.*, i.instance_name, i.location_id, i.launcher_id, coalesce(l.launcher_name, case o.adapter_kind when 'official' then 'Official launcher' when 'prism' then
+        'Prism Launcher' when 'multimc' then 'MultiMC' else 'Manual folder' end) as launcher,
+           coalesce(seconds > 2678400, false) or coalesce(end_ms < start_ms, false) or coalesce(end_ms - start_ms > 2678400000, false) or coalesce(abs(end_ms - start_ms
+               - seconds * 1000) >= 1000, false) as wrong,
            date '1970-01-01' + floor((start_ms + coalesce(offset_min, 0) * 60000) / 86400000.0)::integer as local_day
     from sessions s join instances i using (instance_id) join locations o on o.location_id = i.location_id left join launchers l on l.launcher_id = i.launcher_id
     where session_id % 19 <> 0),

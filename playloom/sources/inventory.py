@@ -82,15 +82,18 @@ def rotations(rows: DataFrame) -> DataFrame:
 FILES_SQL = r"""
 files as (
     select doc_id as file_id, source as instance_id, text, strlen(text) as size, 1700000000000 + doc_id * 1000 as mtime_ms,
-           case when doc_id % 3 = 0 then '' else 'instances/' || source || '/' end || case when doc_id % 10 = 9 then 'stats' when doc_id % 10 = 8 then 'saves' else 'logs' end || '/' ||
+           case when doc_id % 3 = 0 then '' else 'instances/' || source || '/' end || case when doc_id % 10 = 9 then 'stats' when doc_id % 10 = 8 then 'saves' else
+               'logs' end || '/' ||
            case when doc_id % 10 = 0 then 'latest.log' when doc_id % 10 < 5 then '2026-08-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') || '-' || (doc_id % 12 + 1) || '.log.gz'
                 when doc_id % 10 < 8 then 'debug-' || doc_id || '.LOG' when doc_id % 10 = 8 then 'level.dat' else doc_id || '.json' end as path
     from documents),
 cur as (select *, sha256(text) as hash from files where file_id % 7 <> 6),
 prior as (
-    select file_id, instance_id as prior_instance, before, strlen(before) as prior_size, file_id % 11 <> 0 as parsed_ok, case when file_id % 5 = 4 then 2 else 3 end as revision, file_id % 3 + 1 as generation
+    select file_id, instance_id as prior_instance, before, strlen(before) as prior_size, file_id % 11 <> 0 as parsed_ok, case when file_id % 5 = 4 then 2 else 3 end as
+        revision, file_id % 3 + 1 as generation
     from (select *, case file_id % 5 when 1 then left(text, (length(text) // 2)::integer) when 2 then 'old ' || text else text end as before from files where file_id % 5 <> 3)),
 decided as (
-    select c.file_id, c.instance_id, c.path, c.size, c.text, c.hash, case when p.file_id is null then 'new' when not parsed_ok or revision <> 3 then 'reparse' when size = prior_size and text = before then 'unchanged'
+    select c.file_id, c.instance_id, c.path, c.size, c.text, c.hash, case when p.file_id is null then 'new' when not parsed_ok or revision <> 3 then 'reparse' when size
+        = prior_size and text = before then 'unchanged'
            when size > prior_size and starts_with(text, before) then 'appended' else 'replaced' end as decision, coalesce(p.generation, 0) as generation
     from cur c left join prior p using (file_id))"""

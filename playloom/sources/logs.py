@@ -99,7 +99,8 @@ messages as (
 lines as (
     select user_id as instance_id, user_id || '/' || day as source_id, (day - date '1970-01-01')::integer as source_order, day as date_hint,
            row_number() over (partition by user_id, day order by ts, event_id) as line_number,
-           case when event_id % 59 = 0 then '' else '[' || case when event_id % 47 = 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when event_id % 53 = 0 then '99:99:99' else strftime(ts, '%H:%M:%S') end || '] [Render thread/INFO]: ' end ||
+           case when event_id % 59 = 0 then '' else '[' || case when event_id % 47 = 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') when event_id % 53 = 0 then '99:99:99' else
+               strftime(ts, '%H:%M:%S') end || '] [Render thread/INFO]: ' end ||
            case event_type when 'signup' then 'Loading Minecraft 1.' || (k % 6 + 16) || '.1, please wait' when 'view' then 'Connecting to S' || (k % 7) || '.Example.net, 25565'
                 when 'click' then 'Preparing level "World ' || (k % 9) || '"' when 'purchase' then case when k % 2 = 0 then 'Stopping!' else 'Stopping worker threads' end
                 else case when k % 3 = 0 then 'Unreported exception thrown!' else 'Disconnected from server' end end as value

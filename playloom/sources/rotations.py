@@ -115,7 +115,8 @@ rolls as (
 timed as (
     select *, base + sum(rolled::integer) over (partition by user_id, day, run order by line_number) * 86400000 as day_ms from rolls),
 rotated as (
-    select user_id as instance_id, user_id || '/' || day || suffix as source_id, user_id || '/' || day as content_hash, (day - date '1970-01-01')::integer as source_order, line_number,
+    select user_id as instance_id, user_id || '/' || day || suffix as source_id, user_id || '/' || day as content_hash, (day - date '1970-01-01')::integer as
+        source_order, line_number,
            (event_id % 25)::integer as phrase, n, event_id, full_ms, clock, before, rolled, (day_ms + clock)::bigint as local_ms,
            lag(day_ms) over (partition by user_id, day, suffix order by line_number) as day_before, event_id % 53 = 0 as bad_stamp, event_id % 61 = 0 as malformed
     from timed, (values (''), ('-copy')) c(suffix) where suffix = '' or user_id % 5 = 0),
