@@ -225,6 +225,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+words.remembers("bpe", _codecs.clear)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -254,7 +255,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             for part in _parts(batch):
                 ids = [[int(x) for x in ",".join(segments).split(",") if x] for segments in own.encode(_texts(part))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-        words.release()
+        words.release("bpe")
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -276,7 +277,7 @@ def annotate(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-        words.release()
+        words.release("bpe")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -139,6 +139,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what other operators left in this worker
         seen: set[int] = set()
         names = ["doc_id", "n_shingles", "class", "bits", "token", "n"]
         for batch in batches:

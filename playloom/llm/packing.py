@@ -118,6 +118,7 @@ def _same_ranks(path: str) -> tiktoken.Encoding | None:
 
 
 _encoders: dict[str, Encoder] = {}
+words.remembers("packing", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -156,7 +157,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                         rows.append((piece, start, length, zlib.crc32(part), memoryview(part).cast("I").tolist() if with_ids else None))
                 columns = [pa.array([r[k] for r in rows], types[k]) for k in range(len(names) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], names=names)
-        words.release()
+        words.release("packing")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{', ids array<int>' if with_ids else ''}")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from playloom.llm.columns import fresh
-from playloom.llm.words import _SPACE, chunks, hashed_words
+from playloom.llm.words import _SPACE, chunks, hashed_words, release
 
 BUCKETS = 4096
 RANK = 8
@@ -168,6 +168,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, name: str = "score") ->
     """``docs`` with the score as a further column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what other operators left in this worker
         for batch in batches:
             score = np.empty(batch.num_rows)
             for begin, data, offsets in chunks(batch.column(at)):
@@ -175,6 +176,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, name: str = "score") ->
                     part = offsets[lo : lo + 257]
                     score[begin + lo : begin + lo + len(part) - 1] = model.score(features(data[part[0] : part[-1]], part - part[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
+        release()
 
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])

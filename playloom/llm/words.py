@@ -8,7 +8,7 @@ from prefix sums over the whole batch, then mixed. It depends on the word only.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def release() -> None:
-    """Gives back what a task has freed: Python workers live on between stages, beside the next ones."""
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Names what a worker keeps between tasks of one operator, and how it is forgotten."""
+    _forget[owner] = forget
+
+
+def release(owner: str | None = None) -> None:
+    """Gives back what a task has freed, and forgets what other operators keep: Python workers live on between stages, beside the next ones."""
+    for name, forget in _forget.items():
+        if name != owner:
+            forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
