@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from playloom.llm import words
 
 #: Room of a worker's memories of pre-tokens and of segments.
-PIECES_BYTES, SEGMENTS_BYTES = 110_000_000, 80_000_000
+PIECES_BYTES, SEGMENTS_BYTES = 80_000_000, 60_000_000
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
