@@ -15,25 +15,41 @@ MAX_LINE_BYTES, MAX_LINES, MAX_EVENTS, MAX_DECODED_BYTES = 512 * 1024, 5_000_000
 
 def prefix(line: Column) -> Column:
     """Text between a leading bracket and the first closing one, null without."""
-    return F.when(line.rlike(r"^\[[^\]]*\]"), F.regexp_extract(line, r"^\[([^\]]*)\]", 1))
+    return F.when(line.startswith("[") & line.contains("]"), F.substring_index(F.substr(line, F.lit(2)), "]", 1))
 
 
 def body(line: Column) -> Column:
     """The message: after the last ``]: ``, else after the first ``]``, else the whole line; trimmed."""
-    greedy = F.regexp_extract(line, r"(?s)^.*\]: (.*)$", 1)
     plain = F.regexp_extract(line, r"(?s)^[^\]]*\](.*)$", 1)
-    return F.regexp_replace(F.when(line.contains("]: "), greedy).when(line.contains("]"), plain).otherwise(line), r"^\s+|\s+$", "")
+    text = F.when(line.contains("]: "), F.substring_index(line, "]: ", -1)).when(line.contains("]"), plain).otherwise(line)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _millis(stamp: Column) -> Column:
+    """Milliseconds behind the first stop, 0 without."""
+    digits = F.when(stamp.contains("."), F.rpad(F.regexp_extract(stamp, r"\.([0-9]{1,3})", 1), 3, "0").try_cast("long"))
+    return F.coalesce(digits, F.lit(0).cast("long"))
+
+
+def _clock(stamp: Column, at: int) -> Column:
+    """Milliseconds of the ``HH:mm:ss`` at a position of a stamp that was tested before."""
+    hours, minutes, seconds = (F.substring(stamp, at + k, 2).try_cast("long") for k in (0, 3, 6))
+    return (hours * 3600 + minutes * 60 + seconds) * 1000
+
+
+#: A time of day that exists, and what may follow it.
+_TIME = r"([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?"
 
 
 def full_local_ms(stamp: Column) -> Column:
     """A date and time without zone as milliseconds; null if it is not one."""
-    text = F.regexp_replace(F.regexp_replace(stamp, "T", " "), r"\.[0-9]+$", "")
-    millis = F.rpad(F.regexp_extract(stamp, r"\.([0-9]{1,3})", 1), 3, "0").try_cast("long")
+    day = F.unix_date(F.substring(stamp, 1, 10).try_cast("date")).cast("long")
+    named = F.try_to_timestamp(F.regexp_replace(stamp, r"\.[0-9]+$", ""), F.lit("ddMMMyyyy HH:mm:ss"))
     parsed = F.coalesce(
-        F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.expr("0").cast("long") + _seconds(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))),
-        F.when(stamp.rlike(r"^[0-9]{2}[A-Za-z]{3}[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$"), _seconds(F.try_to_timestamp(F.regexp_replace(stamp, r"\.[0-9]+$", ""), F.lit("ddMMMyyyy HH:mm:ss")))),
+        F.when(stamp.rlike(rf"^(?!0000)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T]{_TIME}\z"), day * DAY_MS + _clock(stamp, 12)),
+        F.when(stamp.rlike(r"^[0-9]{2}[A-Za-z]{3}[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$"), _seconds(named) * 1000),
     )
-    return parsed * 1000 + F.coalesce(millis, F.lit(0))
+    return parsed + _millis(stamp)
 
 
 def _seconds(stamp: Column) -> Column:
@@ -43,9 +59,7 @@ def _seconds(stamp: Column) -> Column:
 
 def clock_ms(stamp: Column) -> Column:
     """A time of day as milliseconds; null if it is not one."""
-    part = lambda k: F.regexp_extract(stamp, r"^([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,3})[0-9]*)?$", k)
-    h, m, s = (part(k).try_cast("long") for k in (1, 2, 3))
-    return F.when((h < 24) & (m < 60) & (s < 60), (h * 3600 + m * 60 + s) * 1000 + F.coalesce(F.rpad(part(4), 3, "0").try_cast("long"), F.lit(0)))
+    return F.when(stamp.rlike(f"^{_TIME}$"), _clock(stamp, 1) + _millis(stamp))
 
 
 def _token(text: Column, marker: str) -> Column:
@@ -68,52 +82,69 @@ def quoted(text: Column, marker: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"""(?i){marker}\s*(["'])(.*?)\1""", 2)), F.lit(""))
 
 
-def _rules(text: Column, line: Column) -> list[tuple]:
+def _details(text: Column, low: Column) -> dict[str, Column]:
+    """What the rules take from a text; looked for only where the text holds the marker."""
+    has = lambda s: low.contains(s)
+    return {
+        "loading": F.when(has("loading minecraft "), _token(text, "loading minecraft ")),
+        "starting": F.when(has("starting minecraft client version "), _token(text, "starting minecraft client version ")),
+        "target": F.when(has("for minecraft ") & has("forge mod loader version"), _token(text, "for minecraft ")),
+        "plain": F.when(has("minecraft version: "), _token(text, "minecraft version: ")),
+        "address": F.when(has("connecting to "), server_address(text)),
+        "level": F.when(has("preparing level "), quoted(text, "preparing level ")),
+        "integrated": F.when(has("starting integrated minecraft server") & has("version "), _token(text, "version ")),
+        "gone": F.when(has("stopping integrated server"), "integrated").when(has("disconnected from server"), "remote")
+        .when(has("network disconnect") | has("client disconnected with reason"), "network"),
+    }
+
+
+def _rules(low: Column, whole: Column, of: dict[str, Column]) -> list[tuple]:
     """(test, kind, score, detail) of each event a line may hold, in fixed order. Text rules are fixed values of the log format."""
-    low = ascii_lower(text)
     has = lambda s: low.contains(s)
-    loading, starting = _token(text, "loading minecraft "), _token(text, "starting minecraft client version ")
-    target, plain = _token(text, "for minecraft "), _token(text, "minecraft version: ")
-    first = F.when(has("loading minecraft ") & loading.isNotNull(), 1).when(has("starting minecraft client version ") & starting.isNotNull(), 2)
-    first = first.when(has("for minecraft ") & target.isNotNull() & has("forge mod loader version"), 3).when(has("minecraft version: ") & plain.isNotNull(), 4).otherwise(0)
+    first = F.when(of["loading"].isNotNull(), 1).when(of["starting"].isNotNull(), 2).when(of["target"].isNotNull(), 3).when(of["plain"].isNotNull(), 4).otherwise(0)
     later = F.when(low.startswith("setting user:"), 82).when(low.startswith("lwjgl version:") | low.startswith("backend library: lwjgl version"), 72)
     start = F.when(first == 1, 94).when(first == 2, 96).when(first == 3, 91).otherwise(later)
-    version = F.when(first == 1, loading).when(first == 2, starting).when(first == 3, target).when(first == 4, plain)
+    version = F.coalesce(of["loading"], of["starting"], of["target"], of["plain"])
     version_score = F.when(first == 1, 98).when(first == 2, 99).otherwise(96)
-    address = F.when(has("connecting to "), server_address(text))
-    level = F.when(has("preparing level "), quoted(text, "preparing level "))
-    dimension = level.isNull() & has("preparing start region for dimension")
-    integrated = has("starting integrated minecraft server")
-    gone = F.when(has("stopping integrated server"), "integrated").when(has("disconnected from server"), "remote").when(has("network disconnect") | has("client disconnected with reason"), "network")
+    dimension = of["level"].isNull() & has("preparing start region for dimension")
     stopping = (low == "stopping!") | low.startswith("stopping minecraft")
     shutdown = low.startswith("stopping worker threads") | low.startswith("soundsystem shutting down") | low.startswith("sound engine shut down") | (low == "shutdown complete")
-    whole = ascii_lower(line)
     crash = F.when(whole.contains("---- minecraft crash report ----") | has("this crash report has been saved to:"), 100).when(has("unreported exception thrown"), 98)
     crash = crash.when(whole.contains("/fatal]") | has("minecraft has crashed") | has("the game crashed whilst"), 96)
 
     return [
-        (start.isNotNull(), "start", start), (version.isNotNull(), "version", version_score, version), (address.isNotNull(), "server", 95, address),
-        (integrated, "integrated", 96, F.when(has("version "), _token(text, "version "))), (level.isNotNull(), "world", 94, level), (dimension, "world", 80),
-        (gone.isNotNull(), "disconnected", F.when(gone == "network", 88).otherwise(92), gone), (stopping, "stopping", 96), (shutdown, "clean_shutdown", 94),
+        (start.isNotNull(), "start", start), (version.isNotNull(), "version", version_score, version), (of["address"].isNotNull(), "server", 95, of["address"]),
+        (has("starting integrated minecraft server"), "integrated", 96, of["integrated"]), (of["level"].isNotNull(), "world", 94, of["level"]), (dimension, "world", 80),
+        (of["gone"].isNotNull(), "disconnected", F.when(of["gone"] == "network", 88).otherwise(92), of["gone"]), (stopping, "stopping", 96), (shutdown, "clean_shutdown", 94),
         (crash.isNotNull(), "crash", crash),
     ]
 
 
+def _event(test: Column, order: Column | None, kind: str, score, detail: Column | None = None) -> Column:
+    detail = F.lit(None).cast("string") if detail is None else detail
+    score = F.lit(score) if isinstance(score, int) else score
+    place = [] if order is None else [order.alias("event_order")]
+    return F.when(test, F.struct(*place, F.lit(kind).alias("kind"), detail.alias("detail"), score.cast("int").alias("score")))
+
+
 def events_of(text: Column, line: Column) -> Column:
-    """Events of one line in fixed order: array<struct<kind,detail,score>>."""
+    """Events of one line in fixed order: array<struct<kind,detail,score>>. For many lines, ``log_events`` costs far less."""
+    low = ascii_lower(text)
+    return F.array_compact(F.array(*[_event(test, None, *rule) for test, *rule in _rules(low, ascii_lower(line), _details(text, low))]))
 
-    def one(test: Column, kind: str, score, detail=None) -> Column:
-        detail = F.lit(None).cast("string") if detail is None else detail
-        score = F.lit(score) if isinstance(score, int) else score
-        return F.when(test, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), score.cast("int").alias("score")))
 
-    return F.array_compact(F.array(*[one(*rule) for rule in _rules(text, line)]))
+def _with_tests(rows: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """Rows of lines with what the rules look at, and the rules. Each text is made once a line, as a column of its own:
+    within one expression it would be made again for every use."""
+    rows = rows.withColumn("said_body", body(F.col("value"))).withColumn("said_whole", ascii_lower(F.col("value")))
+    rows = rows.withColumn("said_low", ascii_lower(F.col("said_body")))
+    details = _details(F.col("said_body"), F.col("said_low"))
+    rows = rows.withColumns({f"said_{name}": detail for name, detail in details.items()})
+    return rows, _rules(F.col("said_low"), F.col("said_whole"), {name: F.col(f"said_{name}") for name in details})
 
 
-def event_count(text: Column, line: Column) -> Column:
-    """The number of those events; details are looked at only where a rule needs them."""
-    tests = [F.coalesce(test, F.lit(False)).cast("int") for test, *_ in _rules(text, line)]
-    return sum(tests[1:], tests[0])
+def _count(tests: list[Column]) -> Column:
+    return sum((F.coalesce(test, F.lit(False)).cast("int") for test in tests), F.lit(0))
 
 
 def timed_lines(lines: DataFrame) -> DataFrame:
@@ -122,9 +153,9 @@ def timed_lines(lines: DataFrame) -> DataFrame:
     A full stamp starts a new run; within a run the day goes on where the clock
     falls back by more than twelve hours. Windows run per source.
     """
-    stamp = prefix(F.col("value"))
-    rows = lines.withColumn("full_ms", full_local_ms(stamp)).withColumn("clock", F.coalesce(F.pmod(F.col("full_ms"), F.lit(DAY_MS)), clock_ms(stamp)))
-    rows = rows.withColumn("bad_stamp", stamp.rlike("^[0-9]") & F.col("clock").isNull())
+    stamp = F.col("stamp")
+    rows = lines.withColumn("stamp", prefix(F.col("value"))).withColumn("full_ms", full_local_ms(stamp)).withColumn("clock", F.coalesce(F.pmod(F.col("full_ms"), F.lit(DAY_MS)), clock_ms(stamp)))
+    rows = rows.withColumn("bad_stamp", stamp.rlike("^[0-9]") & F.col("clock").isNull()).drop("stamp")
     order = Window.partitionBy("source_id").orderBy("line_number")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     before = F.last("clock", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -161,9 +192,15 @@ def log_events(lines: DataFrame) -> DataFrame:
     """One row per event with its place and time."""
     timed = timed_lines(lines)
     keep = [c for c in ("instance_id", "source_id", "source_order", "line_number", "local_ms", "sequence_ms", "origin") if c in timed.columns]
-    said = timed.select(*keep, "value", body(F.col("value")).alias("body"))
-    found = said.select(*keep, F.posexplode(events_of(F.col("body"), F.col("value"))).alias("event_order", "event"))
-    return found.select(*keep, "event_order", F.col("event.kind").alias("kind"), F.col("event.detail").alias("detail"), F.col("event.score").alias("score"))
+    rows, rules = _with_tests(timed.select(*keep, "value"))
+    tests = [f"said_test{k}" for k in range(len(rules))]
+    rows = rows.withColumns({name: F.coalesce(test, F.lit(False)) for name, (test, *_) in zip(tests, rules)})
+
+    orders = [_count([F.col(name) for name in tests[:k]]) for k in range(len(tests))]
+    said = rows.select(*keep, *[_event(F.col(tests[k]), orders[k], *rule).alias(f"event{k}") for k, (_, *rule) in enumerate(rules)])
+    # One event of each rule, null where the rule says nothing: the array needs no function that runs interpreted.
+    found = said.select(*keep, F.explode(F.array(*[f"event{k}" for k in range(len(rules))])).alias("event")).filter("event is not null")
+    return found.select(*keep, "event.event_order", "event.kind", "event.detail", "event.score")
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
@@ -171,8 +208,9 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     timed = timed_lines(lines)
     # Lines of files come with what was wrong with their bytes.
     malformed = F.col("malformed") if "malformed" in lines.columns else ~F.is_valid_utf8("value")
-    rows = timed.withColumn("body", body(F.col("value"))).select(
-        "source_id", "bad_stamp", "rolled", "fell_back", "clock", event_count(F.col("body"), F.col("value")).alias("n"),
+    timed, rules = _with_tests(timed)
+    rows = timed.select(
+        "source_id", "bad_stamp", "rolled", "fell_back", "clock", _count([test for test, *_ in rules]).alias("n"),
         malformed.alias("malformed"), F.octet_length("value").alias("bytes"),
     )
     per = rows.groupBy("source_id").agg(
