@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from playloom.functions.core import canonical_server, implausible, version_class
 from playloom.operators import parsing, reconstruct
 from playloom.sources import inventory
+from playloom.sources import logs as log_source
 from playloom.sources.logs import read_logs
 
 DAY = 20_671  # 2026-08-06
@@ -173,3 +174,47 @@ def test_bad_bytes_and_nul_are_replaced_and_counted(spark, tmp_path):
     (tmp_path / "logs" / "latest.log").write_bytes(b"[10:00:00] [main/INFO]: a\xff\xfe\r\nplain\r\nnu\x00l\n")
     rows = read_logs(spark, str(tmp_path / "logs")).orderBy("line_number").collect()
     assert [(r["line_number"], r["value"], r["malformed"]) for r in rows] == [(1, "[10:00:00] [main/INFO]: a��", True), (2, "plain", False), (3, "nul", True)]
+
+
+def test_texts_of_a_line_are_made_once(spark):
+    plan = parsing.log_events(lines_of(spark, [("a", CLEAN)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2 and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize(("stamp", "full", "clock"), [
+    ("2026-08-06 01:02:03", 3_723_000, None), ("2026-08-06T01:02:03.5", 3_723_500, None), ("2026-08-06 24:02:03", None, None), ("2026-02-30 01:02:03", None, None),
+    ("06Aug2026 01:02:03.1234", 3_723_123, None), ("0000-08-06 01:02:03", None, None), ("2026-08-06 01:02:03\n", None, None), ("01:02:03.25", None, 3_723_250),
+    ("01:02:60", None, None), ("01:02:03", None, 3_723_000), ("x", None, None),
+])
+def test_stamps(spark, stamp, full, clock):
+    row = spark.createDataFrame([(stamp,)], "s string").select(parsing.full_local_ms(F.col("s")).alias("f"), parsing.clock_ms(F.col("s")).alias("c")).first()
+    assert (row["f"], row["c"]) == (full if full is None else DAY * 86_400_000 + full, clock)
+
+
+def test_events_are_parsed_once(spark, monkeypatch):
+    """Marks, hashes and pieces read the events from a table, not from their lines."""
+    written = []
+    monkeypatch.setattr(reconstruct, "materialize", lambda df, name: written.append(name) or spark.createDataFrame(df.collect(), df.schema))
+    events = parsing.log_events(lines_of(spark, [("old", OLDER), ("new", NEWER)])).withColumn("hint_ms", F.lit(None).cast("long"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (reconstruct.mark_repeats(events), reconstruct.sessions(events))]
+    assert all("connecting to" not in plan for plan in plans) and written == ["events", "hashed-keys", "events"]
+
+
+def test_small_files_share_tasks_and_read_as_spark_reads_them(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        folder = tmp_path / f"i {k % 40}" / "größe%20"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.log").write_bytes(f"one {k}\r\n\ntwo\nlast".encode() if k % 3 else b"")
+    (tmp_path / ".hidden.log").write_bytes(b"x\n")
+    (tmp_path / "z.log.gz").write_bytes(gzip.compress(b"one\ntwo"))
+    (tmp_path / "large.log").write_bytes(b"".join(b"x" * (k % 97) + b"\n" for k in range(4000)))
+    wanted = sorted(map(tuple, log_source._read_store(spark, f"file:{tmp_path}").collect()))
+    monkeypatch.setattr(log_source, "_split_bytes", lambda _: 10_000)
+    got = read_logs(spark, f"file:{tmp_path}")
+    assert sorted(map(tuple, got.collect())) == wanted and len(wanted) == 4802
+    assert got.filter("source_id not like '%large.log'").rdd.getNumPartitions() < 150
+
+
+def test_byte_order_mark_counts_as_bytes_only(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"\xef\xbb\xbfone\ntwo\n")
+    assert [tuple(r)[1:5] for r in read_logs(spark, str(tmp_path)).orderBy("line_number").collect()] == [(1, 0, 7, "one"), (2, 7, 11, "two")]
