@@ -286,3 +286,13 @@ def test_exports(spark, tmp_path):
         sinks.export(rows, f"{tmp_path}/x", "xml")
     staged = {r["stage_key"]: r["payload_json"] for r in sinks.staged(rows.drop("places").union(rows.drop("places")), "k").collect()}
     assert staged == {1: '{"name":"a,\\"b\\"\\n"}', 2: '{"name":null}'}
+
+
+def test_orphans_take_more_tasks_for_more_keys(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "KEYS_A_TASK", 10)
+    sessions = spark.createDataFrame([(k,) for k in [*range(60), 59, 200]], "session_id long")
+    segments = spark.createDataFrame([(k,) for k in [*range(10, 59), *range(10, 59), 100, 100]], "session_id long")
+    out = reconcile.orphans(sessions, segments)
+    assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(session_id#") == 4
+    assert out._jdf.queryExecution().executedPlan().toString().count(", 17), ") == 4
+    assert sorted(map(tuple, out.collect())) == [("segment", 100), *[("session", k) for k in [*range(10), 59, 59, 200]]]
