@@ -7,13 +7,18 @@ pair of that rank began, and a two-level bitmap of wide words tells by
 find-first-set which non-empty bucket comes next. Positions whose pair has
 changed meanwhile are stale and skipped. Finding the next merge costs the same
 for a pre-token of five bytes as for one of a million. Many pre-tokens share
-one list and one queue, so a rank's bucket is found once for all of them; a
-merge that makes a pair of lower rank puts the rest of its bucket back.
+one list and one queue, so a bucket is found once for all of them; a merge that
+makes a pair of lower rank puts the rest of its bucket back.
+
+Pre-tokens of at most ``SHORT`` bytes, nearly all, have a queue whose buckets
+hold blocks of ``2**BLOCK`` ranks. Pre-tokens do not touch each other, so of the
+lowest block each takes its lowest and leftmost pair, all of them in one step on
+arrays, and the rest of the block goes back. Longer ones have a bucket a rank.
 
 Scale: a scan without a shuffle, on Arrow batches; each worker loads the
-vocabulary once (fixed size) and remembers the ids of pre-tokens and of the
-blank-separated segments around them, up to ``PIECES_BYTES`` and ``SEGMENTS_BYTES``.
-Decoding goes by the ids alone. Whole texts are encoded, however long.
+vocabulary once (fixed size) and remembers the ids of blank-separated segments,
+up to ``SEGMENTS_BYTES``. Decoding goes by the ids alone. Whole texts are
+encoded, however long.
 
 Defined results: null text counts as empty and has no tokens; repeated rows
 agree; empty tables give empty results; other columns are ignored.
@@ -27,14 +32,19 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from playloom.llm import words
 
-#: Room of a worker's memories of pre-tokens and of segments.
-PIECES_BYTES, SEGMENTS_BYTES = 80_000_000, 60_000_000
+#: Room of a worker's memory of segments.
+SEGMENTS_BYTES = 120_000_000
+#: Pre-tokens of so many bytes (at most 255) are merged together on arrays, about so many bytes of them at once, by buckets of 2**BLOCK ranks.
+SHORT, TOGETHER_BYTES, BLOCK = 120, 1 << 17, 6
+#: In place of a rank: no token has these bytes.
+NONE = (1 << 24) - 1
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -51,7 +61,7 @@ def production_pattern() -> str:
 
 
 class RankQueue:
-    """Buckets of positions by merge rank; find-first-set over a hierarchy of two bitmap levels.
+    """Buckets of positions by merge rank or block of ranks; find-first-set over a hierarchy of two bitmap levels.
 
     A word has 256 bits, so the vocabularies in use take some two hundred words
     and one word above them.
@@ -62,17 +72,17 @@ class RankQueue:
     def __init__(self, ranks: int):
         self.low = [0] * ((ranks >> 8) + 1)
         self.high = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list] = {}
 
-    def open(self, rank: int, positions: list[int]) -> None:
+    def open(self, rank: int, positions: list) -> None:
         """A new bucket for a rank that has none; further positions are appended to it."""
         self.buckets[rank] = positions
         word = rank >> 8
         self.low[word] |= self.MASKS[rank & 255]
         self.high |= 1 << word
 
-    def pop(self) -> tuple[int, list[int]]:
-        """(rank, positions) of the lowest rank, leftmost first. The queue must not be empty."""
+    def pop(self) -> tuple[int, list]:
+        """(rank, positions) of the lowest rank. The queue must not be empty."""
         word = (self.high & -self.high).bit_length() - 1
         low = self.low[word]
         rest = low & (low - 1)
@@ -80,9 +90,7 @@ class RankQueue:
         self.low[word] = rest
         if not rest:
             self.high &= self.high - 1
-        positions = self.buckets.pop(rank)
-        positions.sort()
-        return rank, positions
+        return rank, self.buckets.pop(rank)
 
 
 #: Unicode white space, as the pattern's \\s means it.
@@ -131,8 +139,11 @@ class Codec:
         self.rank_of_two = [self.ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
         self.decimal = {rank: str(rank) for rank in self.ranks.values()}
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.pieces, self.segments = Memo(PIECES_BYTES), Memo(SEGMENTS_BYTES)
+        size = max(self.ranks.values(), default=0) + 1
+        assert size + 256 < NONE, "ranks must fit into 24 bits"
+        self.queue, self.blocks = RankQueue(size), RankQueue((size >> BLOCK) + 1)
+        self._number_pairs(size)
+        self.segments = Memo(SEGMENTS_BYTES)
         self.split = _SEGMENTS.findall if pattern == production_pattern() else self.find
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
@@ -157,6 +168,7 @@ class Codec:
             queue.open(rank, positions)
         while queue.high:
             now, positions = queue.pop()
+            positions.sort()
             for done, k in enumerate(positions, 1):
                 if pair[k] != now:
                     continue  # stale
@@ -198,24 +210,125 @@ class Codec:
             out.append(ids)
         return out
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        pieces, decimal = list(pieces), self.decimal
-        for begin in range(0, len(pieces), 2000):
-            part = pieces[begin : begin + 2000]
-            coded = [piece.encode() for piece in part]
-            ids = {k: [self.ranks[piece]] for k, piece in enumerate(coded) if piece in self.ranks}
-            open_ = [k for k in range(len(part)) if k not in ids]
-            ids |= zip(open_, self.merge([coded[k] for k in open_]))
-            self.pieces.tell({piece: ",".join([decimal[x] for x in ids[k]]) for k, piece in enumerate(part)})
+    def _number_pairs(self, size: int) -> None:
+        """Tables for arrays: the token of each byte, the rank of each two bytes, and sorted pairs of tokens (left * base + right) that make a token."""
+        ranks, self.base = self.ranks, size + 256
+        one = {bytes((k,)): size + k for k in range(256)} | ranks  # a byte that is no token has a number of its own
+        self.token_of_byte = np.array([one[bytes((k,))] for k in range(256)])
+        self.two = np.array([NONE if rank is None else rank for rank in self.rank_of_two])
+        made = {}
+        for whole, rank in ranks.items():
+            for cut in range(1, len(whole)):
+                left, right = one.get(whole[:cut]), one.get(whole[cut:])
+                if left is not None and right is not None:
+                    made[left * self.base + right] = rank
+        self.pairs = np.array(sorted(made), np.int64)
+        self.made = np.array([made[pair] for pair in self.pairs.tolist()] + [NONE])
+        self.pairs = np.append(self.pairs, np.iinfo(np.int64).max)
+
+    def _put(self, keys: np.ndarray) -> None:
+        """Keys (pre-token, rank, offset in it) into the buckets of their blocks of ranks."""
+        block = (keys >> (8 + BLOCK)) & (NONE >> BLOCK)
+        order = np.argsort(block, kind="stable")
+        keys, block = keys[order], block[order]
+        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+        begins = [0, *cuts.tolist()]
+        buckets = self.blocks.buckets
+        for begin, end, own in zip(begins, [*begins[1:], len(keys)], block[begins].tolist()):
+            if own in buckets:
+                buckets[own].append(keys[begin:end])
+            else:
+                self.blocks.open(own, [keys[begin:end]])
+
+    def merge_short(self, pieces: list[bytes]) -> list[list[int]]:
+        """As ``merge``, for pre-tokens of at most SHORT bytes: each step merges one pair in every pre-token that has one in the lowest block."""
+        text = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        n, queue = len(text), self.blocks
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = np.cumsum(sizes) - sizes
+        first = np.zeros(n + 1, bool)  # where a pre-token starts
+        first[start] = first[n] = True
+        token = np.append(self.token_of_byte[text], 0)  # of the part that starts here
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        pair = np.full(n, NONE)  # rank of the pair that starts here now
+        pair[:-1] = self.two[text[:-1] << 8 | text[1:]]
+        pair[first[1:]] = NONE
+        whole = np.ones(n, bool)  # a part starts here
+        own = (np.repeat(np.arange(len(pieces)), sizes) << 32) + np.arange(n) - np.repeat(start, sizes)  # key without its rank
+        begun = np.flatnonzero(pair != NONE)
+        if len(begun):
+            self._put(own[begun] + (pair[begun] << 8))
+        while queue.high:
+            block, found = queue.pop()
+            keys = np.concatenate(found)
+            keys.sort()
+            piece = keys >> 32
+            k = start[piece] + (keys & 255)
+            live = pair[k] == (keys >> 8) & NONE
+            keys, piece, k = keys[live], piece[live], k[live]
+            if not len(k):
+                continue
+            lowest = np.ones(len(k), bool)
+            lowest[1:] = piece[1:] != piece[:-1]
+            if not lowest.all():
+                queue.open(block, [keys[~lowest]])
+                k = k[lowest]
+            gone = after[k]
+            end = after[gone]
+            after[k] = end
+            token[k] = pair[k]
+            pair[k] = pair[gone] = NONE
+            whole[gone] = False
+            inner = ~first[end]
+            right_of, right = k[inner], end[inner]
+            before[right] = right_of
+            inner = k[~first[k]]
+            left = np.concatenate((right_of, before[inner]))
+            ask = token[left] * self.base + token[np.concatenate((right, inner))]
+            at = np.searchsorted(self.pairs, ask)
+            known = self.pairs[at] == ask
+            rank = pair[left] = np.where(known, self.made[at], NONE)
+            if known.any():
+                self._put(own[left[known]] + (rank[known] << 8))
+        ids = token[:n][whole].tolist()
+        ends = np.cumsum(whole)[start + sizes - 1].tolist()
+        return [ids[begin:end] for begin, end in zip([0, *ends], ends)]
+
+    def pieces(self, pieces: list[str]) -> list[str]:
+        """Ids of each pre-token, decimal and joined by commas."""
+        coded = [piece.encode() for piece in pieces]
+        out = [self.decimal.get(rank) for rank in map(self.ranks.get, coded)]
+        decimal = self.decimal.__getitem__
+        short, size = [[]], 0
+        for k, known in enumerate(out):
+            if known is None:
+                if len(coded[k]) > SHORT:
+                    (ids,) = self.merge([coded[k]])
+                    out[k] = ",".join(map(decimal, ids))
+                else:
+                    short[-1].append(k)
+                    size += len(coded[k])
+                    if size >= TOGETHER_BYTES:
+                        short.append([])
+                        size = 0
+        for part in filter(None, short):
+            for k, ids in zip(part, self.merge_short([coded[k] for k in part])):
+                out[k] = ",".join(map(decimal, ids))
+        return out
 
     def _learn_segments(self, segments: set[str]) -> None:
-        segments = list(segments)
-        ids = self.pieces.all([self.find(s) for s in segments], self._learn_pieces)
-        self.segments.tell({s: ",".join(x) for s, x in zip(segments, ids)})
+        alone = [s for s in segments if s[s[:1] == " " :].isalpha()]  # one pre-token each
+        split = list(segments.difference(alone))
+        found = list(map(self.find, split))
+        parts = list(set(alone).union(*found))
+        ids = dict(zip(parts, self.pieces(parts)))
+        get = ids.__getitem__
+        new = {s: ids[s] for s in alone}
+        new |= {s: ",".join(map(get, own)) for s, own in zip(split, found)}
+        self.segments.tell(new)
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """Each text's ids, decimal and joined by commas within each segment."""
-        self.pieces.rest()
         self.segments.rest()
         return self.segments.all([self.split(text) for text in texts], self._learn_segments)
 

@@ -3,6 +3,7 @@ import fnmatch
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import tiktoken
@@ -110,6 +111,52 @@ def test_bpe_on_odd_text_and_long_pieces():
         assert value == str(k % 7) * 2
 
 
+def plain_bpe(ranks, piece):
+    """Ids by rescanning all pairs for the lowest rank, leftmost, again and again."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while True:
+        rank, k = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=(None, 0))
+        if rank is None:
+            return [ranks[part] for part in parts]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_bpe_merges_on_arrays_as_one_by_one(tmp_path):
+    """Vocabularies of any order, where merges make pairs of lower rank too; lengths on both sides of SHORT."""
+    rng = random.Random(8)
+    for trial in range(6):
+        tokens = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))).encode() for _ in range(700)})
+        rng.shuffle(tokens)
+        ranks = {token: rank for rank, token in enumerate([bytes((k,)) for k in range(256)] + tokens)}
+        path = tmp_path / f"{trial}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(token) + b" %d\n" % rank for token, rank in ranks.items()))
+        codec = bpe.Codec(str(path), bpe.production_pattern())
+        short = ["".join(rng.choice("abc"[: rng.randint(1, 3)] + "dé"[: rng.randint(0, 2)]) for _ in range(rng.randint(1, bpe.SHORT // 2))).encode() for _ in range(400)]
+        short += [b"a" * bpe.SHORT, b"ab" * (bpe.SHORT // 2)]
+        assert codec.merge_short(short) == codec.merge(short) == [plain_bpe(ranks, piece) for piece in short]
+        assert codec.merge_short([b"a"]) == [[ranks[b"a"]]]
+        words = [letter * n for letter in ("a", "ab", "abc", "é") for n in (bpe.SHORT // 2, bpe.SHORT, bpe.SHORT + 1, 2 * bpe.SHORT)]
+        got = [[int(x) for x in ids.split(",")] for ids in codec.pieces(words)]
+        assert got == [[ranks[w.encode()]] if w.encode() in ranks else plain_bpe(ranks, w.encode()) for w in words]
+
+
+def test_bpe_learns_new_words_together():
+    """Texts of words never seen before take less time than merging those words one pair at a time."""
+    codec, rng = bpe.Codec(bpe.production_path(), bpe.production_pattern()), random.Random(9)
+    own, tries = encoding(), []
+    for _ in range(3):
+        new = [[" " + "".join(rng.choice(("th", "in", "er", "tion", "é", "q", "ou")) for _ in range(9)) for _ in range(500)] for _ in range(40)]
+        texts, pieces = ["".join(x) for x in new], [word.encode() for x in new for word in x]
+        begun = time.thread_time()
+        ids = codec.encode(texts)
+        between = time.thread_time()
+        for begin in range(0, len(pieces), 2000):
+            codec.merge(pieces[begin : begin + 2000])
+        tries.append((between - begun) / (time.thread_time() - between))
+        assert [[int(x) for x in ",".join(s).split(",")] for s in ids] == [own.encode_ordinary(t) for t in texts]
+    assert min(tries) < 0.8, tries
+
+
 def test_topk_of_one_id_with_several_vectors(spark):
     """The best score of each query and id counts, once."""
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (3, [0.125, 0.0]), (0, [0.0, 1.0]), (4, [0.0, 0.5])]
