@@ -31,6 +31,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from playloom.llm import words
 #: Room of a worker's memory of segments.
 SEGMENTS_BYTES = 120_000_000
 #: Pre-tokens of so many bytes (at most 255) are merged together on arrays, about so many bytes of them at once, by buckets of 2**BLOCK ranks.
-SHORT, TOGETHER_BYTES, BLOCK = 120, 1 << 17, 6
+SHORT, TOGETHER_BYTES, BLOCK = 120, 1 << 16, 8
 #: In place of a rank: no token has these bytes.
 NONE = (1 << 24) - 1
 PRODUCTION_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -118,11 +119,12 @@ class Memo(dict):
 
     def all(self, keys: list[list], tell) -> list[list]:
         """The values of lists of keys; ``tell`` gets the set of those that have none yet and must tell them."""
-        missing = set().union(*keys).difference(self)
+        missing = set(filterfalse(self.__contains__, set().union(*keys)))  # set methods would walk through the whole memory
         if missing:
             older = self.older
-            self.tell({k: older[k] for k in missing.intersection(older)})
-            missing = missing.difference(self)
+            kept = {k: older[k] for k in missing if k in older}
+            self.tell(kept)
+            missing.difference_update(kept)
             if missing:
                 tell(missing)
         get = self.__getitem__
