@@ -13,7 +13,8 @@ makes a pair of lower rank puts the rest of its bucket back.
 Pre-tokens of at most ``SHORT`` bytes, nearly all, have a queue whose buckets
 hold blocks of ``2**BLOCK`` ranks. Pre-tokens do not touch each other, so of the
 lowest block each takes its lowest and leftmost pair, all of them in one step on
-arrays, and the rest of the block goes back. Longer ones have a bucket a rank.
+arrays, and the rest of the block goes back (the blocks of 50,000 ranks fill one
+word of the bitmap). Longer ones have a bucket a rank.
 
 Scale: a scan without a shuffle, on Arrow batches; each worker loads the
 vocabulary once (fixed size) and remembers the ids of blank-separated segments,
